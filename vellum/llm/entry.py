@@ -5,20 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_rules, sentence_pieces, sharding, token_tables
 from .frames import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed public tokenizer files are; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentence_pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    return coded.select("doc_id", "n_tokens", "ids", same.alias("round_trip"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(sharding.records_of(docs).drop("text"), 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
+
+
+def op6_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_tables.write_tables(docs, token_tables.tables_folder(docs), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    back = token_tables.read_tables(manifest)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.score(docs).drop("text")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_quality_rules,)}
+    return {f.__name__: f for f in (op2_sentence_pieces, op4_sharding, op6_token_tables, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

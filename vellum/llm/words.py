@@ -106,6 +106,13 @@ def runs(data: np.ndarray, offsets: np.ndarray, stop: np.ndarray, fold: bool = F
     tail[:-1] &= ~inside[1:] | first[1:n]
     start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
     doc = np.searchsorted(offsets, start, side="right") - 1
+    return hashed(data, start, end, doc, fold, inside)
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray, fold: bool = False, inside: np.ndarray | None = None) -> Runs:
+    """The hashes of given runs, which are in order and do not overlap; bytes between them must not be marked `inside`."""
+    if not len(start):
+        return Runs(start, end, doc, np.zeros(0, np.uint64))
     out = np.empty(len(start), np.uint64)
     longest = int((end - start).max(initial=0))
     power = np.empty(longest + 1, np.uint64)
@@ -118,7 +125,8 @@ def runs(data: np.ndarray, offsets: np.ndarray, stop: np.ndarray, fold: bool = F
         to = max(at + 1, int(np.searchsorted(end, start[at] + _WINDOW, side="right")))
         a, b = start[at], end[to - 1]
         value = table[data[a:b]]
-        value[~inside[a:b]] = 0
+        if inside is not None:
+            value[~inside[a:b]] = 0
         begin = start[at:to] - a
         place = np.arange(b - a, dtype=np.int32)
         place -= np.repeat(begin.astype(np.int32), np.diff(np.append(begin, b - a)))
