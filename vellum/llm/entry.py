@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sentence_pieces, sharding, token_tables
-from .frames import table
+from . import language_mixture, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
+from .frames import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,8 +44,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs).drop("text")
 
 
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = held_out("doc_id", 4, 2)
+    model = language_mixture.learn(docs.where(~apart))
+    return language_mixture.predict(docs.select("doc_id", "text", apart.alias("held_out")), model).drop("text")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = held_out("doc_id", 3, 1)
+    model = quality_classifier.learn(docs, table(spark, sf_dir, "labels"), ~apart)
+    return quality_classifier.score(docs.withColumn("held_out", apart), model).drop("text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sentence_pieces, op4_sharding, op6_token_tables, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_sentence_pieces, op4_sharding, op6_token_tables, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

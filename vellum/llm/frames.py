@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
@@ -57,3 +58,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def held_out(key: str, of: int, part: int) -> Column:
+    """Whether crc32 of the identifier as text leaves the remainder `part`; a null identifier does not."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % of == part, F.lit(False))
