@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_mixture, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
+from . import bilinear_lm, language_mixture, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
 from .frames import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs).drop("text")
 
 
+def op7_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear_lm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
+
+
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     apart = held_out("doc_id", 4, 2)
@@ -59,7 +63,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sentence_pieces, op4_sharding, op6_token_tables, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
+    return {f.__name__: f for f in (op2_sentence_pieces, op4_sharding, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
