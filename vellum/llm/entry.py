@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear_lm, language_mixture, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
+from . import bilinear_lm, decontamination, language_mixture, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
 from .frames import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("record")
+
+
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sentence_pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
@@ -63,7 +67,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sentence_pieces, op4_sharding, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentence_pieces, op4_sharding, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
