@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear_lm, decontamination, language_mixture, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
+from . import bilinear_lm, decontamination, jaccard_join, language_mixture, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
 from .frames import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids", same.alias("round_trip"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("record")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(sharding.records_of(docs).drop("text"), 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
@@ -67,7 +71,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentence_pieces, op4_sharding, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentence_pieces, op3_jaccard_join, op4_sharding, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -189,3 +189,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield batch, [pa.array(names[best].tolist(), pa.string()), score]
 
     return append_columns(docs, RESULT, part)
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows in a known language whose part in the text is at least `least`, with the columns of `docs`."""
+    columns = docs.columns
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), F.col(text).alias("_text"))
+    marked = predict(rows, model, "_text")
+    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -118,4 +118,5 @@ def score(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows that pass, with the columns of `docs`."""
-    return score(docs, text).where(F.col("kept")).select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(text).alias("_text"))
+    return score(rows, "_text").where(F.col("kept")).select("row.*")
