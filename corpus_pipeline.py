@@ -3,17 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import quality_rules
+from vellum.llm import decontamination, jaccard_join, language_mixture, quality_rules, sentence_pieces
+from vellum.llm.entry import tokenizer_file
 from vellum.llm.frames import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the compression bands and the base rules."""
+    """Documents that pass the base rules and the compression bands."""
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents mainly in a language that the labelled documents of this stage teach."""
+    return language_mixture.keep(docs, language_mixture.learn(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar ones: that with the smallest identifier."""
+    return jaccard_join.keep_one(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Identifier and ids of each document, and whether the ids decode to its text."""
+    coded = sentence_pieces.encode(docs.select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [("quality_rules", quality), ("language_id", language), ("jaccard_join", near_duplicates), ("decontamination", leaks), ("sentence_pieces", pieces)]
 
 #: zstandard, mixture models and tokenizers have no counterpart in SQL.
 ORACLE_SQL = None
