@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear_lm, decontamination, jaccard_join, language_mixture, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
+from . import bilinear_lm, decontamination, jaccard_join, language_mixture, page_text, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
 from .frames import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(sharding.records_of(docs).drop("text"), 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
 
 
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_text.extract(pages, page_text.trained().p).drop("html")
+
+
 def op6_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     manifest = token_tables.write_tables(docs, token_tables.tables_folder(docs), tokenizer_file("word_bpe_49k.json"), end_id=2)
@@ -71,7 +76,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentence_pieces, op3_jaccard_join, op4_sharding, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentence_pieces, op3_jaccard_join, op4_sharding, op5_page_text, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
