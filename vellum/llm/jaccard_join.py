@@ -6,8 +6,10 @@ link when 100 * intersection >= 80 * union.  Documents with equal sets are one
 vertex, and a component is what links connect.
 
 1. Signatures: each text gives its set's fingerprint, size, bitmap (about 3 to 6
-   bits a shingle) and prefix: of the hashes in ascending order the first
-   n - ceil(0.8 n) + 1.  Sets that link share a hash of both prefixes, so no link is lost.
+   bits a shingle) and prefix: of the hashes in a fixed order the first
+   n - ceil(0.8 n) + 1.  Sets that link share a hash of both prefixes, of the smaller
+   set even of its first n - ceil(8 n / 9) + 1, so no link is lost.  The order puts
+   the `MOST_COMMON` hashes found in most texts last; which they are affects speed only.
 2. Blocks: hashes that only one set has are dropped.  The sets that share a hash,
    and are in the same or the next class of size, meet under the smallest of them, so sets
    that share many hashes meet once.  Larger blocks are split into parts, and every two parts meet.
@@ -44,6 +46,8 @@ PART = 1024
 MOST_BROADCAST = 2_000_000
 LEAF, FAN = 8, 8
 CLASS_RATIO = 1.25
+#: Hashes that are ordered last, and how often a task must meet one to report it.
+MOST_COMMON, LOCALLY_COMMON = 1 << 16, 4
 SIGNATURE = "doc_id long, record long, n_shingles long, vertex long, bitmap binary, prefix array<long>"
 
 
@@ -75,7 +79,45 @@ def bitmap(h: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
-def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def common_hashes(docs: DataFrame, text: str) -> np.ndarray:
+    """Up to MOST_COMMON hashes that tasks met in most texts, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def often(held: list[np.ndarray]) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            many = n >= LOCALLY_COMMON
+            return pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many])], names=["h", "n"])
+
+        held: list[np.ndarray] = []
+        for batch in W.slices(batches, "text", 4 << 20):
+            held.append(shingle_sets(W.texts_of(batch.column("text")))[0])
+            if sum(map(len, held)) > 4 << 20:
+                yield often(held)
+                held = []
+        if held:
+            yield often(held)
+
+    counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def common_last(h: np.ndarray, at: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The hashes of each text with its common ones after the others, both parts in order."""
+    if not len(common) or not len(h):
+        return h
+    place = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    late = common[place] == h
+    before = np.concatenate([[0], np.cumsum(late)])
+    n = np.diff(at)
+    start, rare = np.repeat(at[:-1], n), np.repeat(n - (before[at[1:]] - before[at[:-1]]), n)
+    rank_late = before[:-1] - np.repeat(before[at[:-1]], n)
+    rank_rare = np.arange(len(h)) - start - rank_late
+    out = np.empty_like(h)
+    out[start + np.where(late, rare + rank_late, rank_rare)] = h
+    return out
+
+
+def signatures(docs: DataFrame, key: str, text: str, common: np.ndarray) -> DataFrame:
     """SIGNATURE columns of every row; `record` names identifier and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +130,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
             size = np.where(n > 0, n - (4 * n + 4) // 5 + 1, 0)
             ends = np.cumsum(size)
             where = np.repeat(at[:-1] - (ends - size), size) + np.arange(int(ends[-1]))
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(h[where].view(np.int64)))
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(common_last(h, at, common)[where].view(np.int64)))
             maps = [bitmap(h[a:b]).tobytes() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("record"), pa.array(n), pa.array(vertex), pa.array(maps, pa.binary()), prefix], names=["doc_id", "record", "n_shingles", "vertex", "bitmap", "prefix"])
 
@@ -103,13 +145,16 @@ def _sized(small: DataFrame) -> DataFrame:
 
 def blocks(marks: DataFrame) -> DataFrame:
     """Columns block and vertex: each two sets that can link are together in some block of at most two parts."""
-    held = marks.select("vertex", F.col("n_shingles").alias("n"), F.explode("prefix").alias("h"))
-    shared = held.groupBy("h").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b").select("h")
+    short = F.col("r") <= F.col("n") - F.ceil(F.col("n") * 8 / 9)  # within the prefix of the smaller set of a pair
+    held = marks.select("vertex", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("r", "h")).select("h", "vertex", "n", short.alias("short"))
+    shared = held.groupBy("h").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b"), F.max("short").alias("short")).where("a <> b and short").select("h")
     shared = written(shared, "shared-hashes")
     kept = held.join(_sized(shared), "h").distinct()
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS_RATIO)) + 1e-9).cast("int")
-    classed = written(kept.select("h", "vertex", F.explode(F.array(F.struct(size_class.alias("s"), F.lit(1).alias("own")), F.struct((size_class + 1).alias("s"), F.lit(0).alias("own")))).alias("c")).select("h", "c.s", "c.own", "vertex"), "size-classes")
-    meets = classed.groupBy("h", "s").agg(F.min("vertex").alias("centre"), F.max("vertex").alias("last"), F.sum("own").alias("owns")).where("centre <> last and owns > 0").select("h", "s", "centre")
+    own, next_class = F.struct(size_class.alias("s"), F.lit(True).alias("own")), F.struct((size_class + 1).alias("s"), F.lit(False).alias("own"))
+    classes = F.when(F.col("short"), F.array(own, next_class)).otherwise(F.array(own))
+    classed = written(kept.select("h", "vertex", "short", F.explode(classes).alias("c")).select("h", "c.s", "c.own", "short", "vertex"), "size-classes")
+    meets = classed.groupBy("h", "s").agg(F.min("vertex").alias("centre"), F.max("vertex").alias("last"), F.max("own").alias("some_own"), F.max("short").alias("some_short")).where("centre <> last and some_own and some_short").select("h", "s", "centre")
     members = written(classed.join(meets, ["h", "s"]).select("centre", "s", "vertex").distinct(), "meetings")
     parts = members.groupBy("centre", "s").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64(F.lit("part"), "vertex"), F.col("parts")).cast("int")
@@ -211,14 +256,17 @@ def clusters(vertex: np.ndarray, n: np.ndarray, maps: list[bytes]) -> tuple[np.n
 
 
 def prune(members: DataFrame) -> DataFrame:
-    """Columns cluster, vertex and record of the sets (block, vertex, record, n, bitmap) that keep a partner."""
+    """Columns cluster, vertex and record of the sets (block, vertex, record, n, bitmap) that keep a partner.
+
+    A cluster is named by its sets, so the same one found in several blocks is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def emit() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["block", "label", "vertex", "record"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["cluster", "vertex", "record"])
 
         for group in runs_of(batches, "block"):
             vertex, first = np.unique(group.column("vertex").to_numpy(), return_index=True)
@@ -227,7 +275,10 @@ def prune(members: DataFrame) -> DataFrame:
             maps = group.column("bitmap").take(pa.array(first)).to_pylist()
             keep, label = clusters(vertex, group.column("n").to_numpy()[first], maps)
             if len(keep):
-                out.append((np.full(len(keep), group.column("block")[0].as_py()), label, vertex[keep], group.column("record").to_numpy()[first][keep]))
+                which, inverse = np.unique(label, return_inverse=True)
+                order = np.argsort(inverse, kind="stable")
+                sums = np.add.reduceat(W.mix(vertex[keep][order].view(np.uint64)), np.searchsorted(inverse[order], np.arange(len(which))))
+                out.append((W.mix(sums).view(np.int64)[inverse], vertex[keep], group.column("record").to_numpy()[first][keep]))
                 size += len(keep)
             if size > 1 << 16:
                 yield emit()
@@ -236,8 +287,8 @@ def prune(members: DataFrame) -> DataFrame:
         if out:
             yield emit()
 
-    left = members.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, label long, vertex long, record long")
-    return left.select(F.xxhash64("block", "label").alias("cluster"), "vertex", "record").distinct()
+    left = members.repartition("block").sortWithinPartitions("block").mapInArrow(run, "cluster long, vertex long, record long")
+    return left.distinct()
 
 
 def forest(vertex: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,7 +367,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     result = ["n_shingles", "component_id"]
     if clash := sorted({c.lower() for c in docs.columns} & set(result)):
         raise ValueError(f"columns already present: {', '.join(clash)}")
-    marks = written(signatures(docs, key, text), "signatures")
+    marks = written(signatures(docs, key, text, common_hashes(docs, text)), "signatures")
     some = marks.where("n_shingles > 0")
     kinds = written(some.groupBy("vertex").agg(F.min("record").alias("record"), F.min("doc_id").alias("low")), "vertices")
     members = blocks(some)
