@@ -73,10 +73,9 @@ def balanced(sizes: DataFrame, shards: int, version: int = 1) -> DataFrame:
     return one.select(F.explode(F.expr(fold)["chosen"]).alias("m")).select(F.lit(version).alias("version"), "m.*")
 
 
-def store_map(slot_map: DataFrame, path: str) -> None:
+def store_map(slot_map: DataFrame, path: str, version: int = 1) -> None:
     """Add a version of the map; versions that exist are never overwritten."""
-    version = slot_map.first()
-    slot_map.write.mode("errorifexists").parquet(f"{path}/{version.version if version else 0:06d}")
+    slot_map.write.mode("errorifexists").parquet(f"{path}/{version:06d}")
 
 
 def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
