@@ -41,9 +41,23 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def masked(words: str, masks: tuple[tuple[int, ...], ...], number: int) -> Column:
-    """For each mask the hashes at all positions, one mask after the other; near the end some words are missing."""
-    each = [f"transform({words}, (x, i) -> xxhash64({number + m}, {', '.join('x' if k == 0 else f'get({words}, i + {k})' for k in mask)}))" for m, mask in enumerate(masks)]
+def masked(words: str, triples: str, masks: tuple[tuple[int, ...], ...], number: int) -> Column:
+    """For each mask the hashes at all positions, one mask after the other; near the end some words are missing.
+
+    `triples` has the hash of each three words in a row, so three positions of a
+    mask that follow one another are one look-up.
+    """
+
+    def look_ups(mask: tuple[int, ...]) -> list[str]:
+        out, k = [], 0
+        while k < len(mask):
+            run = mask[k : k + 3] == (mask[k], mask[k] + 1, mask[k] + 2)
+            at = f"get({triples if run else words}, i + {mask[k]})"
+            out.append("x" if not run and mask[k] == 0 else at)
+            k += 3 if run else 1
+        return out
+
+    each = [f"transform({words}, (x, i) -> xxhash64({number + m}, {', '.join(look_ups(mask))}))" for m, mask in enumerate(masks)]
     return F.expr(f"concat({', '.join(each)})")
 
 
@@ -54,7 +68,9 @@ def record_key(key: str, text: str) -> Column:
 def _positions(rows: DataFrame, masks: tuple[tuple[int, ...], ...], number: int) -> DataFrame:
     """Columns id, hash and at (the position) of all masked words of rows with id and words."""
     size = F.size("words")
-    return rows.where(size > 0).select("id", size.alias("n"), F.posexplode(masked("words", masks, number)).alias("p", "hash")).select("id", "hash", (F.col("p") % F.col("n")).alias("at"), "n")
+    triples = F.expr("transform(words, (x, i) -> xxhash64(x, get(words, i + 1), get(words, i + 2)))")
+    rows = rows.where(size > 0).select("id", "words", triples.alias("triples"))
+    return rows.select("id", size.alias("n"), F.posexplode(masked("words", "triples", masks, number)).alias("p", "hash")).select("id", "hash", (F.col("p") % F.col("n")).alias("at"), "n")
 
 
 def _sized(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
