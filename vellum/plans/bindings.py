@@ -32,8 +32,8 @@ SQL_RECORDINGS = """recordings AS (
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with doc_id % 10 <> 0; every thirteenth is a tombstone."""
-    r = recordings(spark, sf_dir).where(F.col("recording_id") % 10 != 0)
+    """All documents; every tenth has an id that the listing lacks, every thirteenth is a tombstone."""
+    r = recordings(spark, sf_dir).withColumn("recording_id", F.when(F.col("recording_id") % 10 == 0, F.col("recording_id") + 2_000_000).otherwise(F.col("recording_id")))
     dead = F.col("recording_id") % 13 == 0
     live = lambda c: F.when(~dead, c)
     return r.select(
@@ -44,8 +44,8 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with doc_id % 7 <> 0: another path on multiples of 5, another score on multiples of 3, no text on multiples of 29."""
-    r = recordings(spark, sf_dir).where(F.col("recording_id") % 7 != 0)
+    """All documents; every seventh has a new id.  Another path on multiples of 5, another score on multiples of 3, no text on multiples of 29."""
+    r = recordings(spark, sf_dir).withColumn("recording_id", F.when(F.col("recording_id") % 7 == 0, F.col("recording_id") + 7_000_000).otherwise(F.col("recording_id")))
     i = F.col("recording_id")
     return r.select(
         "recording_id", "speaker_id", F.when(i % 17 == 0, "speaker_id_email_dropped").alias("speaker_reason"), F.when(i % 29 == 0, "").otherwise(F.col("text")).alias("text"), "text_hash",
@@ -55,9 +55,10 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with doc_id % 20 = 0 were rejected before under the path that the listing has."""
-    r = listing(spark, sf_dir).where(F.col("recording_id") % 20 == 0)
-    return r.select("recording_id", F.lit(CORPUS).cast("long").alias("corpus_id"), F.lit("audio_undecodable").alias("reason"), "audio_path", F.lit("2024-01-01T00:00:00Z").alias("first_seen"))
+    """All listed rows were rejected before: on multiples of 20 under the path that they have now, else under an older one."""
+    r = listing(spark, sf_dir)
+    path = F.when(F.col("recording_id") % 20 == 0, F.col("audio_path")).otherwise(F.concat("audio_path", F.lit("/old")))
+    return r.select("recording_id", F.lit(CORPUS).cast("long").alias("corpus_id"), F.lit("audio_undecodable").alias("reason"), path.alias("audio_path"), F.lit("2024-01-01T00:00:00Z").alias("first_seen"))
 
 
 SQL_SYNC = (
@@ -66,13 +67,13 @@ SQL_SYNC = (
     SELECT recording_id, 1 AS corpus_id, CASE WHEN recording_id % 13 <> 0 THEN speaker_id END AS speaker_id, CASE WHEN recording_id % 13 <> 0 THEN text END AS text, CASE WHEN recording_id % 13 <> 0 THEN text_hash END AS text_hash,
            CASE WHEN recording_id % 13 <> 0 THEN source END AS audio_path, CASE WHEN recording_id % 13 <> 0 THEN least(duration, 29.0) END AS duration, CASE WHEN recording_id % 13 <> 0 THEN 1.0 END AS quality_score,
            CASE WHEN recording_id % 13 = 0 THEN 'removed' ELSE 'active' END AS status
-    FROM recordings WHERE recording_id % 10 <> 0),
+    FROM (SELECT * REPLACE (CASE WHEN recording_id % 10 = 0 THEN recording_id + 2000000 ELSE recording_id END AS recording_id) FROM recordings)),
 listing AS (
     SELECT recording_id, speaker_id, CASE WHEN recording_id % 17 = 0 THEN 'speaker_id_email_dropped' END AS speaker_reason, CASE WHEN recording_id % 29 = 0 THEN '' ELSE text END AS text, text_hash,
            CASE WHEN recording_id % 31 = 0 THEN NULL WHEN recording_id % 5 = 0 THEN source || '/new' ELSE source END AS audio_path, CASE WHEN recording_id % 3 = 0 THEN 2.0 ELSE 1.0 END AS quality_score,
            duration, CASE WHEN recording_id % 23 = 0 THEN 'audio_undecodable' END AS failure
-    FROM recordings WHERE recording_id % 7 <> 0),
-rejections AS (SELECT recording_id, audio_path FROM listing WHERE recording_id % 20 = 0),
+    FROM (SELECT * REPLACE (CASE WHEN recording_id % 7 = 0 THEN recording_id + 7000000 ELSE recording_id END AS recording_id) FROM recordings)),
+rejections AS (SELECT recording_id, CASE WHEN recording_id % 20 = 0 THEN audio_path ELSE audio_path || '/old' END AS audio_path FROM listing),
 diff AS (
     SELECT coalesce(n.recording_id, o.recording_id) AS recording_id, n.speaker_reason, n.recording_id IS NOT NULL AS listed, coalesce(o.status = 'active', false) AS live, o.recording_id IS NOT NULL AS known,
            coalesce(o.status = 'active' AND o.text_hash IS NOT NULL AND o.audio_path IS NOT DISTINCT FROM n.audio_path, false) AS current,

@@ -179,10 +179,10 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.status_counts(ledger_rows(spark, sf_dir))
 
 
-@query(f"WITH {SQL_SYNC} SELECT DISTINCT text_hash AS audio_sha256 FROM ledger o WHERE status = 'active' AND recording_id % 4 = 1 AND NOT EXISTS (SELECT 1 FROM ledger x WHERE x.status = 'active' AND x.recording_id % 4 <> 1 AND x.text_hash = o.text_hash)")
+@query(f"WITH {SQL_SYNC} SELECT DISTINCT text_hash AS audio_sha256 FROM ledger o WHERE status = 'active' AND audio_path = 'src3' AND NOT EXISTS (SELECT 1 FROM ledger x WHERE x.status = 'active' AND x.audio_path <> 'src3' AND x.text_hash = o.text_hash)")
 def erasable_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger_rows(spark, sf_dir)
-    return ledger.erasable_hashes(rows, rows.where("status = 'active' and recording_id % 4 = 1").select("recording_id"))
+    return ledger.erasable_hashes(rows, rows.where("status = 'active' and audio_path = 'src3'").select("recording_id"))
 
 
 @query(
@@ -225,12 +225,12 @@ def speaker_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
-    SELECT o_custkey, o_orderkey AS version FROM r WHERE n > 3 AND o_orderkey % 5 <> 0"""
+    """WITH r AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders)
+    SELECT o_custkey, o_orderkey AS version FROM r WHERE n > 3 AND o_orderstatus <> 'P'"""
 )
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("created_at"))
-    models = o.where("version % 5 = 0").select(F.col("version").alias("dataset_version"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("version"), F.col("o_orderdate").alias("created_at"), "o_orderstatus")
+    models = o.where("o_orderstatus = 'P'").select(F.col("version").alias("dataset_version"))
     return lineage.retention(o, models, 3, by=["o_custkey"]).select("o_custkey", "version")
 
 
@@ -349,14 +349,14 @@ def longest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("index"), "text", "role")
-    results = c.where("index % 5 <> 4").select("job", "index", "text", F.when(F.col("index") % 2 == 0, F.col("role")).alias("language"), F.col("role").alias("model"))
+    results = c.select("job", "index", F.when(F.col("index") % 5 != 4, F.col("text")).alias("text"), F.when(F.col("index") % 2 == 0, F.col("role")).alias("language"), F.col("role").alias("model"))
     return jobs.assemble(c.select("job", "index"), results).drop("models")
 
 
-@query("SELECT conv_id AS job, min(turn) AS resume_at FROM conversations WHERE turn % 5 = 4 OR role = 'assistant' GROUP BY conv_id")
+@query("SELECT conv_id AS job, min(turn) AS resume_at FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
 def resume_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("index"), "role")
-    return jobs.resume_points(c.select("job", "index").distinct(), c.where("index % 5 <> 4 and role <> 'assistant'"))
+    return jobs.resume_points(c.select("job", "index").distinct(), c.where("role <> 'assistant'"))
 
 
 @query(
