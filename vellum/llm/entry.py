@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear_lm, decontamination, jaccard_join, language_mixture, page_text, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
+from . import bilinear_lm, decontamination, jaccard_join, language_mixture, oracles, page_text, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
 from .frames import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,4 +80,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": oracles.DECONTAMINATION, "op3_jaccard_join": oracles.JACCARD_JOIN}

@@ -384,12 +384,21 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component the document with the smallest identifier; documents without words all stay.
 
-    Of repeated rows with that identifier one stays; rows with a null identifier
-    stay when nothing else is in their component.
+    Of repeated rows (equal identifier and text) one stays.  When a component has
+    only null identifiers, one of its documents stays.  What goes is usually little,
+    so documents are matched against that, without a shuffle when it is small.
     """
-    marked = join(docs.select(key, text), key, text)
-    first = marked.where((F.col("n_shingles") == 0) | F.col(key).eqNullSafe(F.col("component_id")))
-    chosen = first.groupBy(F.col("component_id").alias("_component"), (F.col("n_shingles") == 0).alias("_empty"), F.when(F.col("n_shingles") == 0, F.col("record")).alias("_own")).agg(F.min("record").alias("_record"))
-    columns = docs.columns
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), F.xxhash64(F.col(key), F.lit("|"), F.col(text)).alias("_record"))
-    return rows.join(chosen.select("_record").distinct(), "_record", "left_semi").select("row.*")
+    marked = written(join(docs.select(key, text), key, text), "components")
+    empty = F.col("n_shingles") == 0
+    first = marked.where(empty | F.col(key).eqNullSafe(F.col("component_id")))
+    group = [F.col("component_id").alias("_component"), empty.alias("_empty"), F.when(empty, F.col("record")).alias("_own")]
+    chosen = first.groupBy(*group).agg(F.min("record").alias("record")).select("record")
+    goes = marked.select("record").distinct().join(chosen, "record", "left_anti")
+    again = marked.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("record")
+    goes, again = written(goes, "removed"), written(again, "repeated")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(F.col(key), F.lit("|"), F.col(text)).alias("record"))
+    once = rows.join(_sized(goes.union(again).distinct()), "record", "left_anti")
+    if again.limit(1).count():
+        one = rows.join(_sized(again.join(goes, "record", "left_anti")), "record", "left_semi").dropDuplicates(["record"])
+        once = once.unionByName(one)
+    return once.select("row.*")
