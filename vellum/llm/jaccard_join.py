@@ -47,7 +47,7 @@ MOST_BROADCAST = 2_000_000
 LEAF, FAN = 8, 8
 CLASS_RATIO = 1.25
 #: Hashes that are ordered last, and how often a task must meet one to report it.
-MOST_COMMON, LOCALLY_COMMON = 1 << 16, 4
+MOST_COMMON, LOCALLY_COMMON = 1 << 19, 4
 SIGNATURE = "doc_id long, record long, n_shingles long, vertex long, bitmap binary, prefix array<long>"
 
 
@@ -370,8 +370,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     marks = written(signatures(docs, key, text, common_hashes(docs, text)), "signatures")
     some = marks.where("n_shingles > 0")
     kinds = written(some.groupBy("vertex").agg(F.min("record").alias("record"), F.min("doc_id").alias("low")), "vertices")
-    members = blocks(some)
-    chosen = some.select("vertex", "record", F.col("n_shingles").alias("n"), "bitmap").join(kinds.select("vertex", "record"), ["vertex", "record"])
+    members = written(blocks(some), "members")
+    meeting = kinds.join(_sized(members.select("vertex").distinct()), "vertex", "left_semi").select("vertex", "record")
+    chosen = some.select("vertex", "record", F.col("n_shingles").alias("n"), "bitmap").join(_sized(meeting), ["vertex", "record"])
     left = written(prune(members.join(chosen, "vertex").select("block", "vertex", "record", "n", "bitmap")), "clusters")
     found = labels(links(left, docs, key, text))
     lowest = kinds.join(found, "vertex").groupBy("label").agg(F.min("low").alias("component"))
