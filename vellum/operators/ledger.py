@@ -168,3 +168,30 @@ def sync(ledger: DataFrame, rejected: DataFrame, listing: DataFrame, corpus_id:
     kept = without(without(rejected, stale_rejections(rejected, listing, corpus_id)), delta)
     bad = marked.where(F.col("reason").isin("audio_undecodable", "duration_out_of_range")).select("recording_id", F.lit(corpus_id).cast("long").alias("corpus_id"), "reason", "audio_path")
     return after, with_rejections(kept, bad, now), marked
+
+
+VERSION = 2
+
+
+def migrated(ledger: DataFrame, version: int | None) -> DataFrame:
+    """A ledger of an older version with the columns that were added since; newer ones are refused."""
+    from pyspark.sql.types import StructType
+
+    if version is not None and version > VERSION:
+        raise ValueError(f"ledger version {version} is newer than {VERSION}")
+    wanted = StructType.fromDDL(LEDGER)
+    have = set(ledger.columns)
+    return ledger.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def build_rows(ledger: DataFrame, files: DataFrame, corpus_id: int | None = None) -> DataFrame:
+    """Active rows for a build, texts normalised and hashed anew; ValueError when audio files (audio_sha256) are missing."""
+    from vellum.functions.text import normalize_text, text_hash
+
+    rows = active(ledger, corpus_id)
+    missing = rows.join(files.select("audio_sha256"), "audio_sha256", "left_anti")
+    first = [r.recording_id for r in missing.select("recording_id").orderBy("recording_id").limit(10).collect()]
+    if first:
+        raise ValueError(f"{missing.count()} recordings have no audio file, such as {first}")
+    text = normalize_text(F.col("text"))
+    return rows.select("recording_id", F.nullif("speaker_id", F.lit("")).alias("speaker_id"), text.alias("text"), text_hash(text).alias("text_hash"), "audio_sha256", "duration", "quality_score").orderBy("recording_id")

@@ -422,6 +422,20 @@ def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", jobs.training_memory(p, F.when(even, "full").otherwise("lora"), even, ~even, F.lit(4)).alias("gb"))
 
 
+@query("SELECT conv_id AS job, turn AS index, CASE WHEN lag(turn) OVER w = turn - 1 THEN lag(text) OVER w END AS previous_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def previous_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("index"), "text")
+    return jobs.previous_texts(c).drop("text")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'sv' ELSE 'fi' END AS language, 'queued' AS status FROM orders")
+def job_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = F.when(F.col("o_orderpriority") == "1-URGENT", F.create_map(F.lit("language"), F.lit("sv")))
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), params.alias("params"), F.lit("path").alias("kind"), F.lit("p").alias("path"), F.lit(None).cast("string").alias("url"))
+    made = jobs.created(requests, {"language": "fi", "chunk_seconds": "60"}, F.lit(NOW).cast("timestamp"))
+    return made.select("id", F.col("params")["language"].alias("language"), "status")
+
+
 # --- captions --------------------------------------------------------------------------------------------------
 
 

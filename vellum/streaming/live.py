@@ -309,3 +309,23 @@ def push(events: DataFrame, send: Callable[[str, list[dict]], int | None], check
         push_batches(batch, size).repartition("session").sortWithinPartitions("session", "batch").foreachPartition(deliver)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=linger)
+
+
+def delivery_error(mode: Column, url: Column, token: Column, hosts: list[str], longest: int = 2000) -> Column:
+    """Why a delivery request is not valid, or null; neither URL nor token is repeated."""
+    from vellum.functions.text import host_allowed
+
+    return (
+        F.when(~F.coalesce(mode, F.lit("sse")).isin("sse", "push"), "unknown mode")
+        .when(F.coalesce(mode, F.lit("sse")) == "sse", F.when(url.isNotNull() | token.isNotNull(), "url and token are for push only"))
+        .when(F.lit(not hosts), "push is not enabled")
+        .when(F.coalesce(F.length(url), F.lit(0)) == 0, "url is missing")
+        .when(F.length(url) > longest, "url is too long")
+        .when(token.isNotNull() & ((token == "") | (F.length(token) > longest) | (F.trim(token) != token) | token.rlike("\\p{Cntrl}")), "token is not valid")
+        .when(~host_allowed(url, hosts), "url is not allowed")
+    )
+
+
+def publish(transcripts: DataFrame, path: str, checkpoint: str):
+    """Append streamed events to files of lines, which readers follow by id."""
+    return transcripts.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
