@@ -6,6 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from vellum.functions.speakers import split_salt
 from vellum.operators import captions, jobs, ledger, lineage, metrics, registry, splits
 
 NOW = "2024-05-01T00:00:00Z"
@@ -74,7 +75,7 @@ def test_guard_takes_null_hashes_as_equal(spark):
 def test_version_is_the_hash_of_the_canonical_json(spark):
     ratios = {"train": 0.8, "dev": 0.1, "test": 0.1}
     rows = [(2, "h2", None, "ä"), (1, "h1", "a1", None)]
-    payload = {"v": 1, "rows": [list(r) for r in sorted(rows)], "split": {"ratios": ratios, "salt": "auditor-stt-split-v1:42"}}
+    payload = {"v": 1, "rows": [list(r) for r in sorted(rows)], "split": {"ratios": ratios, "salt": split_salt(42)}}
     want = hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
     df = spark.createDataFrame(rows, "recording_id long, text_hash string, audio_sha256 string, speaker_id string")
     assert splits.dataset_version(df, ratios) == want

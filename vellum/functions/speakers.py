@@ -37,7 +37,8 @@ def resolve_speaker(value: Column, salt: str | None) -> tuple[Column, Column]:
 
 
 def split_salt(seed: int) -> str:
-    return f"auditor-stt-split-v1:{seed}"  # fixed value: splits made before must not change
+    """Fixed value: splits that were made before depend on this text."""
+    return f"auditor-stt-split-v1:{seed}"
 
 
 def speaker_bucket(speaker: Column, salt: str) -> Column:

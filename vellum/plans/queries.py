@@ -36,7 +36,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 # --- splits and builds -------------------------------------------------------------------
 
-_BUCKET = "('0x' || substr(sha256('auditor-stt-split-v1:42:' || {0}), 1, 8))::BIGINT % 10000"
+_BUCKET = f"('0x' || substr(sha256('{speakers.split_salt(42)}:' || {{0}}), 1, 8))::BIGINT % 10000"
 _SPLIT = f"CASE WHEN {{0}} IS NULL OR {{0}} = '' THEN 'train' WHEN {_BUCKET} < 2000 THEN 'dev' WHEN {_BUCKET} < 4000 THEN 'test' ELSE 'train' END"
 _SPLIT_SQL = f"WITH {SQL_RECORDINGS}, split AS (SELECT *, {_SPLIT.format('speaker_id')} AS split FROM recordings)"
 _GUARD_SQL = _SPLIT_SQL + ", seen AS (SELECT DISTINCT text_hash FROM split WHERE split <> 'train'), kept AS (SELECT * FROM split WHERE split <> 'train' OR text_hash NOT IN (SELECT text_hash FROM seen))"
