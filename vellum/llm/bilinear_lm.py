@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .frames import written
+from .frames import batched, written
 
 WORDS, TAILS = 960, 64
 DIMENSIONS, NOISE, MINIBATCH, RATE = 32, 96, 4096, 0.08
@@ -108,7 +108,7 @@ def count(texts: DataFrame) -> DataFrame:
         if held:
             yield out(_summed(*map(np.concatenate, zip(*held, strict=True))))
 
-    return texts.mapInArrow(partial, "h long, tail int, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
+    return batched(texts, partial, "h long, tail int, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
 
 def class_of(model: Model, k: Tokens) -> np.ndarray:
@@ -215,7 +215,7 @@ def train(texts: DataFrame, model: Model, part: Column) -> Model:
                 flat = np.concatenate([getattr(trainer.m, f).ravel() for f in fields]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * n), pa.array(np.full(len(flat), n))], names=["i", "x", "n"])
 
-        mean = texts.where((part >= low) & (part < high)).select("text").mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
+        mean = batched(texts.where((part >= low) & (part < high)).select("text"), run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
         if len(mean):
             flat = np.zeros(len(mean), np.float32)
             flat[mean.column("i").to_numpy()] = mean.column("x").to_numpy()

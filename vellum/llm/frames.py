@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
+#: Arrow batches as Spark cuts them by default are large for texts; executors hold several at a time.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def batched(rows: DataFrame, f: Callable, schema) -> DataFrame:
+    """mapInArrow over batches of a few megabytes, unless the session sets another size than Spark's 64 MB."""
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_BYTES, "67108864b") in ("67108864b", "64m"):
+        conf.set(BATCH_BYTES, "4m")
+    return rows.mapInArrow(f, schema)
+
+
 Part = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]]
 
 
@@ -30,7 +42,7 @@ def append_columns(docs: DataFrame, result: list[tuple[str, pa.DataType]], part:
             arrays = [x if isinstance(x, pa.Array) else pa.array(np.asarray(x), kind) for x, (_, kind) in zip(columns, result, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *(n for n, _ in result)])
 
-    return docs.mapInArrow(run, schema)
+    return batched(docs, run, schema)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

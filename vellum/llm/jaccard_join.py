@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .frames import written
+from .frames import batched, written
 
 SHINGLE = 5
 PART = 1024
@@ -97,7 +97,7 @@ def common_hashes(docs: DataFrame, text: str) -> np.ndarray:
         if held:
             yield often(held)
 
-    counts = docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = batched(docs.select(F.col(text).alias("text")), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, key: str, text: str, common: np.ndarray) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("record"), pa.array(n), pa.array(vertex), pa.array(maps, pa.binary()), prefix], names=["doc_id", "record", "n_shingles", "vertex", "bitmap", "prefix"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(key), F.lit("|"), F.col(text)).alias("record"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, SIGNATURE)
+    return batched(rows, run, SIGNATURE)
 
 
 def _sized(small: DataFrame) -> DataFrame:
@@ -178,6 +178,7 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBa
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.concat_batches(held) if len(held) > 1 else held[0]
+    W.give_back()
 
 
 def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -287,7 +288,7 @@ def prune(members: DataFrame) -> DataFrame:
         if out:
             yield emit()
 
-    left = members.repartition("block").sortWithinPartitions("block").mapInArrow(run, "cluster long, vertex long, record long")
+    left = batched(members.repartition("block").sortWithinPartitions("block"), run, "cluster long, vertex long, record long")
     return left.distinct()
 
 
@@ -340,8 +341,8 @@ def links(left: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    found = left.join(rows.mapInArrow(sets, "record long, hashes array<long>"), "record").select("cluster", "vertex", "hashes")
-    return found.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "a long, b long").distinct()
+    found = left.join(batched(rows, sets, "record long, hashes array<long>"), "record").select("cluster", "vertex", "hashes")
+    return batched(found.repartition("cluster").sortWithinPartitions("cluster"), run, "a long, b long").distinct()
 
 
 def labels(edges: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .frames import append_columns
+from .frames import append_columns, batched
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
@@ -112,7 +112,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         yield from rows()
 
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = labelled.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = batched(labelled, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.limit(MOST_LANGUAGES * BUCKETS + 1).toArrow()
     languages = sorted(set(found.column("lang").unique().to_pylist()))
     if len(languages) > MOST_LANGUAGES:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .frames import append_columns
+from .frames import append_columns, batched
 
 MOST_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 512, 0.01, 1e-4
@@ -142,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, training, key: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], names=["x"])
 
     def collected(rows: DataFrame) -> np.ndarray:
-        found = rows.select(F.col(text).alias("text")).mapInArrow(measure, "x array<double>").toArrow().column("x")
+        found = batched(rows.select(F.col(text).alias("text")), measure, "x array<double>").toArrow().column("x")
         return np.array(found.combine_chunks().flatten(), np.float64).reshape(-1, N_FEATURES)
 
     known = labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(key).agg(F.min(quality).alias("_quality")).where(training)

@@ -49,7 +49,7 @@ class Pieces:
         self.longest = max(map(len, pieces), default=1)
         self.spelling = {i: p for p, i in pieces.items()}
         self.lowest = min(scores, default=0.0) - 10.0
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str, kind: str = "bpe") -> Pieces:
@@ -77,11 +77,11 @@ class Pieces:
     def _may_follow(self, left: int, right: int) -> bool:
         if left < 0 or right < 0:
             return True
-        pair = (left, right)
+        pair = left << 32 | right
         known = self.fits.get(pair)
         if known is None:
             a, b = self.spelling[left], self.spelling[right]
-            if len(self.fits) > 1 << 20:
+            if len(self.fits) > 1 << 19:
                 self.fits.clear()
             known = self.fits[pair] = self.merged(a + b) == [a, b]
         return known
@@ -181,7 +181,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", kind: str = "bp
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         pieces = Pieces.load(model_path, kind)
         codes, spelled = WordCodes(pieces.encode_words), pieces.piece_bytes()
-        for batch in W.slices(batches, text, 4 << 20):
+        for batch in W.slices(batches, text, 2 << 20):
             t, r = marked_words(W.texts_of(batch.column(text)))
             ids, at = codes(t.data, r, len(t))
             back = decode(ids, at, spelled)

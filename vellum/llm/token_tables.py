@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .frames import shared_folder, written
+from .frames import batched, shared_folder, written
 from .word_codes import WordCodes
 
 MAGIC = b"VELLSST1"
@@ -226,7 +226,7 @@ def write_tables(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, k
             stream.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{path}/{name}"], "part": pa.array([part], pa.int32()), "first_key": [keys[0]], "last_key": [keys[1]], "n_docs": [writer.docs], "n_ids": [writer.ids]})
 
-    return written(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return written(batched(ordered, write, MANIFEST), "token-manifest")
 
 
 def read_tables(manifest: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def read_tables(manifest: DataFrame) -> DataFrame:
                 if out:
                     yield rows(out)
 
-    return shards.select("path", "start").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return batched(shards.select("path", "start").repartition(n), read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def lookup(manifest: DataFrame, identifier: int | None) -> DataFrame:
@@ -270,7 +270,7 @@ def lookup(manifest: DataFrame, identifier: int | None) -> DataFrame:
                 if found := [ids.astype("<u4").tobytes() for ids in open_table(path).get(identifier)]:
                     yield pa.RecordBatch.from_arrays([pa.array([identifier] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "ids"])
 
-    return shards.mapInArrow(find, "doc_id long, ids binary")
+    return batched(shards, find, "doc_id long, ids binary")
 
 
 def tables_folder(docs: DataFrame) -> str:

@@ -8,6 +8,7 @@ than space, tab, line feed, vertical tab, form feed and carriage return, that is
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,6 +37,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, as Spark keeps its Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Texts(NamedTuple):
     """The bytes of some texts one after the other, and where each begins and ends."""
 
@@ -85,6 +94,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20
             to = min(max(to, at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, stop: np.ndarray, fold: bool = False) -> Runs:
