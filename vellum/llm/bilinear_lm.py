@@ -289,7 +289,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         order = np.argsort(h)
         h, c = h[order], known.column("c").to_numpy()[order]
         out = []
-        for piece in W.slices(iter(texts.combine_chunks().to_batches()), "text"):
+        for piece in W.slices(iter(texts.combine_chunks().to_batches()), "text", 8 << 20):
             result = scored(model, W.texts_of(piece.column("text")), h, c, n, v)
             out.append(pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(result[0]), pa.array(result[1]), pa.array(np.full(len(piece), n, np.int64)), pa.array(result[2]), pa.array(result[3])], names=RESULT))
         return pa.Table.from_batches(out)

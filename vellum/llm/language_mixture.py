@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = np.array([*model.languages, UNKNOWN], object)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-        for batch in W.slices(batches, text, 4 << 20):
+        for batch in W.slices(batches, text):
             best, score = mixtures(model, W.texts_of(batch.column(text)))
             yield batch, [pa.array(names[best].tolist(), pa.string()), score]
 

@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of `docs`, score (likelier good when higher) and predicted; only the text is looked at."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
-        for batch in W.slices(batches, text, 4 << 20):
+        for batch in W.slices(batches, text):
             s = scores(model, W.texts_of(batch.column(text)))
             yield batch, [s, (s >= 0.5).astype(np.int32)]
 

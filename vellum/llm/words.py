@@ -77,7 +77,7 @@ def texts_of(column: pa.Array) -> Texts:
     return Texts(raw[offsets[0] : offsets[-1]], offsets - offsets[0])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 8 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = 2 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces of about `budget` text bytes, so that a task's memory stays bounded.
 
     A longer text is a piece by itself.
