@@ -1,5 +1,6 @@
 """Quality rules, language, classifier, pieces, sharding and token tables on small tables."""
 
+import base64
 import hmac  # noqa: F401
 import re
 import zlib
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -84,6 +86,21 @@ def test_compression_bands_reject_repeats_and_noise(spark):
     assert R.keep(rows(spark, texts)).columns == ["doc_id", "text", "lang", "source"]
 
 
+@pytest.mark.parametrize("n", [300, 700, 2000, 9000])
+def test_bands_alone_reject_encoded_data_and_symbols(n):
+    rng = np.random.default_rng(n)
+    raw = rng.bytes(n)
+    cut = lambda x, k: " ".join(x[at : at + k] for at in range(0, len(x), k))
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(800)]
+    text = prose(rng, n // 4, words)
+    marked = " ".join(f"{w}{m}" for w, m in zip(rng.choice(words[:150], n // 4), rng.choice(["***", "&&&", "###"], n // 4)))
+    texts = [text, cut(base64.b64encode(raw).decode(), 5)] + [marked, cut(raw.hex(), 8)] * (n >= 2000)
+    got = R.rules(W.texts_of(pa.array(texts)), zstandard.ZstdCompressor(level=R.LEVEL))
+    failed, kept = (dict(zip((name for name, _ in R.RESULT), got))[c].tolist() for c in ("base_failed", "kept"))
+    assert not any(failed)
+    assert kept == [True] + [False] * (len(texts) - 1)
+
+
 def test_clashing_columns_are_refused(spark):
     with pytest.raises(ValueError):
         R.score(rows(spark).withColumn("Kept", F.lit(1)))
