@@ -1,5 +1,7 @@
 """Jaccard join, decontamination, language model and page text against brute force."""
 
+import itertools
+import math
 import re
 import zlib
 
@@ -171,6 +173,39 @@ def test_overlaps_with_and_without_replaced_words(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in pairs}
 
 
+def test_masks_lie_on_equal_words_for_all_replacements():
+    for n in range(D.SHORTEST, D.WINDOW + 1):
+        masks = D.SEEDS if n >= D.LONG else D.SHORT_SEEDS
+        places = [{at + k for k in mask} for mask in masks for at in range(n - mask[-1])]
+        for gone in itertools.combinations(range(n), n - math.ceil(D.SHARE * n)):
+            assert any(not place & set(gone) for place in places), (n, gone)
+
+
+def test_overlaps_equal_all_alignments(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k // 2 if k < 4 else None if k == 4 else k, " ".join(rng.choice(vocabulary, n))) for k, n in enumerate([*range(5, 16), 18, 25, 40])]
+    docs, want = [], set()
+    for k, (i, text) in enumerate(items * 12):
+        x = text.split()[-13:] if k % 3 == 0 else text.split()
+        w = min(13, len(x))
+        for j in rng.choice(w, w - math.ceil(0.75 * w) + (k % 7 == 0), replace=False):
+            x[len(x) - 1 - j] = "other"
+        docs.append((k, " ".join([*rng.choice(vocabulary, 20), *x, *rng.choice(vocabulary, 20)])))
+    for d, t in docs:
+        words = t.split()
+        for i, item in items:
+            x = item.split()
+            w = min(13, len(x))
+            for start in range(-len(x) + 1, len(words)):
+                same = [0 <= start + j < len(words) and words[start + j] == x[j] for j in range(len(x))]
+                if max(sum(same[s : s + w]) for s in range(len(x) - w + 1)) >= math.ceil(0.75 * w):
+                    want.add((d, i, len(x)))
+    assert len(want) > 100
+    got = [(r.doc_id, r.item_id, r.item_words) for r in D.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("docs,items", [([], [(1, "a b c d e f")]), ([(1, "a b c d e f g h i j k l m")], []), ([], [])])
 def test_overlaps_of_empty_tables(spark, docs, items):
     assert D.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect() == []

@@ -2,7 +2,9 @@
 
 Texts are cut into words (lower case, split at ASCII characters other than
 letters and digits).  Each fixed mask names the word positions of a span that count; the others
-are ignored, so that a replaced word there does no harm.  The hashes of the masked
+are ignored, so that a replaced word there does no harm.  The masks miss nothing: however
+the replaced words of a window that counts lie, one of its places has a mask on equal
+words only.  The hashes of the masked
 words at every position of the documents are joined with those of the benchmark.
 A hit fixes how document and item lie against each other; the words of the whole
 item are then compared in that position, and the pair is an overlap when some
@@ -13,21 +15,26 @@ Only DataFrame and SQL functions are used.  The benchmark's hashes are counted:
 to `MOST_BROADCAST` they are broadcast, beyond that the join shuffles.
 
 Cases: null and empty texts and items overlap with nothing, nor do items of less
-than five words; a null identifier is kept as null; repeated rows (same identifier and
-text) give one result; an empty table gives no rows; of the columns of both tables
+than five words; a null identifier is kept as null, of items too; repeated rows (same identifier and
+text) give one result, and items with one identifier and several texts are items each; an empty table gives no rows; of the columns of both tables
 only identifier and text are read, so others may have any names.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import written
 
-#: Word positions that count, for items of 11 words and more.
+#: Word positions that count, for items of 9 words and more, and for items of 5 to 8 words.
+SEEDS, SHORT_SEEDS = ((0, 1, 2, 4), (0, 3, 4, 5)), ((0, 1, 2), (0, 1, 3))
+LONG = 9
+#: Sparser masks that the SQL of this query states; they miss some windows.
 MASKS = ((0, 1, 2, 4, 5, 6, 8), (0, 1, 2, 3, 5, 6, 7), (0, 2, 3, 5, 8, 9, 10))
-#: For items of 5 to 10 words.
+#: In the SQL, for items of 5 to 10 words.
 SHORT_MASKS = ((0, 1, 2, 3, 4),)
 SPAN = 11
 SHORTEST = 5
@@ -73,6 +80,12 @@ def _positions(rows: DataFrame, masks: tuple[tuple[int, ...], ...], number: int)
     return rows.select("id", size.alias("n"), F.posexplode(masked("words", "triples", masks, number)).alias("p", "hash")).select("id", "hash", (F.col("p") % F.col("n")).alias("at"), "n")
 
 
+def _inside(items: DataFrame, masks: tuple[tuple[int, ...], ...], number: int) -> DataFrame:
+    """_positions where the whole mask lies inside the item."""
+    each = [_positions(items, (mask,), number + m).where(F.col("at") < F.col("n") - mask[-1]) for m, mask in enumerate(masks)]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
 def _sized(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """The rows with a broadcast hint if their number allows."""
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
@@ -81,9 +94,8 @@ def _sized(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 def seeds(items: DataFrame) -> tuple[DataFrame, bool, bool]:
     """Hashes of the items with their item and position, and whether there are long and short items."""
     size = F.size("words")
-    long, short = items.where(size >= SPAN), items.where((size >= SHORTEST) & (size < SPAN))
-    whole = _positions(long, MASKS, 0).where(F.col("at") <= F.col("n") - SPAN)
-    brief = _positions(short, SHORT_MASKS, len(MASKS)).where(F.col("at") <= F.col("n") - SHORTEST)
+    long, short = items.where(size >= LONG), items.where((size >= SHORTEST) & (size < LONG))
+    whole, brief = _inside(long, SEEDS, 0), _inside(short, SHORT_SEEDS, len(SEEDS))
     found = written(whole.unionByName(brief).select("hash", F.col("id").alias("item"), F.col("at").alias("item_at")), "benchmark-seeds")
     return found, bool(long.limit(1).count()), bool(short.limit(1).count())
 
@@ -95,28 +107,30 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_ke
     the document where the item's first word lies, may be negative), item_words,
     matched (words of the item equal in place) and best_window.
     """
-    items = benchmark.select(F.col(item_key).alias("id"), word_hashes(F.col(text)).alias("words"))
+    named = benchmark.select(F.col(item_key).alias("item_id"), record_key(item_key, text).alias("id"), word_hashes(F.col(text)).alias("words")).dropDuplicates(["id"])
+    items = named.select("id", "words")
     table, has_long, has_short = seeds(items)
-    masks = (MASKS if has_long else ()) + (SHORT_MASKS if has_short else ())
-    number = 0 if has_long else len(MASKS)
+    masks = (SEEDS if has_long else ()) + (SHORT_SEEDS if has_short else ())
+    number = 0 if has_long else len(SEEDS)
     rows = docs.select(F.col(key).alias("doc_id"), record_key(key, text).alias("id"), word_hashes(F.col(text)).alias("words"))
     hits = _positions(rows, masks, number) if masks else rows.select("id", F.lit(0).cast("long").alias("hash"), F.lit(0).alias("at")).limit(0)
     placed = hits.join(_sized(table), "hash").select(F.col("id").alias("record"), "item", (F.col("at") - F.col("item_at")).alias("start")).distinct()
     placed = written(placed, "seed-hits")
+    texts = named.select(F.col("id").alias("item"), "item_id", F.col("words").alias("item_words"))
     aligned = (
         rows.withColumnRenamed("id", "record")
         .join(_sized(placed), "record")
-        .join(F.broadcast(items.select(F.col("id").alias("item"), F.col("words").alias("item_words"))) if _few(benchmark) else items.select(F.col("id").alias("item"), F.col("words").alias("item_words")), "item")
-        .select("record", "doc_id", "item", "start", F.size("item_words").alias("n"), F.expr("transform(item_words, (x, j) -> if(get(words, start + j) = x, 1, 0))").alias("same"))
+        .join(F.broadcast(texts) if _few(benchmark) else texts, "item")
+        .select("record", "doc_id", "item", "item_id", "start", F.size("item_words").alias("n"), F.expr("transform(item_words, (x, j) -> if(get(words, start + j) = x, 1, 0))").alias("same"))
     )
     aligned = aligned.withColumn("same", F.expr("transform(same, x -> coalesce(x, 0))"))
     width = F.least(F.lit(WINDOW), F.col("n"))
     windows = F.expr(f"array_max(transform(sequence(0, n - least({WINDOW}, n)), s -> aggregate(slice(same, s + 1, least({WINDOW}, n)), 0, (a, x) -> a + x)))")
-    judged = aligned.select("record", "doc_id", "item", "start", "n", F.expr("aggregate(same, 0, (a, x) -> a + x)").alias("matched"), windows.alias("best_window"))
+    judged = aligned.select("record", "doc_id", "item", "item_id", "start", "n", F.expr("aggregate(same, 0, (a, x) -> a + x)").alias("matched"), windows.alias("best_window"))
     judged = judged.where(F.col("best_window") >= F.ceil(width * SHARE))
-    best = judged.groupBy("record", "doc_id", "item").agg(F.max(F.struct("best_window", "matched", (-F.col("start")).alias("s"), "n")).alias("b"))
+    best = judged.groupBy("record", "doc_id", "item", "item_id").agg(F.max(F.struct("best_window", "matched", (-F.col("start")).alias("s"), "n")).alias("b"))
     return best.select(
-        "record", "doc_id", F.col("item").alias("item_id"), (-F.col("b.s")).alias("start"), F.col("b.n").alias("item_words"), F.col("b.matched").alias("matched"), F.col("b.best_window").alias("best_window")
+        "record", "doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.n").alias("item_words"), F.col("b.matched").alias("matched"), F.col("b.best_window").alias("best_window")
     )
 
 
