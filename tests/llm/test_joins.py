@@ -218,6 +218,36 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch):
     assert [(r.doc_id, r.item_id, r.start) for r in got] == [(1, 9, 1)]
 
 
+def all_alignments(docs, items, shortest):
+    """Pairs that overlap by trying every position, without seeds."""
+    cut = lambda t: [w for w in re.split(r"[\x00-/:-@\[-`{-\x7f]+", (t or "").lower()) if w]
+    found = set()
+    for d, t in docs:
+        words = cut(t)
+        for i, item in items:
+            x = cut(item)
+            if len(x) < shortest:
+                continue
+            w = min(13, len(x))
+            for start in range(-len(x) + 1, len(words)):
+                same = [0 <= start + j < len(words) and words[start + j] == x[j] for j in range(len(x))]
+                if max(sum(same[s : s + w]) for s in range(len(x) - w + 1)) >= math.ceil(0.75 * w):
+                    found.add((d, i, len(x)))
+    return found
+
+
+@pytest.mark.parametrize("most", [D.MOST_BROADCAST, 0])
+def test_overlaps_of_very_short_items_equal_all_alignments(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "MOST_BROADCAST", most)
+    rng = np.random.default_rng(21)
+    items = [(k, " ".join(rng.choice([f"w{j}" for j in range(30)], n))) for k, n in enumerate([1, 2, 3, 4, 4, 5, 6, 8, 9, 14])]
+    docs = [(k, " ".join(rng.choice([f"w{j}" for j in range(30)], int(rng.integers(0, 40))))) for k in range(80)]
+    docs += [(100 + i, text) for i, text in items] + [(200 + i, " ".join(text.split()[1:] + ["end"])) for i, text in items]
+    for shortest in (1, 3, 5):
+        got = [(r.doc_id, r.item_id, r.item_words) for r in D.overlaps(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), shortest=shortest).collect()]
+        assert len(got) == len(set(got)) and set(got) == all_alignments(docs, items, shortest)
+
+
 def test_language_model_counts_and_probabilities(spark, monkeypatch):
     monkeypatch.setattr(B, "BATCH_TOKENS", 300)
     rng = np.random.default_rng(7)

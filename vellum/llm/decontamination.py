@@ -11,12 +11,18 @@ item are then compared in that position, and the pair is an overlap when some
 window of `WINDOW` words (the whole item, if shorter) has at least
 `SHARE` of its words equal in place.
 
-Only DataFrame and SQL functions are used.  The benchmark's hashes are counted: up
-to `MOST_BROADCAST` they are broadcast, beyond that the join shuffles.
+Only DataFrame and SQL functions are used.  Texts are cut once, every word is hashed
+once, and each position becomes one row with a hash for each mask; the rows that no
+seed meets go at once.  Seeds, hits and items are broadcast up to
+`MOST_BROADCAST` bytes, measured first; beyond that the joins shuffle, that by hash
+with the documents' side dealt over `SALTS` copies of the seeds, so that a passage
+that most documents share does not meet in one task.
 
 Cases: null and empty texts and items overlap with nothing, nor do items of less
-than five words; a null identifier is kept as null, of items too; repeated rows (same identifier and
-text) give one result, and items with one identifier and several texts are items each; an empty table gives no rows; of the columns of both tables
+than `shortest` words (one to four words are no evidence unless asked for; they take masks of two words or one); a null identifier is kept as null, of items too; repeated rows (same identifier and
+text) give one result, and items with one identifier and several texts are items each; of several
+alignments of a pair the one with the best window counts, of equal ones that with more equal words, then the
+first; an empty table gives no rows; of the columns of both tables
 only identifier and text are read, so others may have any names.
 """
 
@@ -31,111 +37,125 @@ from .frames import written
 
 #: Word positions that count, for items of 9 words and more, and for items of 5 to 8 words.
 SEEDS, SHORT_SEEDS = ((0, 1, 2, 4), (0, 3, 4, 5)), ((0, 1, 2), (0, 1, 3))
-LONG = 9
-#: Sparser masks that the SQL of this query states; they miss some windows.
-MASKS = ((0, 1, 2, 4, 5, 6, 8), (0, 1, 2, 3, 5, 6, 7), (0, 2, 3, 5, 8, 9, 10))
-#: In the SQL, for items of 5 to 10 words.
-SHORT_MASKS = ((0, 1, 2, 3, 4),)
-SPAN = 11
-SHORTEST = 5
+LONG, SHORTEST = 9, 5
+#: Fewest and most words of an item, and its masks.
+GROUPS = ((LONG, 1 << 30, SEEDS), (SHORTEST, LONG - 1, SHORT_SEEDS), (2, SHORTEST - 1, ((0, 1),)), (1, 1, ((0,),)))
 WINDOW, SHARE = 13, 0.75
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 64 << 20
+SALTS = 32
 _SPLIT = "[\\x00-/:-@\\[-`{-\\x7f]+"
 
+#: A mask in use: its number, the positions, and the fewest and most words of the items that it is for.
+Mask = tuple[int, tuple[int, ...], int, int]
 
-def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
 
-
-def masked(words: str, triples: str, masks: tuple[tuple[int, ...], ...], number: int) -> Column:
-    """For each mask the hashes at all positions, one mask after the other; near the end some words are missing.
-
-    `triples` has the hash of each three words in a row, so three positions of a
-    mask that follow one another are one look-up.
-    """
-
-    def look_ups(mask: tuple[int, ...]) -> list[str]:
-        out, k = [], 0
-        while k < len(mask):
-            run = mask[k : k + 3] == (mask[k], mask[k] + 1, mask[k] + 2)
-            at = f"get({triples if run else words}, i + {mask[k]})"
-            out.append("x" if not run and mask[k] == 0 else at)
-            k += 3 if run else 1
-        return out
-
-    each = [f"transform({words}, (x, i) -> xxhash64({number + m}, {', '.join(look_ups(mask))}))" for m, mask in enumerate(masks)]
-    return F.expr(f"concat({', '.join(each)})")
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT), "")
 
 
 def record_key(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.lit("|"), F.col(text))
 
 
-def _positions(rows: DataFrame, masks: tuple[tuple[int, ...], ...], number: int) -> DataFrame:
-    """Columns id, hash and at (the position) of all masked words of rows with id and words."""
-    size = F.size("words")
-    triples = F.expr("transform(words, (x, i) -> xxhash64(x, get(words, i + 1), get(words, i + 2)))")
-    rows = rows.where(size > 0).select("id", "words", triples.alias("triples"))
-    return rows.select("id", size.alias("n"), F.posexplode(masked("words", "triples", masks, number)).alias("p", "hash")).select("id", "hash", (F.col("p") % F.col("n")).alias("at"), "n")
+def masks_of(low: int, high: int) -> list[Mask]:
+    """The masks of the groups of items that have between `low` and `high` words."""
+    out: list[Mask] = []
+    for number, (least, most, masks) in enumerate(GROUPS):
+        if least <= high and most >= low:
+            out += [(10 * number + k, mask, least, most) for k, mask in enumerate(masks)]
+    return out
 
 
-def _inside(items: DataFrame, masks: tuple[tuple[int, ...], ...], number: int) -> DataFrame:
-    """_positions where the whole mask lies inside the item."""
-    each = [_positions(items, (mask,), number + m).where(F.col("at") < F.col("n") - mask[-1]) for m, mask in enumerate(masks)]
+def masked(rows: DataFrame, words: Column, masks: list[Mask]) -> DataFrame:
+    """At every word of `rows`: the column id, n (number of words), at (the position) and h<number>, the hash of each mask's words from there on.
+
+    Beyond the end words are missing; such hashes equal those of no whole mask.
+    """
+    reach = 1 + max(mask[-1] for _, mask, _, _ in masks)
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    beside = F.flatten(F.transform(F.array(hashed), lambda h: F.arrays_zip(h, *[F.slice(h, k + 1, F.size(h)) for k in range(1, reach)])))
+    each = rows.select("id", F.posexplode(beside).alias("at", "near"))
+    names = each.schema["near"].dataType.names
+    return each.select("id", "at", *[F.xxhash64(F.lit(n), *[F.col("near")[names[p]] for p in mask]).alias(f"h{n}") for n, mask, _, _ in masks])
+
+
+def seeds(items: DataFrame, masks: list[Mask]) -> DataFrame:
+    """Columns hash, item and item_at: each mask at all places where it lies inside an item that it is for."""
+    n = F.size("item_words")
+    held = items.select(F.col("item").alias("id"), "item_words")
+    each = []
+    for mask in masks:
+        number, positions, least, most = mask
+        inside = masked(held.where(n.between(least, most)), F.col("item_words"), [mask]).join(items.select(F.col("item").alias("id"), n.alias("n")), "id")
+        each.append(inside.where(F.col("at") < F.col("n") - positions[-1]).select(F.col(f"h{number}").alias("hash"), F.col("id").alias("item"), F.col("at").alias("item_at")))
     return functools.reduce(DataFrame.unionByName, each)
 
 
-def _sized(small: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """The rows with a broadcast hint if their number allows."""
-    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+def _fits(rows: DataFrame, width: Column | int) -> bool:
+    """Whether the rows, of a width in bytes each, may be broadcast."""
+    width = F.lit(width) if isinstance(width, int) else width
+    return (rows.agg(F.sum(width.cast("long"))).first()[0] or 0) <= MOST_BROADCAST
+
 
+def _sized(small: DataFrame, width: Column | int = 32) -> DataFrame:
+    """The rows with a broadcast hint if their bytes allow."""
+    return F.broadcast(small) if _fits(small, width) else small
 
-def seeds(items: DataFrame) -> tuple[DataFrame, bool, bool]:
-    """Hashes of the items with their item and position, and whether there are long and short items."""
-    size = F.size("words")
-    long, short = items.where(size >= LONG), items.where((size >= SHORTEST) & (size < LONG))
-    whole, brief = _inside(long, SEEDS, 0), _inside(short, SHORT_SEEDS, len(SEEDS))
-    found = written(whole.unionByName(brief).select("hash", F.col("id").alias("item"), F.col("at").alias("item_at")), "benchmark-seeds")
-    return found, bool(long.limit(1).count()), bool(short.limit(1).count())
 
+def seed_hits(positions: DataFrame, found: DataFrame, masks: list[Mask]) -> DataFrame:
+    """Columns record, item and start of all positions that a seed meets."""
+    hashes = [f"h{number}" for number, *_ in masks]
+    if _fits(found, 48):
+        near = positions
+        for h in hashes:
+            near = near.join(F.broadcast(found.select(F.col("hash").alias(f"_{h}")).distinct()), F.col(h) == F.col(f"_{h}"), "left")
+        some = F.array_compact(F.array(*[F.col(f"_{h}") for h in hashes]))
+        near = near.where(functools.reduce(Column.__or__, [F.col(f"_{h}").isNotNull() for h in hashes])).select("id", "at", F.explode(some).alias("hash"))
+        met = near.join(F.broadcast(found), "hash")
+    else:
+        near = positions.select("id", "at", F.explode(F.array(*hashes)).alias("hash")).withColumn("salt", F.pmod(F.col("id"), F.lit(SALTS)))
+        met = near.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["hash", "salt"])
+    return met.select(F.col("id").alias("record"), "item", (F.col("at") - F.col("item_at")).alias("start")).distinct()
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", shortest: int = SHORTEST) -> DataFrame:
     """One row for each document and item that overlap.
 
     Columns: record (hash of identifier and text), doc_id, item_id, start (word of
     the document where the item's first word lies, may be negative), item_words,
     matched (words of the item equal in place) and best_window.
     """
-    named = benchmark.select(F.col(item_key).alias("item_id"), record_key(item_key, text).alias("id"), word_hashes(F.col(text)).alias("words")).dropDuplicates(["id"])
-    items = named.select("id", "words")
-    table, has_long, has_short = seeds(items)
-    masks = (SEEDS if has_long else ()) + (SHORT_SEEDS if has_short else ())
-    number = 0 if has_long else len(SEEDS)
-    rows = docs.select(F.col(key).alias("doc_id"), record_key(key, text).alias("id"), word_hashes(F.col(text)).alias("words"))
-    hits = _positions(rows, masks, number) if masks else rows.select("id", F.lit(0).cast("long").alias("hash"), F.lit(0).alias("at")).limit(0)
-    placed = hits.join(_sized(table), "hash").select(F.col("id").alias("record"), "item", (F.col("at") - F.col("item_at")).alias("start")).distinct()
-    placed = written(placed, "seed-hits")
-    texts = named.select(F.col("id").alias("item"), "item_id", F.col("words").alias("item_words"))
-    aligned = (
-        rows.withColumnRenamed("id", "record")
-        .join(_sized(placed), "record")
-        .join(F.broadcast(texts) if _few(benchmark) else texts, "item")
-        .select("record", "doc_id", "item", "item_id", "start", F.size("item_words").alias("n"), F.expr("transform(item_words, (x, j) -> if(get(words, start + j) = x, 1, 0))").alias("same"))
-    )
-    aligned = aligned.withColumn("same", F.expr("transform(same, x -> coalesce(x, 0))"))
-    width = F.least(F.lit(WINDOW), F.col("n"))
+    if shortest < 1:
+        raise ValueError("items need at least one word")
+    named = benchmark.select(F.col(item_key).alias("item_id"), record_key(item_key, text).alias("item"), words_of(F.col(text)).alias("item_words"))
+    items = written(named.where(F.size("item_words") >= shortest).dropDuplicates(["item"]), "benchmark-words")
+    n = F.size("item_words")
+    sizes = items.agg(F.min(n), F.max(n), F.sum(F.octet_length(F.array_join("item_words", " ")) + 24 * n + 64)).first()
+    masks = masks_of(sizes[0], sizes[1]) if sizes[0] else masks_of(WINDOW, WINDOW)
+    rows = docs.select(F.col(key).alias("doc_id"), record_key(key, text).alias("id"), F.col(text).alias("text"))
+    found = written(seeds(items, masks), "benchmark-seeds")
+    placed = written(seed_hits(masked(rows, words_of(F.col("text")), masks), found, masks), "seed-hits")
+    by_record = placed.join(F.broadcast(items.select("item", n.alias("n"))) if _fits(items, 24) else items.select("item", n.alias("n")), "item")
+    by_record = by_record.groupBy(F.col("record").alias("id")).agg(F.collect_list(F.struct("item", "start", "n")).alias("hits"))
+    beside = F.flatten(F.transform(F.array(words_of(F.col("text"))), lambda w: F.transform("hits", lambda h: F.struct(h["item"].alias("item"), h["start"].alias("start"), _part(w, h).alias("part")))))
+    texts = items.select("item", "item_id", "item_words")
+    placed_texts = rows.join(_sized(by_record, 16 + 24 * F.size("hits")), "id").select("id", "doc_id", F.explode(beside).alias("h")).select("id", "doc_id", "h.*")
+    aligned = placed_texts.join(F.broadcast(texts) if (sizes[2] or 0) <= MOST_BROADCAST else texts, "item")
+    same = "transform(item_words, (x, j) -> if(get(part, j + least(start, 0)) <=> x, 1, 0))"
+    aligned = aligned.select(F.col("id").alias("record"), "doc_id", "item", "item_id", "start", n.alias("n"), F.expr(same).alias("same"))
     windows = F.expr(f"array_max(transform(sequence(0, n - least({WINDOW}, n)), s -> aggregate(slice(same, s + 1, least({WINDOW}, n)), 0, (a, x) -> a + x)))")
     judged = aligned.select("record", "doc_id", "item", "item_id", "start", "n", F.expr("aggregate(same, 0, (a, x) -> a + x)").alias("matched"), windows.alias("best_window"))
-    judged = judged.where(F.col("best_window") >= F.ceil(width * SHARE))
+    judged = judged.where(F.col("best_window") >= F.ceil(F.least(F.lit(WINDOW), F.col("n")) * SHARE))
     best = judged.groupBy("record", "doc_id", "item", "item_id").agg(F.max(F.struct("best_window", "matched", (-F.col("start")).alias("s"), "n")).alias("b"))
     return best.select(
         "record", "doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.n").alias("item_words"), F.col("b.matched").alias("matched"), F.col("b.best_window").alias("best_window")
     )
 
 
-def _few(benchmark: DataFrame, most: int = 100_000) -> bool:
-    return benchmark.limit(most + 1).count() <= most
+def _part(words: Column, hit: Column) -> Column:
+    """The document's words beside the item; those before its first word are missing at the front."""
+    before = F.least(hit["start"], F.lit(0))
+    return F.slice(words, hit["start"] - before + 1, F.greatest(hit["n"] + before, F.lit(0)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:

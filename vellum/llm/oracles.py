@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontamination import MASKS, SHARE, SHORT_MASKS, SHORTEST, SPAN, WINDOW
+from .decontamination import SHARE, SHORTEST, WINDOW
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -18,20 +18,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id FROM d
 """
 
 
-def _seeded(masks: tuple[tuple[int, ...], ...], last: str) -> str:
-    tests = " OR ".join(f"list_has_all(ps, [{', '.join(f'p + {k}' for k in mask)}])" for mask in masks)
-    return f"len([p FOR p IN range(0, {last}) IF {tests}]) > 0"
-
-
 _CUT = r"[w FOR w IN string_split_regex(lower(coalesce(text, '')), '[\x00-/:-@\[-`{-\x7f]+') IF w <> '']"
 
-#: Equal words of document and item by how they lie against each other, then seeds and windows on the positions.
+#: Equal words of document and item by how they lie against each other, in all positions, then the best window of each; no seeds.
 DECONTAMINATION = f"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
 dw AS (SELECT doc_id, {_CUT} AS w FROM d), dt AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS t FROM dw),
 iw AS (SELECT item_id, {_CUT} AS w FROM benchmark), it AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS t FROM iw),
-m AS (SELECT doc_id, item_id, n, dt.p - it.p AS start, list(it.p) AS ps FROM dt JOIN it ON dt.t = it.t WHERE n >= {SHORTEST} GROUP BY ALL HAVING count(*) >= 5),
-x AS (SELECT *, least({WINDOW}, n) AS z FROM m WHERE CASE WHEN n >= {SPAN} THEN {_seeded(MASKS, f'n - {SPAN} + 1')} ELSE {_seeded(SHORT_MASKS, f'n - {SHORTEST} + 1')} END),
+x AS (SELECT doc_id, item_id, n, least({WINDOW}, n) AS z, dt.p - it.p AS start, list(it.p) AS ps FROM dt JOIN it ON dt.t = it.t WHERE n >= {SHORTEST} GROUP BY ALL HAVING count(*) >= ceil(least({WINDOW}, n) * {SHARE})),
 y AS (SELECT *, len(ps) AS matched, list_max([len([q FOR q IN ps IF q >= s AND q < s + z]) FOR s IN range(0, n - z + 1)]) AS best_window FROM x),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best_window DESC, matched DESC, start) AS r FROM y WHERE best_window >= ceil(z * {SHARE}))
 SELECT doc_id, item_id, start::INTEGER AS start, n::INTEGER AS item_words, matched::INTEGER AS matched, best_window::INTEGER AS best_window FROM k WHERE r = 1
