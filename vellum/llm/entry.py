@@ -32,7 +32,7 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("record")
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("record", "label")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs).drop("text")
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_quality_rules that SQL can express."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on op4_sharding: what it must keep of the table, and its laws."""
+    rows = op4_sharding(spark, sf_dir)
+    shards = rows.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots"), F.max("size").alias("largest"))
+    gapless = (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n"))
+    law = shards.agg(F.count(F.lit(1)).alias("shards"), F.every(gapless).alias("gapless"), (F.max("bytes") - F.min("bytes") <= 2 * F.max("largest")).alias("near_equal"))
+    kept = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"))
+    return kept.crossJoin(law)  # two single rows
+
+
 def op7_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bilinear_lm.score(table(spark, sf_dir, "documents"), held_out("doc_id", 5, 1))
 
@@ -76,8 +91,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentence_pieces, op3_jaccard_join, op4_sharding, op5_page_text, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
+    return {f.__name__: f for f in (quality_base, sharding_law, op1_decontamination, op2_sentence_pieces, op3_jaccard_join, op4_sharding, op5_page_text, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": oracles.DECONTAMINATION, "op3_jaccard_join": oracles.JACCARD_JOIN}
+    return {"op1_decontamination": oracles.DECONTAMINATION, "op3_jaccard_join": oracles.JACCARD_JOIN, "quality_base": oracles.QUALITY_BASE, "sharding_law": oracles.SHARDING_LAW}

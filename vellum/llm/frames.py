@@ -48,12 +48,15 @@ def append_columns(docs: DataFrame, result: list[tuple[str, pa.DataType]], part:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is missing (tests on one machine) a temporary folder stands in.
+    Only where the setting is missing on a local master (tests on one machine) a temporary
+    folder stands in; on a cluster it must be set.
     """
     import uuid
 
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         top = "file://" + tempfile.mkdtemp(prefix="vellum-")
@@ -72,6 +75,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more rows than this is hot; at most so many hot keys are broadcast, the hottest first.
+HOT, MOST_HOT = 1000, 1 << 18
+
+
+def hot_keys(counted: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The keys with more than HOT rows, of a table that has the number of rows of each."""
+    return written(counted.where(F.col(n) > HOT).orderBy(F.desc(n)).limit(MOST_HOT).select(*keys), "hot-keys")
+
+
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join with `one`, which has a row a key: rows with a hot key meet a broadcast of these keys' rows, the others are shuffled."""
+    if not hot.limit(1).count():
+        return many.join(one, keys)
+    apart = many.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(one.join(F.broadcast(hot), keys, "left_semi")), keys)
+    return apart.unionByName(many.join(F.broadcast(hot), keys, "left_anti").join(one, keys))
+
+
 def held_out(key: str, of: int, part: int) -> Column:
     """Whether crc32 of the identifier as text leaves the remainder `part`; a null identifier does not."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % of == part, F.lit(False))

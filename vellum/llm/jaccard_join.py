@@ -21,12 +21,15 @@ vertex, and a component is what links connect.
    breadth-first search from set to set, and a spanning forest is what a cluster returns.
 5. Components: smallest labels are passed along the forest's edges until nothing changes.
 
-All grouping is by shuffles that combine on the map side; a block has a bounded number of sets.
+All grouping is by shuffles that combine on the map side; a block has a bounded number of sets and
+shingles, and keys that very many rows share are joined by broadcast of those keys alone.  The sets of a
+large block are compared part by part, so the work in one very large cluster of different near copies
+grows with the square of its number of different sets (exact copies are one set).
 
 Cases: null and empty texts have no shingles, link with nothing and are their own
 component; null identifiers take part but name no component unless there is no
-other; repeated rows are copies; an empty table gives no rows; extra columns are
-kept, and a clash with a result column raises ValueError.
+other; repeated rows are copies; an empty table gives no rows; of the columns only
+identifier and text are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -39,11 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .frames import batched, written
+from .frames import batched, hot_join, hot_keys, written
 
 SHINGLE = 5
-PART = 1024
-MOST_BROADCAST = 2_000_000
+#: Most sets, and about most shingles, of one part of a block.
+PART, PART_SHINGLES = 1024, 1 << 21
+#: Bytes of a table of a few longs that may be broadcast, and what a row of it takes.
+MOST_BROADCAST, ROW = 64 << 20, 32
 LEAF, FAN = 8, 8
 CLASS_RATIO = 1.25
 #: Hashes that are ordered last, and how often a task must meet one to report it.
@@ -139,8 +144,9 @@ def signatures(docs: DataFrame, key: str, text: str, common: np.ndarray) -> Data
 
 
 def _sized(small: DataFrame) -> DataFrame:
-    """With a broadcast hint if there are few enough rows (of a few longs); else the join shuffles."""
-    return F.broadcast(small) if small.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else small
+    """With a broadcast hint if the rows (of a few longs) take few enough bytes; else the join shuffles."""
+    most = MOST_BROADCAST // ROW
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
 def blocks(marks: DataFrame) -> DataFrame:
@@ -154,11 +160,14 @@ def blocks(marks: DataFrame) -> DataFrame:
     own, next_class = F.struct(size_class.alias("s"), F.lit(True).alias("own")), F.struct((size_class + 1).alias("s"), F.lit(False).alias("own"))
     classes = F.when(F.col("short"), F.array(own, next_class)).otherwise(F.array(own))
     classed = written(kept.select("h", "vertex", "short", F.explode(classes).alias("c")).select("h", "c.s", "c.own", "short", "vertex"), "size-classes")
-    meets = classed.groupBy("h", "s").agg(F.min("vertex").alias("centre"), F.max("vertex").alias("last"), F.max("own").alias("some_own"), F.max("short").alias("some_short")).where("centre <> last and some_own and some_short").select("h", "s", "centre")
-    members = written(classed.join(meets, ["h", "s"]).select("centre", "s", "vertex").distinct(), "meetings")
-    parts = members.groupBy("centre", "s").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    meets = classed.groupBy("h", "s").agg(F.min("vertex").alias("centre"), F.max("vertex").alias("last"), F.max("own").alias("some_own"), F.max("short").alias("some_short"), F.count(F.lit(1)).alias("n"))
+    meets = written(meets.where("centre <> last and some_own and some_short").select("h", "s", "centre", "n"), "meets")
+    hot = hot_keys(meets, ["h", "s"])
+    members = written(hot_join(classed, meets.drop("n"), ["h", "s"], hot).select("centre", "s", "vertex").distinct(), "meetings")
+    most = F.least(F.lit(float(PART)), F.greatest(F.lit(16.0), PART_SHINGLES / F.pow(F.lit(CLASS_RATIO), F.col("s") + 1)))
+    parts = written(members.groupBy("centre", "s").agg(F.count(F.lit(1)).alias("n")).select("centre", "s", "n", F.ceil(F.col("n") / most).cast("int").alias("parts")), "parts")
     own = F.pmod(F.xxhash64(F.lit("part"), "vertex"), F.col("parts")).cast("int")
-    placed = members.join(parts, ["centre", "s"]).withColumn("own", own)
+    placed = hot_join(members, parts.drop("n"), ["centre", "s"], hot_keys(parts, ["centre", "s"])).withColumn("own", own)
     other = placed.select("centre", "s", "vertex", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     return other.select(F.xxhash64("centre", "s", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "vertex")
 
@@ -350,24 +359,27 @@ def labels(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours and then that
     label's own label, so paths shorten fast; rounds are written to the shared folder.
+    A vertex with very many edges, and a label that very many have, is joined by broadcast.
     """
-    both = written(edges.union(edges.select("b", "a")).distinct(), "edges")
-    now = written(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    both = written(edges.union(edges.select("b", "a")).distinct().select("a", F.col("b").alias("vertex")), "edges")
+    now = written(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("vertex"), F.col("a")).alias("label")), "labels")
+    hubs = hot_keys(both.groupBy("vertex").agg(F.count(F.lit(1)).alias("n")), ["vertex"])
     while True:
-        near = both.join(now, both.b == now.vertex).groupBy(F.col("a").alias("vertex")).agg(F.min("label").alias("near"))
-        low = now.join(near, "vertex").select("vertex", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        near = hot_join(both, now, ["vertex"], hubs).groupBy(F.col("a").alias("vertex")).agg(F.min("label").alias("near"))
+        low = written(now.join(near, "vertex").select("vertex", F.least("label", "near").alias("label"), F.col("label").alias("old")), "near-labels")
         jump = now.select(F.col("vertex").alias("label"), F.col("label").alias("further"))
-        new = written(low.join(jump, "label", "left").select("vertex", F.least("label", "further").alias("label"), "old"), "labels")
+        shared = hot_keys(low.groupBy("label").agg(F.count(F.lit(1)).alias("n")), ["label"])
+        new = written(hot_join(low, jump, ["label"], shared).select("vertex", F.least("label", "further").alias("label"), "old"), "labels")
         if not new.where("label <> old").limit(1).count():
             return new.select("vertex", "label")
         now = new.select("vertex", "label")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of `docs` but the text, with n_shingles and component_id, one row a row."""
-    result = ["n_shingles", "component_id"]
-    if clash := sorted({c.lower() for c in docs.columns} & set(result)):
-        raise ValueError(f"columns already present: {', '.join(clash)}")
+    """Identifier, record (hash of identifier and text), n_shingles, component_id and label, one row a row.
+
+    `component_id` is an identifier, so components may share one where identifiers repeat; `label` is the component's own.
+    """
     marks = written(signatures(docs, key, text, common_hashes(docs, text)), "signatures")
     some = marks.where("n_shingles > 0")
     kinds = written(some.groupBy("vertex").agg(F.min("record").alias("record"), F.min("doc_id").alias("low")), "vertices")
@@ -376,25 +388,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     chosen = some.select("vertex", "record", F.col("n_shingles").alias("n"), "bitmap").join(_sized(meeting), ["vertex", "record"])
     left = written(prune(members.join(chosen, "vertex").select("block", "vertex", "record", "n", "bitmap")), "clusters")
     found = labels(links(left, docs, key, text))
-    lowest = kinds.join(found, "vertex").groupBy("label").agg(F.min("low").alias("component"))
-    named = kinds.select("vertex", "low").join(found.join(lowest, "label").select("vertex", "component"), "vertex", "left").select("vertex", F.coalesce("component", "low").alias("component_id"))
+    labelled = written(kinds.select("vertex", "low").join(found, "vertex").select("vertex", "label", "low"), "labelled")
+    lowest = written(labelled.groupBy("label").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n")), "components")
+    linked = hot_join(labelled.drop("low"), lowest.drop("n"), ["label"], hot_keys(lowest, ["label"]))
+    named = kinds.select("vertex", "low").join(linked, "vertex", "left").select("vertex", F.coalesce("component", "low").alias("component_id"), F.coalesce("label", "vertex").alias("label"))
     own = marks.select("doc_id", "record", "n_shingles", "vertex").join(named, "vertex", "left")
     alone = F.col("n_shingles") == 0
-    return own.select(F.col("doc_id").alias(key), "record", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return own.select(F.col("doc_id").alias(key), "record", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(~alone, F.col("label")).alias("label"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each component the document with the smallest identifier; documents without words all stay.
 
+    Components are told apart by their label, so unrelated texts with one identifier all stay.
     Of repeated rows (equal identifier and text) one stays.  When a component has
     only null identifiers, one of its documents stays.  What goes is usually little,
     so documents are matched against that, without a shuffle when it is small.
     """
     marked = written(join(docs.select(key, text), key, text), "components")
-    empty = F.col("n_shingles") == 0
-    first = marked.where(empty | F.col(key).eqNullSafe(F.col("component_id")))
-    group = [F.col("component_id").alias("_component"), empty.alias("_empty"), F.when(empty, F.col("record")).alias("_own")]
-    chosen = first.groupBy(*group).agg(F.min("record").alias("record")).select("record")
+    group = [F.col("label").alias("_label"), F.when(F.col("n_shingles") == 0, F.col("record")).alias("_own")]
+    first = F.min_by("record", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "record"))
+    chosen = marked.groupBy(*group).agg(first.alias("record")).select("record")
     goes = marked.select("record").distinct().join(chosen, "record", "left_anti")
     again = marked.groupBy("record").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("record")
     goes, again = written(goes, "removed"), written(again, "repeated")

@@ -30,3 +30,21 @@ y AS (SELECT *, len(ps) AS matched, list_max([len([q FOR q IN ps IF q >= s AND q
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best_window DESC, matched DESC, start) AS r FROM y WHERE best_window >= ceil(z * {SHARE}))
 SELECT doc_id, item_id, start::INTEGER AS start, n::INTEGER AS item_words, matched::INTEGER AS matched, best_window::INTEGER AS best_window FROM k WHERE r = 1
 """
+
+#: Words, characters and repeats of each text; windows of three words that occur twice or more, and the words inside them.
+QUALITY_BASE = r"""
+WITH w AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT i, generate_subscripts(w, 1) AS p, w FROM w WHERE len(w) >= 3), h AS (SELECT i, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS g FROM g WHERE p <= len(w) - 2),
+again AS (SELECT i, p FROM h QUALIFY count(*) OVER (PARTITION BY i, g) > 1),
+rep AS (SELECT i, count(DISTINCT q) AS n FROM (SELECT i, unnest([p, p + 1, p + 2]) AS q FROM again) GROUP BY i),
+lines AS (SELECT i, unnest(string_split(text, chr(10))) AS line FROM w),
+dup AS (SELECT i, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY i)
+SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    len(w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed
+FROM w LEFT JOIN rep USING (i) LEFT JOIN dup USING (i)
+"""
+
+_BYTES = "octet_length(encode(coalesce(text, '')))"
+
+#: What any placement keeps of the table, and what the law asks.
+SHARDING_LAW = f"SELECT count(*) AS n_rows, sum({_BYTES} + 8)::BIGINT AS n_bytes, 24 AS shards, true AS gapless, true AS near_equal FROM documents"
