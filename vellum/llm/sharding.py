@@ -8,8 +8,12 @@ be broadcast; documents themselves are never gathered.
 The law that holds is `bytes`: slots go, largest first, to the shard with the
 fewest bytes, so the sizes of the shards are near equal.
 
-Cases: a null identifier hashes by the text instead, so that many of them do not
-share a slot; null and empty texts have the size of their row overhead; repeated
+Records hash by identifier and text, so neither an identifier that repeats with other texts (or
+is null) nor a text that repeats under other identifiers fills a slot.  Rows equal in both cannot be
+told apart and share a slot, which cannot be split: shards are near equal while no such row repeats so
+often that it alone outweighs a shard.
+
+Cases: a null identifier hashes by the text; null and empty texts have the size of their row overhead; repeated
 rows are separate records with a position each (their order among equals is
 open); an empty table gives an empty map and no rows; extra columns are kept,
 and a clash with a result column raises ValueError.
@@ -37,8 +41,8 @@ def text_crc32(text: str = "text") -> Column:
 
 
 def slot_of(key: str, other: str, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record: by its identifier, or by another column where that is null."""
-    return F.pmod(F.when(F.col(key).isNull(), F.xxhash64(F.lit("no key"), F.col(other))).otherwise(F.xxhash64(F.col(key))), F.lit(slots)).cast("int")
+    """The virtual slot of a record: by its identifier and another column."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit("|"), F.col(other)), F.lit(slots)).cast("int")
 
 
 def slot_sizes(records: DataFrame) -> DataFrame:

@@ -16,16 +16,20 @@ bytes that sort like the identifiers, null first.
 
 Cases: null and empty texts have only the end id; null identifiers sort first;
 repeated identifiers and rows stay separate entries, ordered by the text's
-crc32; an empty table gives no shards and no rows; extra columns do not
-matter, since only identifier and text are read.  A task that is run again
+crc32 (rows with one identifier and one text cannot be told apart, so they stay in one shard); an empty
+table gives no shards and no rows; extra columns do not
+matter, since only identifier and text are read; an id that does not fit the width
+raises ValueError.  A task that is run again
 writes a new file, and only files named in the manifest count.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +47,8 @@ FOOTER = struct.Struct("<QQQQQII8s")
 INDEX = struct.Struct("<9sxxxxxxxQIIQ")
 BLOCK = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: About how many bytes of text a shard is for.
+SHARD_BYTES = 64 << 20
 MANIFEST = "path string, part int, first_key binary, last_key binary, n_docs long, n_ids long"
 
 
@@ -55,8 +61,11 @@ def identifier_of(key: bytes) -> int | None:
     return struct.unpack(">Q", key[1:])[0] - (1 << 63) if key[0] else None
 
 
-def _places(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
+def _marks(key: bytes) -> tuple[int, int]:
+    return zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
+
+
+def _places(a: int, b: int, bits: int) -> list[int]:
     return [(a + k * b) % bits for k in range(BLOOM_HASHES)]
 
 
@@ -66,10 +75,12 @@ class TableWriter:
     def __init__(self, stream, width: int):
         self.out, self.width, self.at = stream, width, len(MAGIC)
         self.block, self.entries, self.previous = bytearray(), 0, b""
-        self.index, self.keys, self.docs, self.ids, self.before = [], [], 0, 0, 0
+        self.index, self.marks, self.docs, self.ids, self.before = [], array("I"), 0, 0, 0
         stream.write(MAGIC)
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {int(ids.max())} does not fit {self.width} bytes")
         if not self.entries:
             self.first, self.before, self.previous = key, self.ids, b""
         shared = 0
@@ -80,7 +91,7 @@ class TableWriter:
         self.entries += 1
         self.docs += 1
         self.ids += len(ids)
-        self.keys.append(key)
+        self.marks.extend(_marks(key))
         if len(self.block) >= BLOCK:
             self._flush()
 
@@ -94,10 +105,10 @@ class TableWriter:
 
     def close(self) -> None:
         self._flush()
-        bits = max(64, BLOOM_BITS * len(self.keys))
+        bits = max(64, BLOOM_BITS * self.docs)
         bloom = bytearray((bits + 7) // 8)
-        for key in self.keys:
-            for p in _places(key, bits):
+        for k in range(0, len(self.marks), 2):
+            for p in _places(self.marks[k], self.marks[k + 1], bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         index = b"".join(self.index)
         self.out.write(index)
@@ -148,7 +159,7 @@ class TableReader:
         key = key_of(identifier)
         if self.bloom is None:
             self.bloom = self._read(self.bloom_at, (self.bits + 7) // 8)
-        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _places(key, self.bits)):
+        if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _places(*_marks(key), self.bits)):
             return []
         low, high = 0, len(self.index)
         while low < high:  # the first block that begins at or after the key
@@ -170,19 +181,43 @@ def open_table(path: str) -> TableReader:
 _codes: dict[str, WordCodes] = {}
 
 
-def word_encoder(tokenizer_path: str) -> WordCodes:
-    """Ids of words by the tokenizers library.
+def _tokenizer(path: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def splits_at_space(tokenizer) -> bool:
+    """Whether the ids of texts are those of their words in order, as with tokenizers that drop white space; tried on a few texts."""
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    words = ["Some", "words,", "2", "of", "them", "isn't", "Ünï", "a.b", "!!"]
+    return all(ids(before + space.join(words) + before) == [i for w in words for i in ids(w)] for space in (" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c") for before in ("", " "))
+
 
-    The tokenizer must not look across white space, as those that drop it do;
-    then the ids of a text are those of its words in order.
+def text_encoder(tokenizer_path: str):
+    """A function from texts to their ids, one after the other, and where those of each begin.
+
+    A tokenizer that drops white space encodes every distinct word once; another one the whole texts.
     """
-    if tokenizer_path not in _codes:
-        import os
+    if splits_at_space(tokenizer := _tokenizer(tokenizer_path)):
+        codes = word_encoder(tokenizer_path)
+        return lambda t: codes(t.data, W.words(t), len(t))
+
+    def whole(t: W.Texts) -> tuple[np.ndarray, np.ndarray]:
+        raw = t.data.tobytes()
+        each = [tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(t.offsets[:-1], t.offsets[1:], strict=True)]
+        return np.array([i for ids in each for i in ids], np.int64), np.concatenate([[0], np.cumsum([len(ids) for ids in each])]).astype(np.int64)
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    return whole
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+
+def word_encoder(tokenizer_path: str) -> WordCodes:
+    """Ids of words by the tokenizers library, kept for the words seen."""
+    if tokenizer_path not in _codes:
+        tokenizer = _tokenizer(tokenizer_path)
 
         def encode(words: list[bytes]) -> list[list[int]]:
             out: list[list[int]] = []
@@ -194,19 +229,23 @@ def word_encoder(tokenizer_path: str) -> WordCodes:
     return _codes[tokenizer_path]
 
 
-def write_tables(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
+def write_tables(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text", width: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the shards below `path` and return the manifest, one row a shard.
 
     Rows are dealt out by ranges of the identifier (and the text's crc32, so that
-    equal identifiers can be split), so the shards follow one another in order.
+    equal identifiers can be split), so the shards follow one another in order; their number
+    follows from the bytes of all texts.  Ids take 2 or 4 bytes, as the vocabulary needs.
     """
+    width = width or (2 if max(_tokenizer(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(total / shard_bytes))
+    ordered = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codes = word_encoder(tokenizer_path)
+        codes = text_encoder(tokenizer_path)
         where, folder = fs.FileSystem.from_uri(path)
         part = TaskContext.get().partitionId()
         name, stream, keys = f"{part:06d}-{uuid.uuid4().hex}.sst", None, (b"", b"")
@@ -216,7 +255,7 @@ def write_tables(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, k
                 stream = where.open_output_stream(f"{folder}/{name}")
                 writer = TableWriter(stream, width)
             t = W.texts_of(batch.column("text"))
-            flat, at = codes(t.data, W.words(t), len(t))
+            flat, at = codes(t)
             for k, identifier in enumerate(batch.column("doc_id").to_pylist()):
                 last = key_of(identifier)
                 keys = (keys[0] or last, last)
