@@ -4,9 +4,10 @@ Learning counts byte n-grams (`ORDERS` bytes, with word boundaries, hashed to
 `BUCKETS` buckets) of every labelled training text, per language.  The words of a
 text are then drawn from a mixture of languages: expectation-maximisation
 estimates the text's proportions from the n-gram likelihoods of its words.
-Nested sets of the likeliest languages are fitted again, and the set with the
-best likelihood less `PENALTY` * log(words) for each language is selected.  The
-predicted language is the largest part of the selected set; the score is its
+Nested sets of the likeliest languages are fitted again, larger by one language each time for as long
+as the likelihood less `PENALTY` * log(words) for each language rises; the set where it ends is
+selected.  The result has the selected languages with their shares, largest first.  The
+predicted language is the first of them; the score is its
 proportion in the fit over all languages.
 
 Cases: null texts and texts without a letter are `und` with score 0, and so is
@@ -33,7 +34,6 @@ ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
 MOST_LANGUAGES = 256
 ROUNDS = 8
-MOST_PARTS = 3
 PENALTY = 3.0
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -147,25 +147,40 @@ def fit(like: np.ndarray, which: np.ndarray, first: np.ndarray, owner: np.ndarra
     return share, np.add.reduceat(np.log(np.maximum((each * share[owner]).sum(1), 1e-30)), first)
 
 
-def mixtures(model: Model, t: W.Texts) -> tuple[np.ndarray, np.ndarray]:
-    """For each text, the predicted language (-1 for none) and its score."""
+def part_of(first: np.ndarray, ends: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrences of some texts (by number), where each of these begins among them, and the place in `some` of each occurrence."""
+    n = ends[some] - first[some]
+    begin = np.cumsum(n) - n
+    owner = np.repeat(np.arange(len(some)), n)
+    return np.arange(int(n.sum())) - begin[owner] + first[some][owner], begin, owner
+
+
+def mixtures(model: Model, t: W.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text, the predicted language (-1 for none), its score, and the shares of all languages in the selected set (zero outside)."""
     best, score = np.full(len(t), -1), np.zeros(len(t))
+    shares = np.zeros((len(t), len(model.languages)), np.float32)
     data, begin, which, doc = distinct_words(t)
     if not len(doc) or not model.languages:
-        return best, score
+        return best, score, shares
     logs = word_logs(model, data, begin)
     like = np.exp(logs - logs.max(1, keepdims=True)).astype(np.float32)
     texts, first, owner = np.unique(doc, return_index=True, return_inverse=True)
     languages, n = like.shape[1], np.diff(np.append(first, len(doc)))
     whole, _ = fit(like, which, first, owner, np.full((len(texts), languages), 1 / languages, np.float32), ROUNDS)
     rank = np.argsort(np.argsort(-whole, axis=1, kind="stable"), axis=1, kind="stable")
-    top, chosen = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
-    for k in range(1, min(MOST_PARTS, languages) + 1):
-        share = np.where(rank < k, np.maximum(whole, 1e-3), 0).astype(np.float32)
-        share, fitted = fit(like, which, first, owner, share / share.sum(1, keepdims=True), ROUNDS // 2 if k > 1 else 0)
-        value = fitted - PENALTY * k * np.log(n + 1)
-        better = value > top
-        top[better], chosen[better] = value[better], share[better].argmax(1)
+    top, selected = np.full(len(texts), -np.inf), np.zeros((len(texts), languages), np.float32)
+    open_texts, ends = np.arange(len(texts)), first + n
+    for k in range(1, languages + 1):
+        at, from_, of = part_of(first, ends, open_texts)
+        share = np.where(rank[open_texts] < k, np.maximum(whole[open_texts], 1e-3), 0).astype(np.float32)
+        share, fitted = fit(like, which[at], from_, of, share / share.sum(1, keepdims=True), ROUNDS // 2 if k > 1 else 0)
+        value = fitted - PENALTY * k * np.log(n[open_texts] + 1)
+        better = value > top[open_texts]
+        open_texts = open_texts[better]
+        top[open_texts], selected[open_texts] = value[better], share[better]
+        if not len(open_texts):
+            break
+    chosen = selected.argmax(1)
     raw = t.data.tobytes()
     ascii_letter = W.per_text(_LETTER[t.data] & (t.data < 128), t.offsets)[texts] > 0
     for k in np.flatnonzero(~ascii_letter):
@@ -173,27 +188,37 @@ def mixtures(model: Model, t: W.Texts) -> tuple[np.ndarray, np.ndarray]:
         ascii_letter[k] = any(c.isalpha() for c in raw[t.offsets[d] : t.offsets[d + 1]].decode())
     best[texts[ascii_letter]] = chosen[ascii_letter]
     score[texts] = np.where(ascii_letter, whole[np.arange(len(texts)), chosen], 0.0)
-    return best, np.clip(score, 0.0, 1.0)
+    shares[texts[ascii_letter]] = selected[ascii_letter]
+    return best, np.clip(score, 0.0, 1.0), shares
 
 
-RESULT = [("lang_pred", pa.string()), ("score", pa.float64())]
+RESULT = [("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))]
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of `docs`, lang_pred and score; only the text is looked at."""
+    """All columns of `docs`, lang_pred, score, and the selected languages with their shares; only the text is looked at."""
     names = np.array([*model.languages, UNKNOWN], object)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for batch in W.slices(batches, text):
-            best, score = mixtures(model, W.texts_of(batch.column(text)))
-            yield batch, [pa.array(names[best].tolist(), pa.string()), score]
+            best, score, shares = mixtures(model, W.texts_of(batch.column(text)))
+            size = (shares > 0).sum(1) if shares.shape[1] else np.zeros(len(shares), int)
+            order = np.argsort(-shares, axis=1, kind="stable")
+            held = np.arange(order.shape[1]) < size[:, None]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            sets = pa.ListArray.from_arrays(offsets, pa.array(names[order[held]].tolist(), pa.string()))
+            parts = pa.ListArray.from_arrays(offsets, pa.array(np.take_along_axis(shares, order, 1)[held].astype(float), pa.float64()))
+            yield batch, [pa.array(names[best].tolist(), pa.string()), score, sets, parts]
 
     return append_columns(docs, RESULT, part)
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows in a known language whose part in the text is at least `least`, with the columns of `docs`."""
+    """The rows whose selected languages have at least the part `least` of the text in the fit over all, with the columns of `docs`.
+
+    Texts without a letter go, and so does everything when no language was learnt.
+    """
     columns = docs.columns
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("row"), F.col(text).alias("_text"))
     marked = predict(rows, model, "_text")
-    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least * F.get("shares", F.lit(0)))).select("row.*")

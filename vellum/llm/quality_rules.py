@@ -4,8 +4,10 @@ A text that zstandard shrinks far more than prose repeats itself; one that it
 hardly shrinks is noise, such as encoded binary data.  Each length class has its
 own band of allowed ratios (bytes / compressed bytes), since short texts
 compress less.  The bands are those of training prose, measured; prose in an alphabet
-of two or more bytes a letter compresses more and needs bands of its own.  A long text is also cut into chunks of `CHUNK` bytes, and it is
-rejected when more than `CHUNK_SHARE` of its chunks lie outside the chunk band.
+of two or more bytes a letter compresses more and needs bands of its own.  A text of `CHUNK` bytes or
+more is also cut into chunks of that size, of which the last ends with the text (so it may overlap the one
+before), and it is rejected when more than `CHUNK_SHARE` of its chunks lie outside the chunk band.  A shorter
+text is a single chunk: its own band judges it.
 
 Two base rules come first: under 50 words, or over half of the words inside
 three-word windows that occur twice or more.
@@ -88,9 +90,9 @@ def compression(data: bytes, squeeze: zstandard.ZstdCompressor) -> tuple[float,
     ratio = n / len(squeeze.compress(data))
     low, high = next((a, b) for limit, a, b in BANDS if n < limit)
     bad = chunks = 0
-    if n >= 2 * CHUNK:
+    if n >= CHUNK:
         view = memoryview(data)
-        for at in range(0, n - CHUNK // 2, CHUNK):
+        for at in [*range(0, n - CHUNK, CHUNK), n - CHUNK]:
             part = view[at : at + CHUNK]
             chunks += 1
             bad += not CHUNK_LOW <= len(part) / len(squeeze.compress(part)) <= CHUNK_HIGH
