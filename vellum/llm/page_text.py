@@ -7,13 +7,14 @@ reads all blocks of the page and gives each the probability of being main text,
 every decision sees the whole page.  It is trained here on pages that a generator
 invents with known blocks, in many layouts.
 
-The text of a page is its main blocks: character references decoded, white space in a
-block turned into single spaces, blocks joined by line feeds in page order.
-Contents of scripts, styles, templates and the head are never blocks.
+The text of a page is its main blocks: character references decoded (each run of text between
+tags by itself), white space in a block turned into single spaces, blocks joined by line feeds in page order.
+Contents of scripts, styles, templates, the head, text fields, drawings and embedded frames are never
+blocks; formulas are text, and what stands in for scripts or objects is labelled like any other block.
 
 Cases: null and empty pages, and pages without main text, give an empty string;
 pages cut off inside a tag or a comment lose only that tag or comment; long pages are read
-whole; repeated rows are read each; an empty table gives no rows; extra columns are
+whole, the recurrent passes in runs of `STEPS` blocks that hand on their state; repeated rows are read each; an empty table gives no rows; extra columns are
 kept, and a clash with a result column raises ValueError.
 """
 
@@ -37,17 +38,19 @@ PATH, WORD, OTHER = 160, 40, 8
 INPUT = PATH + WORD + OTHER
 HIDDEN = 24
 PAGES, EPOCHS, GROUP, RATE = 900, 14, 32, 0.01
+#: Blocks of a page whose vectors are held at a time.
+STEPS = 8192
 
 #: Elements whose content is not text of the page.
-SILENT = ("script", "style", "template", "noscript", "svg", "textarea", "title", "iframe", "object", "math", "canvas")
+SILENT = ("script", "style", "template", "svg", "textarea", "title", "iframe", "canvas")
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br math mi mn mo ms mtext mrow mfrac msup msub msqrt".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a following one of the same set ends.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(SILENT)})\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)/?>|</?[a-zA-Z][^>]*>?|<[!?][^>]*(?:>|\Z)|[^<]+|<",
+    rf"<!--.*?(?:-->|\Z)|<svg\b(?>[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+/>|<({'|'.join(SILENT)})\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)/?>|</?[a-zA-Z][^>]*>?|<[!?][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -78,7 +81,7 @@ def leaf_blocks(page: str) -> list[Block]:
     def close() -> None:
         nonlocal linked
         if held:
-            text = " ".join(references.unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             if text and not any(t == "head" for t, _ in stack):
                 out.append(Block(text, tuple(x for t, names in stack if t not in INLINE for x in names), linked))
             held.clear()
@@ -89,7 +92,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag is None:
             token = m[0]
             if token[0] != "<" or token == "<":
-                held.append(token)
+                held.append(references.unescape(token))
                 if any(t == "a" for t, _ in stack):
                     linked += len(token)
             continue
@@ -127,8 +130,9 @@ def _hash(x: str, n: int) -> int:
     return zlib.crc32(x.encode("utf-8", "surrogatepass")) % n
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """A row of INPUT numbers for each block."""
+def vectors(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row of INPUT numbers for each block of a page, or for those from number `first` on of a page of `total` blocks."""
+    total = total or len(blocks)
     out = np.zeros((len(blocks), INPUT), np.float32)
     paths: dict[tuple[str, ...], list[int]] = {}
     for k, b in enumerate(blocks):
@@ -136,14 +140,13 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         if at is None:
             at = paths[b.path] = [_hash(x, PATH) for x in {*b.path, f">{b.path[-1] if b.path else ''}"}]
         out[k, at] = 1
-        words = b.text.split(" ", 32)
-        for w in words[:32]:
-            out[k, PATH + _hash(w.lower(), WORD)] += 1
+        words = b.text.split(" ")
+        out[k, PATH : PATH + WORD] = np.bincount([_hash(w, WORD) for w in b.text.lower().split(" ")], minlength=WORD)
         n = len(b.text)
-        out[k, PATH : PATH + WORD] /= len(words) ** 0.5
+        out[k, PATH : PATH + WORD] = np.sqrt(out[k, PATH : PATH + WORD] / len(words)) * 2
         out[k, -OTHER:] = (
             np.log1p(n) / 6, min(1.0, b.linked / n), b.text[-1] in ".!?:;\"'", sum(map(b.text.count, ".,;")) / n * 10,
-            k / len(blocks), np.log1p(len(blocks)) / 5, len(words) < 5, len(b.path) / 10,
+            (first + k) / total, np.log1p(total) / 5, len(words) < 5, len(b.path) / 10,
         )
     return out
 
@@ -160,11 +163,14 @@ class Labeller:
         bias[HIDDEN : 2 * HIDDEN] = 1
         self.p = {"f_x": small(INPUT, 4 * HIDDEN), "f_h": small(HIDDEN, 4 * HIDDEN), "f_b": bias, "b_x": small(INPUT, 4 * HIDDEN), "b_h": small(HIDDEN, 4 * HIDDEN), "b_b": bias.copy(), "o_w": small(2 * HIDDEN, 1), "o_b": np.zeros(1, np.float32)}
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool):
-        """Hidden states of one direction; time runs along the first axis of x (time, pages, INPUT)."""
+    def _pass(self, x: np.ndarray, mask: np.ndarray, side: str, keep: bool, before: tuple[np.ndarray, np.ndarray] | None = None):
+        """Hidden states of one direction; time runs along the first axis of x (time, pages, INPUT).
+
+        `before` has the state of the blocks before; without `keep` the second result is the state at the end.
+        """
         wx, wh, b = self.p[side + "x"], self.p[side + "h"], self.p[side + "b"]
         steps, pages, _ = x.shape
-        h = c = np.zeros((pages, HIDDEN), np.float32)
+        h, c = before or (np.zeros((pages, HIDDEN), np.float32),) * 2
         hs, memory = np.zeros((steps, pages, HIDDEN), np.float32), []
         drive = x.reshape(-1, INPUT) @ wx + b
         drive = drive.reshape(steps, pages, -1)
@@ -180,7 +186,7 @@ class Labeller:
                 memory.append((h, c, i, f, o, g, new, m))
             c, h = np.where(m, new, c), np.where(m, out, h)
             hs[t] = h
-        return hs, memory
+        return hs, memory if keep else (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         forward, a = self._pass(x, mask, "f_", keep)
@@ -242,6 +248,18 @@ class Labeller:
                     self.p[name] = self.p[name] - np.float32(RATE) * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + np.float32(1e-7))
         return self
 
+    def label_long(self, blocks: list[Block]) -> np.ndarray:
+        """Whether each block of one long page is main text: both directions in runs of STEPS blocks, of which only a number a block is kept."""
+        score = np.full(len(blocks), self.p["o_b"][0], np.float32)
+        starts = list(range(0, len(blocks), STEPS))
+        for side, order, weight in (("f_", starts, self.p["o_w"][:HIDDEN, 0]), ("b_", starts[::-1], self.p["o_w"][HIDDEN:, 0])):
+            state, turn = None, 1 if side == "f_" else -1
+            for at in order:
+                x = vectors(blocks[at : at + STEPS], at, len(blocks))[::turn, None]
+                hs, state = self._pass(x, np.ones(x.shape[:2], bool), side, False, state)
+                score[at : at + STEPS] += (hs[:, 0] @ weight)[::turn]
+        return score > 0
+
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Whether each block of each page is main text; pages of like length run together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
@@ -387,7 +405,15 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray], html: str = "html"
         model.p = weights
         for batch in W.slices(batches, html, 2 << 20):
             blocks = [leaf_blocks(x or "") for x in batch.column(html).to_pylist()]
-            labels = model.label([vectors(b) for b in blocks])
+            short = [k for k, b in enumerate(blocks) if len(b) <= STEPS]
+            labels: list[np.ndarray] = [np.zeros(0, bool)] * len(blocks)
+            for at in range(0, len(short), 256):
+                some = short[at : at + 256]
+                for k, found in zip(some, model.label([vectors(blocks[k]) for k in some]), strict=True):
+                    labels[k] = found
+            for k in range(len(blocks)):
+                if len(blocks[k]) > STEPS:
+                    labels[k] = model.label_long(blocks[k])
             texts = ["\n".join(b.text for b, main in zip(bs, ls, strict=True) if main) if bs else "" for bs, ls in zip(blocks, labels, strict=True)]
             yield batch, [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
