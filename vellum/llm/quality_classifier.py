@@ -1,26 +1,32 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are training rows labelled good; the unlabelled set is a sample
-of all texts.  The class prior is estimated as the share of good labels among the
-training labels.  A small network is fitted by minimising the non-negative
-unbiased risk: with loss l, prior p, positives P and unlabelled U,
+Trusted positives are training rows labelled good; all texts are the unlabelled set.  A
+text's features are shares of kinds of bytes, how long and varied its words are, and
+hashed counts of its words.  The class prior comes from positives and unlabelled texts
+alone: a classifier of the one against the other ranks held-out texts, and above
+any threshold the share of the unlabelled over that of the positives is at least the
+prior; the smallest such quotient is taken.  A small network is then fitted by minimising the
+non-negative unbiased risk: with loss l, prior p, positives P and unlabelled U,
 
     p * mean_P l(+)  +  max(0, mean_U l(-) - p * mean_P l(-))
 
 and when the second part falls below zero the step goes against it.
 
-The fit uses at most about `MOST_ROWS` labelled and as many unlabelled rows, chosen by
-a hash of the identifier; every text is scored.
+The fit uses at most about `most_positives` labelled rows.  It begins on `most_start` unlabelled
+ones, from which the prior is estimated too; from there tasks go on over all texts, each over its own
+rows, and the mean of their weights is the model.  The features' means and deviations are
+those of all texts.  Samples are chosen by a hash of identifier and text, so no identifier fills one.
 
 Cases: null and empty texts get the score of a text without words; null
-identifiers are scored but never used for fitting; of conflicting labels of one
-identifier the lowest counts; without any positive label every score is the
-prior; repeated rows are scored each; an empty table gives no rows; extra columns
+identifiers are scored, and unlabelled, but never positive; of conflicting labels of one
+identifier the lowest counts; without any positive label every score is 0.5;
+repeated rows are scored each; an empty table gives no rows; extra columns
 are kept, and a clash with a result column raises ValueError.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,14 +38,19 @@ from pyspark.sql import functions as F
 from . import words as W
 from .frames import append_columns, batched
 
-MOST_ROWS = 20_000
+MOST_POSITIVES, MOST_START = 6000, 12_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 512, 0.01, 1e-4
+#: Least steps of the classifier that the prior is estimated with.
+RANKING_STEPS = 60
+#: Hashed words, and what their features are multiplied by.
+BUCKETS, WORD_SCALE = 512, 3.0
 _CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>", ".,;:?", "!", "\n", "()[]{}\"'-_/=+@~^`\\")
 _CLASS = np.zeros((len(_CLASSES) + 1, 256), bool)
 for _k, _chars in enumerate(_CLASSES):
     _CLASS[_k, [ord(c) for c in _chars]] = True
 _CLASS[-1, 128:] = True
-N_FEATURES = len(_CLASS) + 7
+N_DENSE = len(_CLASS) + 7
+N_FEATURES = N_DENSE + BUCKETS
 
 
 class Model(NamedTuple):
@@ -49,7 +60,16 @@ class Model(NamedTuple):
     prior: float
 
 
-def features(t: W.Texts) -> np.ndarray:
+def words_of(t: W.Texts) -> np.ndarray:
+    """For each text and bucket, the root of the share of its words that hash there."""
+    r = W.words(t, fold=True)
+    n = W.counted(r.doc, len(t))
+    at = r.doc * BUCKETS + (r.hash % np.uint64(BUCKETS)).astype(np.int64)
+    counts = np.bincount(at, minlength=len(t) * BUCKETS).reshape(len(t), BUCKETS)
+    return np.sqrt(counts / np.maximum(n, 1)[:, None]).astype(np.float32) * np.float32(WORD_SCALE)
+
+
+def dense(t: W.Texts) -> np.ndarray:
     """Shares of kinds of bytes, and how varied and how long the words are."""
     n = len(t)
     size = np.diff(t.offsets)
@@ -76,6 +96,10 @@ def features(t: W.Texts) -> np.ndarray:
     return np.stack(out, 1).astype(np.float64)
 
 
+def features(t: W.Texts, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.clip((dense(t) - mean) / scale, -6, 6).astype(np.float32), words_of(t)], 1)
+
+
 def forward(weights: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b, c, d = weights
     h = np.tanh(x @ a + b)
@@ -86,73 +110,137 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """Minimise the non-negative risk with the logistic loss by stochastic gradients (Adam)."""
-    both = np.concatenate([positive, unlabelled]) if len(positive) else unlabelled
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), [], prior)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
-    rng = np.random.default_rng(seed)
-    weights = [rng.normal(0, 0.3, (N_FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(u))
-        for at in range(0, len(u), BATCH):
-            xu, xp = u[order[at : at + BATCH]], p[rng.integers(0, len(p), BATCH)]
-            x = np.concatenate([xp, xu])
-            h, g = forward(weights, x)
-            s, np_, nu = sigmoid(g), len(xp), len(xu)
-            loss_minus = np.logaddexp(0, g)
-            risk = loss_minus[np_:].mean() - prior * loss_minus[:np_].mean()
-            d_minus = np.concatenate([-prior * s[:np_] / np_, s[np_:] / nu])
-            d_plus = np.concatenate([prior * (s[:np_] - 1) / np_, np.zeros(nu)])
-            slope = d_plus + d_minus if risk >= 0 else -d_minus
-            back = np.outer(slope, weights[2]) * (1 - h * h)
-            grads = [x.T @ back, back.sum(0), h.T @ slope, slope.sum(keepdims=True)]
-            step += 1
-            for k, grad in enumerate(grads):
-                grad = grad + DECAY * weights[k]
-                first[k] = 0.9 * first[k] + 0.1 * grad
-                second[k] = 0.999 * second[k] + 0.001 * grad * grad
-                weights[k] = weights[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, weights, prior)
+class Fit:
+    """Steps (Adam) down the non-negative risk with the logistic loss; without a prior, down that of positives against unlabelled."""
+
+    def __init__(self, positive: np.ndarray, prior: float | None, weights: list[np.ndarray] | None = None, rate: float = RATE, seed: int = 7):
+        self.rng = np.random.default_rng(seed)
+        if weights is None:
+            inner = self.rng.normal(0, 0.3, (N_FEATURES, HIDDEN))
+            inner[N_DENSE:] *= 0.1
+            weights = [inner, np.zeros(HIDDEN), self.rng.normal(0, 0.3, HIDDEN), np.zeros(1)]
+        self.weights = [w.astype(np.float32) for w in weights]
+        self.p, self.prior, self.rate, self.count = positive, prior, rate, 0
+        self.first, self.second = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
+
+    def step(self, xu: np.ndarray) -> None:
+        xp, prior, w = self.p[self.rng.integers(0, len(self.p), len(xu))], self.prior, self.weights
+        x = np.concatenate([xp, xu])
+        h, g = forward(w, x)
+        s, n = sigmoid(g), len(xp)
+        if prior is None:
+            slope = np.concatenate([s[:n] - 1, s[n:]]) / (2 * n)
+        else:
+            loss = np.logaddexp(0, g)
+            risk = loss[n:].mean() - prior * loss[:n].mean()
+            minus = np.concatenate([-prior * s[:n], s[n:]]) / n
+            plus = np.concatenate([prior * (s[:n] - 1) / n, np.zeros(n)])
+            slope = plus + minus if risk >= 0 else -minus
+        slope = slope.astype(np.float32)
+        back = np.outer(slope, w[2]) * (1 - h * h)
+        self.count += 1
+        for k, grad in enumerate([x.T @ back, back.sum(0), h.T @ slope, slope.sum(keepdims=True)]):
+            grad = grad + np.float32(DECAY) * w[k]
+            self.first[k] = 0.9 * self.first[k] + 0.1 * grad
+            self.second[k] = 0.999 * self.second[k] + 0.001 * grad * grad
+            step = np.float32(self.rate) * (self.first[k] / (1 - 0.9**self.count)) / (np.sqrt(self.second[k] / (1 - 0.999**self.count)) + np.float32(1e-8))
+            w[k] = (w[k] - step).astype(np.float32)
+
+    def run(self, unlabelled: np.ndarray, epochs: int) -> Fit:
+        for _ in range(epochs):
+            order = self.rng.permutation(len(unlabelled))
+            for at in range(0, len(order), BATCH):
+                self.step(unlabelled[order[at : at + BATCH]])
+        return self
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.4) -> float:
+    """The smallest quotient of the unlabelled's share over the positives' above a threshold that at least `least` of the positives pass.
+
+    Each half is ranked by a classifier of positives against unlabelled that was fitted on the other.
+    """
+    rng, p, u = np.random.default_rng(3), [], []
+    positive, unlabelled = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+    for k in (0, 1):
+        half = unlabelled[k::2]
+        fit = Fit(positive[k::2], None).run(half, max(EPOCHS // 8, RANKING_STEPS // -(-len(half) // BATCH)))
+        p.append(forward(fit.weights, positive[1 - k :: 2])[1])
+        u.append(forward(fit.weights, unlabelled[1 - k :: 2])[1])
+    quotients = []
+    for a, b in zip(p, u, strict=True):
+        cut = np.quantile(a, 1 - np.linspace(least, 1, 25))
+        quotients.append([(b >= c).mean() / (a >= c).mean() for c in cut])
+    return float(np.clip(np.mean(quotients, 0).min(), 0.01, 0.99))
 
 
 def scores(model: Model, t: W.Texts) -> np.ndarray:
     if not model.weights:
         return np.full(len(t), model.prior)
-    return sigmoid(forward(model.weights, np.clip((features(t) - model.mean) / model.scale, -6, 6))[1])
+    return sigmoid(forward(model.weights, features(t, model.mean, model.scale))[1]).astype(np.float64)
 
 
-def _sample(rows: DataFrame, key: str, most: int, salt: str) -> DataFrame:
-    """About `most` rows at most, by a hash of the identifier."""
-    n = rows.count()
-    parts = 1 << 20
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(parts)) < int(parts * most / n))
+def learn(
+    docs: DataFrame, labels: DataFrame, training, key: str = "doc_id", text: str = "text", quality: str = "quality", most_positives: int = MOST_POSITIVES, most_start: int = MOST_START
+) -> Model:
+    """Fit from the labels of identifiers for which the condition `training` holds, and from all texts."""
+    rows = docs.select(key, F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit("|"), F.col(text)).alias("record"))
 
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, squares, n = np.zeros(N_DENSE), np.zeros(N_DENSE), 0
+        for batch in W.slices(batches, "text"):
+            x = dense(W.texts_of(batch.column("text")))
+            total, squares, n = total + x.sum(0), squares + (x * x).sum(0), n + len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(N_DENSE, dtype=np.int32)), pa.array(total), pa.array(squares), pa.array(np.full(N_DENSE, n))], names=["k", "x", "xx", "n"])
 
-def learn(docs: DataFrame, labels: DataFrame, training, key: str = "doc_id", text: str = "text", quality: str = "quality") -> Model:
-    """Fit from the labels of identifiers for which the condition `training` holds."""
+    sums = batched(rows.select("text"), moments, "k int, x double, xx double, n long").groupBy("k").agg(F.sum("x"), F.sum("xx"), F.sum("n")).orderBy("k").collect()
+    n = max(1, sums[0][3]) if sums else 1
+    mean = np.array([r[1] for r in sums] or [0.0] * N_DENSE) / n
+    scale = np.sqrt(np.maximum(np.array([r[2] for r in sums] or [0.0] * N_DENSE) / n - mean * mean, 0)) + 1e-3
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
-            x = features(W.texts_of(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], names=["x"])
+            x = features(W.texts_of(batch.column("text")), mean, scale)
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], names=["x"])
 
-    def collected(rows: DataFrame) -> np.ndarray:
-        found = batched(rows.select(F.col(text).alias("text")), measure, "x array<double>").toArrow().column("x")
-        return np.array(found.combine_chunks().flatten(), np.float64).reshape(-1, N_FEATURES)
+    def sample(of: DataFrame, most: int, salt: str, size: int) -> np.ndarray:
+        """Features of about `most` rows, by a hash of the record; never more than twice that."""
+        parts = 1 << 20
+        part = of if size <= most else of.where(F.pmod(F.xxhash64(F.lit(salt), "record"), F.lit(parts)) < int(parts * most / size))
+        found = batched(part.select("text"), measure, "x array<float>").limit(2 * most).toArrow().column("x")
+        return np.array(found.combine_chunks().flatten(), np.float32).reshape(-1, N_FEATURES)
 
     known = labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(key).agg(F.min(quality).alias("_quality")).where(training)
-    total, good = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("_quality") == 1).cast("long")), F.lit(0))).first()
-    prior = min(0.99, max(0.01, good / total)) if total else 0.5
-    chosen = _sample(known.where(F.col("_quality") == 1), key, MOST_ROWS, "positive").select(key)
-    rows = docs.select(key, text).where(F.col(key).isNotNull())
-    positive = collected(rows.join(F.broadcast(chosen), key, "left_semi"))
-    unlabelled = collected(_sample(rows, key, MOST_ROWS, "unlabelled"))
-    return fit(positive, unlabelled, prior)
+    good = known.where(F.col("_quality") == 1).select(key)
+    trusted = rows.where(F.col(key).isNotNull()).join(good, key, "left_semi")
+    positive = sample(trusted, most_positives, "positive", good.count())
+    start = sample(rows, most_start, "unlabelled", n)
+    if len(positive) < 2 or len(start) < 2:
+        return Model(mean, scale, [], 0.5)
+    prior = estimated_prior(positive, start)
+    code = pickle.dumps((positive, Fit(positive, prior).run(start, EPOCHS).weights))
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit, done = None, 0
+        for batch in W.slices(batches, "text"):
+            positive, weights = pickle.loads(code) if fit is None else (None, None)
+            fit = fit or Fit(positive, prior, weights, RATE / 10)
+            x = features(W.texts_of(batch.column("text")), mean, scale)
+            for at in range(0, len(x), BATCH):
+                fit.step(x[at : at + BATCH])
+            done += len(x)
+        if done:
+            flat = np.concatenate([w.ravel() for w in fit.weights]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * done), pa.array(np.full(len(flat), done))], names=["k", "x", "n"])
+
+    found = batched(rows.select("text"), go_on, "k int, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
+    flat = np.zeros(len(found), np.float32)
+    flat[found.column("k").to_numpy()] = found.column("x").to_numpy()
+    shapes, at, weights = [(N_FEATURES, HIDDEN), (HIDDEN,), (HIDDEN,), (1,)], 0, []
+    for shape in shapes:
+        size = int(np.prod(shape))
+        weights.append(flat[at : at + size].reshape(shape))
+        at += size
+    return Model(mean, scale, weights, prior)
 
 
 RESULT = [("score", pa.float64()), ("predicted", pa.int32())]
