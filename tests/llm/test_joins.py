@@ -248,12 +248,12 @@ def test_overlaps_of_very_short_items_equal_all_alignments(spark, monkeypatch, m
         assert len(got) == len(set(got)) and set(got) == all_alignments(docs, items, shortest)
 
 
-def test_language_model_counts_and_probabilities(spark, monkeypatch):
-    monkeypatch.setattr(B, "BATCH_TOKENS", 300)
+@pytest.mark.parametrize("sizes", [{}, {"words": 6, "most_head": 20}, {"words": 6, "least": 2, "most_head": 5}, {"words": 6, "least": 5, "most_inner": 3}])
+def test_language_model_counts_and_probabilities(spark, sizes):
     rng = np.random.default_rng(7)
     sides = [["der", "die", "das", "und", "ein", "Haus"], ["the", "a", "and", "one", "house", "is"]]
-    rows = [(k, " ".join(rng.choice(sides[k % 2], 30)) + (f" rare{k}" if k % 3 else "")) for k in range(200)] + [(300, None), (301, ""), (None, "the der"), (4, "the the")]
-    got = B.score(frame(spark, rows), held_out("doc_id", 5, 1)).collect()
+    rows = [(k, " ".join(rng.choice(sides[k % 2], 30)) + (f" rare{k}" if k % 3 else "")) for k in range(200)] + [(300, None), (301, ""), (None, "the der"), (4, "the the"), (8, "once ever"), (8, "once ever")]
+    got = B.score(frame(spark, rows), held_out("doc_id", 5, 1), **sizes).collect()
     assert len(got) == len(rows)
     tokens = lambda t: [x.decode() for x in (t or "").encode().lower().split()] + [None]
     out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
@@ -274,12 +274,21 @@ def test_language_model_without_training_rows(spark):
     assert B.score(frame(spark, []), held_out("doc_id", 5, 1)).collect() == []
 
 
-def test_class_probabilities_add_up_to_one():
+def test_probabilities_of_all_tokens_add_up_to_one(spark):
+    words = [f"w{k}" for k in range(40)]
     rng = np.random.default_rng(8)
-    small = lambda *s: rng.normal(0, 1, s).astype(np.float32)
-    c = B.WORDS + B.TAILS
-    m = B.Model(np.zeros(1, np.uint64), np.zeros(1, int), np.ones(B.TAILS), small(c), small(c + 1, B.DIMENSIONS), small(c, B.DIMENSIONS), np.ones((2, B.DIMENSIONS), np.float32), small(c))
-    logs = B.class_logs(m, np.arange(c), np.tile([[3, c]], (c, 1)))
+    texts = spark.createDataFrame([(" ".join(rng.choice(words, 50, p=np.arange(1, 41) / 820)),) for _ in range(20)], "text string")
+    counts = B.count(texts).cache()
+    common = counts.orderBy(F.desc("c"), "h").toArrow()
+    model = B.start(counts, common, most_words=5, least=20, most_inner=12)
+    model = B.train(texts, model, F.lit(0))._replace(inner=rng.normal(0, 0.3, model.inner.shape).astype(np.float32))
+    assert 0 < (model.entries >= 0).sum() <= 12
+    h, tail, c = common.column("h").to_numpy().view(np.uint64), common.column("tail").to_numpy(), common.column("c").to_numpy()
+    h, tail, c = np.append(h, np.arange(B.TAILS, dtype=np.uint64)), np.append(tail, np.arange(B.TAILS)), np.append(c, np.zeros(B.TAILS))  # an unseen token for each shared class
+    classes, entries = B.placed(model, B.Tokens(h, tail, np.zeros(len(h), int)))
+    logs = B.token_logs(model, classes, entries, np.tile([[3, 5 + B.TAILS]], (len(h), 1)))
+    rest = (entries >= 0) & (entries == model.starts[tail + 1] - 1)
+    logs[rest] += np.log((c[rest] + 0.5) / model.rest[tail[rest]])
     assert np.isclose(np.exp(logs).sum(), 1, atol=1e-3)
 
 

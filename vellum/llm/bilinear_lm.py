@@ -1,20 +1,22 @@
 """Scores of a log-bilinear language model, normalised, beside a unigram base.
 
 Tokens are the words of the text with A-Z in lower case, then one end.  The model
-predicts the class of a token from the classes of the two before it: the `WORDS`
+predicts a token from the classes of the two before it in two levels.  The `WORDS`
 commonest training tokens are a class each, and all others share `TAILS` classes
-by their last two bytes.  Scores are log-bilinear: the context's vectors, each
-scaled by a vector of its position, are summed and multiplied with the class's
-vector, plus a bias.  Inside a shared class a token has the part (c + 0.5) of the
-class's counts, and 0.5 is left for unseen ones, so probabilities add up to one.
+by their last two bytes.  Inside a shared class every token seen `LEAST` times or more in
+training has a vector of its own (up to `MOST_INNER` of them, so the model grows with the corpus
+and its size has a bound), and the rest of the class is one entry.  Both levels are log-bilinear: the context's vectors, each
+scaled by a vector of its position, are summed and multiplied with the vector of the class or of the
+entry, plus a bias, and normalised over the classes or over the class's entries.  Of the rest of a class
+a token has the part (c + 0.5) of its counts, and 0.5 is left for unseen ones, so probabilities add up to one.
 
 Training is by noise-contrastive estimation over all training tokens: tasks run
 stochastic gradients over their own rows from the same start, and the weighted mean
 of their parameters starts the next round.  Counts cover all training texts.
 
-To score, texts are dealt into batches by a hash; the distinct tokens of each
-batch are joined with the counts, and texts and counts of a batch meet in one task.
-Each distinct context of a batch is normalised once by matrix products.
+To score, tasks hold the model and the counts of the `HEAD` commonest tokens, normalise each distinct context of a
+slice once by matrix products, and name the tokens of a text whose counts they lack.  Only
+these few are joined with the other counts, by token, and their logs summed for each text; the texts themselves are never shuffled.
 
 Cases: null and empty texts are a single end token; a null identifier counts as
 training; without training rows only the smoothing is left; repeated rows count and
@@ -36,10 +38,14 @@ from . import words as W
 from .frames import batched, written
 
 WORDS, TAILS = 960, 64
+#: Least count of an entry of its own in a shared class, and the most such entries.
+LEAST, MOST_INNER = 100, 1 << 16
+HEAD = 1 << 18
 DIMENSIONS, NOISE, MINIBATCH, RATE = 32, 96, 4096, 0.08
 #: Tenths of the training texts that each round ends before.
 ROUNDS = (1, 4, 10)
-BATCH_TOKENS = 2_000_000
+#: Parameters that travel in one row.
+PIECE = 1 << 14
 END = np.uint64(0x5DEECE66D1234567)
 
 
@@ -52,16 +58,33 @@ class Tokens(NamedTuple):
 
 
 class Model(NamedTuple):
-    """`vocabulary`: sorted hashes and the class of each; `tails`: mass of each shared class; logs of class shares."""
+    """`hashes`: sorted tokens with vectors of their own, their class and, in a shared one, their entry (else -1).
 
-    vocabulary: np.ndarray
+    Entries of shared class k are those from starts[k] to starts[k + 1], the last for the rest of the class, whose mass is rest[k].
+    """
+
+    hashes: np.ndarray
     classes: np.ndarray
-    tails: np.ndarray
+    entries: np.ndarray
+    starts: np.ndarray
+    rest: np.ndarray
     noise: np.ndarray
+    inner_noise: np.ndarray
     context: np.ndarray
     target: np.ndarray
     place: np.ndarray
     bias: np.ndarray
+    inner: np.ndarray
+    inner_bias: np.ndarray
+
+
+    @property
+    def words(self) -> int:
+        """The number of classes of one token."""
+        return len(self.target) - TAILS
+
+
+LEARNT = ("context", "target", "place", "bias", "inner", "inner_bias")
 
 
 def tokens(t: W.Texts) -> Tokens:
@@ -111,14 +134,15 @@ def count(texts: DataFrame) -> DataFrame:
     return batched(texts, partial, "h long, tail int, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
 
-def class_of(model: Model, k: Tokens) -> np.ndarray:
-    at = np.minimum(np.searchsorted(model.vocabulary, k.hash), len(model.vocabulary) - 1)
-    return np.where(model.vocabulary[at] == k.hash, model.classes[at], WORDS + k.tail)
+def placed(model: Model, k: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each token and its entry in a shared class (-1 in a class of its own)."""
+    at = np.minimum(np.searchsorted(model.hashes, k.hash), len(model.hashes) - 1)
+    own = model.hashes[at] == k.hash
+    return np.where(own, model.classes[at], model.words + k.tail), np.where(own, model.entries[at], model.starts[k.tail + 1] - 1)
 
 
-def contexts(classes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each token the classes of the one before and the one before that; the class after all others stands before a text."""
-    none = WORDS + TAILS
+def contexts(classes: np.ndarray, doc: np.ndarray, none: int) -> np.ndarray:
+    """For each token the classes of the one before and the one before that; the class `none`, after all others, stands before a text."""
     out = np.full((len(classes), 2), none)
     for k in (1, 2):
         same = doc[k:] == doc[:-k]
@@ -126,29 +150,44 @@ def contexts(classes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def start(counts: DataFrame, seed: int = 11) -> Model:
-    """The untrained model: vocabulary and class masses from the counts, small random vectors."""
-    end = F.col("h") == F.lit(int(END.view(np.int64)))
-    top = counts.where(~end).orderBy(F.desc("c"), "h").limit(WORDS - 1).toArrow()
-    n_end = counts.where(end).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    hashes = np.concatenate([[END], top.column("h").to_numpy().view(np.uint64)]).astype(np.uint64)
-    c = np.concatenate([[n_end], top.column("c").to_numpy()])
-    rest = counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow()
+def start(counts: DataFrame, head: pa.Table, most_words: int = WORDS, least: int = LEAST, most_inner: int = MOST_INNER, seed: int = 11) -> Model:
+    """The untrained model from the counts and their commonest ones (h, tail, c, most common first): masses, and small random vectors."""
+    h, tail, c = head.column("h").to_numpy().view(np.uint64), head.column("tail").to_numpy(), head.column("c").to_numpy()
+    n_end = int(c[h == END].sum())
+    h, tail, c = (x[h != END] for x in (h, tail, c))
+    words = slice(0, most_words - 1)
+    middle = np.arange(most_words - 1, max(most_words - 1, min(len(h), most_words - 1 + most_inner)))
+    middle = middle[c[middle] >= least]
+    middle = middle[np.argsort(tail[middle], kind="stable")]
+    per_class = W.counted(tail[middle], TAILS)
+    starts = np.concatenate([[0], np.cumsum(per_class + 1)])
+    entries = np.arange(len(middle)) + tail[middle]  # a rest entry lies before those of each later class
+    all_of = counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).toArrow()
     mass, kinds = np.zeros(TAILS), np.zeros(TAILS)
-    mass[rest.column("tail").to_numpy()], kinds[rest.column("tail").to_numpy()] = rest.column("c").to_numpy(), rest.column("n").to_numpy()
+    mass[all_of.column("tail").to_numpy()], kinds[all_of.column("tail").to_numpy()] = all_of.column("c").to_numpy(), all_of.column("n").to_numpy()
     if n_end:
         mass[0] -= n_end
         kinds[0] -= 1
-    np.subtract.at(mass, top.column("tail").to_numpy(), top.column("c").to_numpy())
-    np.subtract.at(kinds, top.column("tail").to_numpy(), 1)
-    share = np.zeros(WORDS + TAILS)
-    share[: len(c)] = c
-    share[WORDS:] = mass
+    np.subtract.at(mass, tail[words], c[words])
+    np.subtract.at(kinds, tail[words], 1)
+    share = np.zeros(most_words + TAILS)
+    share[0], share[1 : 1 + len(c[words])] = n_end, c[words]
+    share[most_words:] = mass
     share = (share + 0.5) / (share + 0.5).sum()
+    rest = mass - np.bincount(tail[middle], weights=c[middle], minlength=TAILS) + 0.5 * (kinds - per_class + 1)
+    inner = np.zeros(len(middle) + TAILS)
+    inner[entries], inner[starts[1:] - 1] = c[middle] + 0.5, rest
+    inner = np.log(inner / np.repeat(np.add.reduceat(inner, starts[:-1]), np.diff(starts))).astype(np.float32)
+    hashes = np.concatenate([[END], h[words], h[middle]]).astype(np.uint64)
+    classes = np.concatenate([np.arange(1 + len(h[words])), most_words + tail[middle]])
     order = np.argsort(hashes)
     rng = np.random.default_rng(seed)
     small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-    return Model(hashes[order], order, mass + 0.5 * (kinds + 1), np.log(share).astype(np.float32), small(WORDS + TAILS + 1, DIMENSIONS), small(WORDS + TAILS, DIMENSIONS), np.ones((2, DIMENSIONS), np.float32), np.log(share).astype(np.float32))
+    log = np.log(share).astype(np.float32)
+    return Model(
+        hashes[order], classes[order], np.concatenate([np.full(1 + len(h[words]), -1), entries])[order], starts, rest, log, inner,
+        small(most_words + TAILS + 1, DIMENSIONS), small(most_words + TAILS, DIMENSIONS), np.ones((2, DIMENSIONS), np.float32), log.copy(), np.zeros((len(inner), DIMENSIONS), np.float32), inner.copy(),
+    )
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +202,8 @@ class Trainer:
     """Stochastic gradients (Adagrad) of the noise-contrastive loss from a model's parameters."""
 
     def __init__(self, model: Model, seed: int):
-        self.m = model._replace(context=model.context.copy(), target=model.target.copy(), place=model.place.copy(), bias=model.bias.copy())
-        self.squares = {f: np.full_like(getattr(self.m, f), 0.1) for f in ("context", "target", "place", "bias")}
+        self.m = model._replace(**{f: getattr(model, f).copy() for f in LEARNT})
+        self.squares = {f: np.full_like(getattr(self.m, f), 0.1) for f in LEARNT}
         self.rng = np.random.default_rng(seed)
         self.cumulative = np.cumsum(np.exp(model.noise.astype(np.float64)))
 
@@ -181,7 +220,7 @@ class Trainer:
             w, c = classes[pick], before[pick]
             one, two = m.context[c[:, 0]], m.context[c[:, 1]]
             h = one * m.place[0] + two * m.place[1]
-            noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]), WORDS + TAILS - 1)
+            noise = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE) * self.cumulative[-1]), len(self.cumulative) - 1)
             shift = np.float32(np.log(NOISE))
             true, false = m.target[w], m.target[noise]
             g_true = -1 / (1 + np.exp(np.clip((h * true).sum(1) + m.bias[w] - m.noise[w] - shift, -20, 20)))
@@ -195,11 +234,47 @@ class Trainer:
             self._step("context", rows, grads / n * 64)
             self._step("place", slice(None), np.stack([(d_h * one).sum(0), (d_h * two).sum(0)]) / n)
 
+    def learn_inner(self, classes: np.ndarray, entries: np.ndarray, before: np.ndarray) -> None:
+        """The entries of the shared classes, class by class, against noise from the class; contexts stay as they are."""
+        m = self.m
+        tokens = np.flatnonzero(entries >= 0)
+        tokens = self.rng.permutation(tokens)
+        tokens = tokens[np.argsort(classes[tokens], kind="stable")]
+        ends = np.searchsorted(classes[tokens], np.arange(m.words, m.words + TAILS + 1))
+        for k in range(TAILS):
+            first, last = m.starts[k], m.starts[k + 1]
+            if last - first < 2:
+                continue
+            cumulative = np.cumsum(np.exp(m.inner_noise[first:last].astype(np.float64)))
+            for at in range(ends[k], ends[k + 1], MINIBATCH):
+                pick = tokens[at : min(at + MINIBATCH, ends[k + 1])]
+                w, c = entries[pick], before[pick]
+                h = m.context[c[:, 0]] * m.place[0] + m.context[c[:, 1]] * m.place[1]
+                draws = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE) * cumulative[-1]), last - first - 1) + first
+                shift = np.float32(np.log(NOISE))
+                g_true = -1 / (1 + np.exp(np.clip((h * m.inner[w]).sum(1) + m.inner_bias[w] - m.inner_noise[w] - shift, -20, 20)))
+                g_false = 1 / (1 + np.exp(-np.clip(h @ m.inner[draws].T + (m.inner_bias[draws] - m.inner_noise[draws] - shift), -20, 20)))
+                rows, grads = _scatter(np.concatenate([w, draws]), np.concatenate([np.column_stack([g_true[:, None] * h, g_true]), np.column_stack([g_false.T @ h, g_false.sum(0)])]))
+                self._step("inner", rows, grads[:, :-1] / np.float32(len(pick)) * 64)
+                self._step("inner_bias", rows, grads[:, -1] / np.float32(len(pick)) * 64)
+
+
+def mean_of(pieces: DataFrame) -> dict[int, np.ndarray]:
+    """The weighted means of pieces of parameters (k, n, x: 32-bit floats), each summed in one task batch by batch."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(1), 0
+        for batch in batches:
+            for weight, x in zip(batch.column("n").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                total, n = total + weight * np.frombuffer(x, np.float32).astype(np.float64), n + weight
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()])], names=["k", "x"])
+
+    return {r.k: np.frombuffer(r.x, np.float32) for r in pieces.groupBy("k").applyInArrow(run, "k int, x binary").collect()}
+
 
 def train(texts: DataFrame, model: Model, part: Column) -> Model:
     """Rounds of training over the column text; `part` deals rows into tenths."""
     low = 0
-    fields = ("context", "target", "place", "bias")
     for high in ROUNDS:
         code = pickle.dumps(model)
 
@@ -208,19 +283,21 @@ def train(texts: DataFrame, model: Model, part: Column) -> Model:
             for batch in W.slices(batches, "text"):
                 k = tokens(W.texts_of(batch.column("text")))
                 trainer = trainer or Trainer(pickle.loads(code), 1)
-                classes = class_of(trainer.m, k)
-                trainer.learn(classes, contexts(classes, k.doc))
+                classes, entries = placed(trainer.m, k)
+                before = contexts(classes, k.doc, len(trainer.m.target))
+                trainer.learn(classes, before)
+                trainer.learn_inner(classes, entries, before)
                 n += len(classes)
             if n:
-                flat = np.concatenate([getattr(trainer.m, f).ravel() for f in fields]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * n), pa.array(np.full(len(flat), n))], names=["i", "x", "n"])
+                flat = np.concatenate([getattr(trainer.m, f).ravel() for f in LEARNT]).astype(np.float32)
+                pieces = [flat[at : at + PIECE].tobytes() for at in range(0, len(flat), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array([n] * len(pieces), pa.int64()), pa.array(pieces)], names=["k", "n", "x"])
 
-        mean = batched(texts.where((part >= low) & (part < high)).select("text"), run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
-        if len(mean):
-            flat = np.zeros(len(mean), np.float32)
-            flat[mean.column("i").to_numpy()] = mean.column("x").to_numpy()
+        mean = mean_of(batched(texts.where((part >= low) & (part < high)).select("text"), run, "k int, n long, x binary"))
+        if mean:
+            flat = np.concatenate([mean[k] for k in range(len(mean))])
             at, new = 0, {}
-            for f in fields:
+            for f in LEARNT:
                 old = getattr(model, f)
                 new[f] = flat[at : at + old.size].reshape(old.shape)
                 at += old.size
@@ -229,73 +306,99 @@ def train(texts: DataFrame, model: Model, part: Column) -> Model:
     return model
 
 
-def class_logs(model: Model, classes: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Natural logs of the normalised probabilities of the classes after their contexts."""
-    key, which = np.unique(before[:, 0] * (WORDS + TAILS + 1) + before[:, 1], return_inverse=True)
-    one, two = np.divmod(key, WORDS + TAILS + 1)
-    h = model.context[one] * model.place[0] + model.context[two] * model.place[1]
+def _normal(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logs of the sums of exponentials of all scores, for each context."""
     total = np.empty(len(h), np.float32)
     for at in range(0, len(h), 2048):
-        s = h[at : at + 2048] @ model.target.T + model.bias
+        s = h[at : at + 2048] @ vectors.T + bias
         top = s.max(1, keepdims=True)
         total[at : at + 2048] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
+    return total
+
+
+def token_logs(model: Model, classes: np.ndarray, entries: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Natural logs of the normalised probabilities of classes, and of entries in shared ones, after their contexts."""
+    key, which = np.unique(before[:, 0] * len(model.context) + before[:, 1], return_inverse=True)
+    one, two = np.divmod(key, len(model.context))
+    h = model.context[one] * model.place[0] + model.context[two] * model.place[1]
+    total = _normal(h, model.target, model.bias)
     out = np.empty(len(classes))
     for at in range(0, len(classes), 1 << 18):
         w, k = classes[at : at + (1 << 18)], which[at : at + (1 << 18)]
         out[at : at + (1 << 18)] = np.einsum("ij,ij->i", h[k], model.target[w]) + model.bias[w] - total[k]
+    shared = np.flatnonzero(entries >= 0)
+    shared = shared[np.argsort(classes[shared], kind="stable")]
+    ends = np.searchsorted(classes[shared], np.arange(model.words, model.words + TAILS + 1))
+    for k in range(TAILS):
+        first, last = model.starts[k], model.starts[k + 1]
+        at = shared[ends[k] : ends[k + 1]]
+        if last - first < 2 or not len(at):
+            continue
+        met, of = np.unique(which[at], return_inverse=True)
+        total = _normal(h[met], model.inner[first:last], model.inner_bias[first:last])
+        w = entries[at]
+        out[at] += np.einsum("ij,ij->i", h[which[at]], model.inner[w]) + model.inner_bias[w] - total[of]
     return out
 
 
-def scored(model: Model, t: W.Texts, hashes: np.ndarray, counts: np.ndarray, n: int, v: int) -> list[np.ndarray]:
-    """n_tokens, n_known, base_score and score of some texts, given the counts of their tokens."""
+class Head(NamedTuple):
+    """Sorted tokens with known counts, and the numbers of all training tokens and of distinct ones."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    n: int
+    v: int
+
+
+def scored(model: Model, head: Head, t: W.Texts) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """n_tokens, n_known, base_score and score of some texts, where a token outside the head counts as unseen; and those tokens with the text of each."""
     k = tokens(t)
-    c = np.zeros(len(k.hash))
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, k.hash), len(hashes) - 1)
-        c = np.where(hashes[at] == k.hash, counts[at], 0)
-    classes = class_of(model, k)
-    logs = class_logs(model, classes, contexts(classes, k.doc))
-    shared = classes >= WORDS
-    logs[shared] += np.log((c[shared] + 0.5) / model.tails[classes[shared] - WORDS])
-    base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+    c, inside = np.zeros(len(k.hash)), np.zeros(len(k.hash), bool)
+    if len(head.hashes):
+        at = np.minimum(np.searchsorted(head.hashes, k.hash), len(head.hashes) - 1)
+        inside = head.hashes[at] == k.hash
+        c = np.where(inside, head.counts[at], 0)
+    classes, entries = placed(model, k)
+    logs = token_logs(model, classes, entries, contexts(classes, k.doc, len(model.target)))
+    rest = (entries >= 0) & (entries == model.starts[k.tail + 1] - 1)
+    logs[rest] += np.log((c[rest] + 0.5) / model.rest[k.tail[rest]])
+    base = np.log10((c + 0.5) / (head.n + 0.5 * (head.v + 1)))
     total = lambda x: np.bincount(k.doc, weights=x, minlength=len(t))
-    return [W.counted(k.doc, len(t)), total(c > 0).astype(np.int64), total(base), total(logs) / np.log(10)]
+    return [W.counted(k.doc, len(t)), total(c > 0).astype(np.int64), total(base), total(logs) / np.log(10)], k.hash[~inside], k.doc[~inside]
+
+
+RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", words: int = WORDS, least: int = LEAST, most_inner: int = MOST_INNER, most_head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text; rows not held out are learnt from."""
-    rows = docs.select(F.col(key).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).alias("doc_id"), held_out.alias("held_out"), F.xxhash64(F.col(key), F.lit("|"), F.col(text)).alias("record"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     training = rows.where(~F.col("held_out"))
     counts = written(count(training.select("text")), "token-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    part = F.pmod(F.xxhash64(F.lit("round"), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(10))
-    code = pickle.dumps(train(training, start(counts), part))
-    batches = max(1, -(-int(n) // BATCH_TOKENS))
-    dealt = rows.withColumn("batch", F.pmod(F.xxhash64(F.lit("batch"), "doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(batches)).cast("int"))
-
-    def distinct(key: tuple, table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for piece in W.slices(table, "text"):
-            held.append(np.unique(tokens(W.texts_of(piece.column("text"))).hash))
-        h = np.unique(np.concatenate(held))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key[0].as_py(), np.int32)), pa.array(h.view(np.int64))], names=["batch", "h"])
-
-    wanted = dealt.groupBy("batch").applyInArrow(distinct, "batch int, h long")
-    found = wanted.join(counts.select("h", "c"), "h").select("batch", "h", "c")
-
-    def finish(texts: pa.Table, known: pa.Table) -> pa.Table:
-        model = pickle.loads(code)
-        h = known.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        h, c = h[order], known.column("c").to_numpy()[order]
-        out = []
-        for piece in W.slices(iter(texts.combine_chunks().to_batches()), "text", 8 << 20):
-            result = scored(model, W.texts_of(piece.column("text")), h, c, n, v)
-            out.append(pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(result[0]), pa.array(result[1]), pa.array(np.full(len(piece), n, np.int64)), pa.array(result[2]), pa.array(result[3])], names=RESULT))
-        return pa.Table.from_batches(out)
-
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(finish, schema)
-
+    common = counts.orderBy(F.desc("c"), "h").limit(most_head).toArrow()
+    common = common.sort_by([("c", "descending"), ("h", "ascending")])
+    part = F.pmod(F.xxhash64(F.lit("round"), "record"), F.lit(10))
+    hashes = common.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    head = Head(hashes[order], common.column("c").to_numpy()[order], int(n), int(v))
+    code = pickle.dumps((train(training, start(counts, common, words, least, most_inner), part), head))
 
-RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in W.slices(batches, "text"):
+            model, known = held = held or pickle.loads(code)
+            result, other, doc = scored(model, known, W.texts_of(batch.column("text")))
+            at = pa.array(np.concatenate([[0], np.cumsum(W.counted(doc, batch.num_rows))]), pa.int32())
+            columns = [*(batch.column(c) for c in ("doc_id", "held_out", "record")), *map(pa.array, result), pa.ListArray.from_arrays(at, pa.array(other.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "record", "n_tokens", "n_known", "base_score", "score", "other"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    partial = written(batched(rows, run, f"doc_id {kind}, held_out boolean, record long, n_tokens long, n_known long, base_score double, score double, other array<long>"), "partial-scores")
+    more = F.log10(F.col("c") + 0.5) - F.log10(F.lit(0.5))
+    each = partial.select("record", F.posexplode("other").alias("k", "h")).join(counts.select("h", "c"), "h", "left")
+    copies = F.count_if(F.col("k") == 0)  # repeated rows have one record, and name their tokens each
+    extra = each.groupBy("record").agg((F.sum(F.coalesce(more, F.lit(0.0))) / copies).alias("more"), (F.count("c") / copies).cast("long").alias("seen"))
+    more, seen = F.coalesce("more", F.lit(0.0)), F.coalesce("seen", F.lit(0))
+    found = partial.drop("other").join(extra, "record", "left")
+    return found.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + seen).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
