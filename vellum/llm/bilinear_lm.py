@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from . import words as W
 from .frames import batched, written
 
-WORDS, TAILS = 960, 64
+WORDS, TAILS = 448, 64
 #: Least count of an entry of its own in a shared class, and the most such entries.
 LEAST, MOST_INNER = 100, 1 << 16
 HEAD = 1 << 18
-DIMENSIONS, NOISE, MINIBATCH, RATE = 32, 96, 4096, 0.08
+DIMENSIONS, NOISE, MINIBATCH, RATE = 32, 64, 4096, 0.08
 #: Tenths of the training texts that each round ends before.
 ROUNDS = (1, 4, 10)
 #: Parameters that travel in one row.
@@ -386,7 +386,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in W.slices(batches, "text"):
+        for batch in W.slices(batches, "text", 4 << 20):
             model, known = held = held or pickle.loads(code)
             result, other, doc = scored(model, known, W.texts_of(batch.column("text")))
             at = pa.array(np.concatenate([[0], np.cumsum(W.counted(doc, batch.num_rows))]), pa.int32())
