@@ -39,7 +39,7 @@ from .frames import batched, written
 
 WORDS, TAILS = 448, 64
 #: Least count of an entry of its own in a shared class, and the most such entries.
-LEAST, MOST_INNER = 100, 1 << 16
+LEAST, MOST_INNER = 100, 4096
 HEAD = 1 << 18
 DIMENSIONS, NOISE, MINIBATCH, RATE = 32, 64, 4096, 0.08
 #: Tenths of the training texts that each round ends before.
