@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from vellum.plans import coverage  # noqa: F401
 from vellum.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"

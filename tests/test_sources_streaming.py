@@ -234,3 +234,37 @@ def test_push_batches_and_outcomes(spark, tmp_path):
     q.awaitTermination(120)
     assert open(log).read().split("\n")[:3] == ["0 20", "0 20", "20 5"]
     assert [r.id for r in live.resumed(events, 40, 3).orderBy("id").collect()] == [42, 43, 44]
+
+
+def test_a_batch_that_is_never_taken_stops_the_stream_and_is_replayed(spark, tmp_path):
+    df = stream(spark, tmp_path, [("s", k, "p") for k in range(25)], "session string, id long, payload string", "failing")
+    log = tmp_path / "log"
+
+    def down(session, items):
+        return 503
+
+    with pytest.raises(Exception, match="was not taken"):
+        live.push(df, down, f"{tmp_path}/cp2", wait=lambda s: None).trigger(availableNow=True).start().awaitTermination()
+
+    def up(session, items):
+        with open(log, "a") as f:
+            f.write(f"{items[0]['id']} {len(items)}\n")
+        return 200
+
+    live.push(df, up, f"{tmp_path}/cp2", wait=lambda s: None).trigger(availableNow=True).start().awaitTermination()
+    assert log.read_text().split("\n")[:2] == ["0 20", "20 5"]
+
+
+def test_refused_batches_are_counted(spark, tmp_path):
+    df = stream(spark, tmp_path, [("s", k, "p") for k in range(25)], "session string, id long, payload string", "refused")
+    dropped = spark.sparkContext.accumulator(0)
+    live.push(df, lambda session, items: 400, f"{tmp_path}/cp3", dropped=dropped).trigger(availableNow=True).start().awaitTermination()
+    assert dropped.value == 25
+
+
+def test_manifest_errors_are_not_empty_manifests(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"error": "the server broke"}')
+    with pytest.raises(ValueError, match="server broke"):
+        listings.read_manifest(spark, str(tmp_path / "m.json"))
+    (tmp_path / "e.json").write_text('{"error": "No recordings found for this corpus"}')
+    assert listings.read_manifest(spark, str(tmp_path / "e.json")).count() == 0

@@ -13,13 +13,13 @@ _SPACES = "(?U)[\\s\\x1c-\\x1f]+"
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition, which Spark has no function for; ASCII text skips Python."""
+    """Canonical composition, which Spark has no function for; only texts that are not ASCII are sent to Python."""
 
     @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-    return compose(text)
+    return F.coalesce(compose(F.when(text.rlike("[^\\x00-\\x7f]"), text)), text)
 
 
 def collapsed(text: Column) -> Column:

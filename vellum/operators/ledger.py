@@ -28,6 +28,25 @@ def active(ledger: DataFrame, corpus_id: int | None = None) -> DataFrame:
     return rows if corpus_id is None else rows.where(F.col("corpus_id") == corpus_id)
 
 
+def recording(ledger: DataFrame, recording_id: int) -> DataFrame:
+    """The row of one recording, whatever its status; a filter that a sorted or bucketed ledger prunes by."""
+    return ledger.where(F.col("recording_id") == recording_id)
+
+
+def rejection(rejected: DataFrame, recording_id: int) -> DataFrame:
+    return rejected.where(F.col("recording_id") == recording_id)
+
+
+def rejected_ids(rejected: DataFrame, corpus_id: int) -> DataFrame:
+    return rejected.where(F.col("corpus_id") == corpus_id).select("recording_id")
+
+
+def rejected_count(rejected: DataFrame, corpus_id: int | None = None) -> DataFrame:
+    """One row: how many rejections there are, of a corpus or of all."""
+    rows = rejected if corpus_id is None else rejected.where(F.col("corpus_id") == corpus_id)
+    return rows.agg(F.count(F.lit(1)).alias("rejected"))
+
+
 def within_gate(duration: Column) -> Column:
     return F.coalesce(duration, F.lit(0.0)).between(MIN_SECONDS, MAX_SECONDS)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,23 @@ NOW = "2024-02-01T00:00:00Z"
 CORPUS = 1
 
 
+def landing(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; on a local master a temporary one will do."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        top = "file://" + tempfile.mkdtemp(prefix="vellum-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once and read back, where several branches of a plan would compute them again."""
+    path = landing(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -21,7 +41,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     speaker = F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("spk"), (F.col("doc_id") % 97).cast("string")))
     rows = d.select(F.col("doc_id").alias("recording_id"), speaker.alias("speaker_id"), T.normalize_text(F.col("text")).alias("text"), "source", "n_chars")
-    return rows.withColumns({"text_hash": T.text_hash(F.col("text")), "audio_sha256": T.text_hash(F.col("text")), "duration": F.col("n_chars") / 100})
+    return rows.withColumn("text_hash", T.text_hash(F.col("text"))).withColumns({"audio_sha256": F.col("text_hash"), "duration": F.col("n_chars") / 100})
 
 
 SQL_RECORDINGS = """recordings AS (
@@ -95,10 +115,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations: each turn's text beside that of the next one as hypothesis, ASCII only."""
+    """conversations: each turn's text beside that of the next one as hypothesis."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    clean = F.regexp_replace("text", "[^\\x00-\\x7f]", "")
-    rows = table(spark, sf_dir, "conversations").withColumn("text", clean)
+    rows = table(spark, sf_dir, "conversations")
     return rows.select("conv_id", "turn", F.col("role").alias("speaker_id"), F.col("text").alias("reference"), F.lead("text").over(w).alias("hypothesis"), (F.length("text") / 10).alias("audio_seconds"))

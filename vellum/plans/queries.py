@@ -13,7 +13,7 @@ from vellum.operators import captions, jobs, ledger, lineage, metrics, splits
 from vellum.sources import listings
 from vellum.streaming import live
 
-from .bindings import CORPUS, NOW, RATIOS, SQL_RECORDINGS, SQL_SYNC, events, recordings, rejections, table, turns
+from .bindings import CORPUS, NOW, RATIOS, SQL_RECORDINGS, SQL_SYNC, events, recordings, rejections, stored, table, turns
 from .bindings import ledger as ledger_rows
 from .bindings import listing as listing_rows
 
@@ -60,7 +60,7 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT b.n AS train_rows_before, b.n - a.n AS train_dropped, coalesce((b.n - a.n)::DOUBLE / nullif(b.n, 0), 0) AS dropped_fraction, a.t AS train_distinct_transcripts, b.s - a.s AS train_speakers_lost FROM a, b"""
 )
 def leakage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.leakage_stats(splits.with_split(recordings(spark, sf_dir), RATIOS))
+    return splits.leakage_stats(stored(splits.with_split(recordings(spark, sf_dir), RATIOS).select("split", "speaker_id", "text_hash"), "splits"))
 
 
 @query(_GUARD_SQL + " SELECT recording_id, speaker_id, split, text_hash AS audio_sha256, text_hash, duration FROM kept")
@@ -86,9 +86,14 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recordings(spark, sf_dir).select("recording_id", F.length("text").cast("long").alias("n_text"), "text_hash")
 
 
-@query()
+_PAD = {n: "".join(f"{b ^ n:02x}" for b in b"salt".ljust(64, b"\0")) for n in (0x36, 0x5C)}
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 5 <> 0 THEN c_custkey::VARCHAR END AS v FROM customer)
+    SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN v WHEN v IS NOT NULL THEN left(sha256(unhex('{_PAD[0x5C]}') || unhex(sha256(unhex('{_PAD[0x36]}') || encode(v)))), 24) END AS speaker_id, CASE WHEN v IS NULL THEN 'speaker_id_email_dropped' END AS dropped FROM c"""
+)
 def speaker_pseudonym(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: DuckDB has no bytes from hexadecimal digests to build the keyed hash from; tested against hmac."""
     ids = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('"'), F.col("c_name"), F.lit('"'))).when(F.col("c_custkey") % 5 == 0, F.lit('"a@b.c"')).otherwise(F.col("c_custkey").cast("string")).alias("j"))
     kept, reason = speakers.resolve_speaker(F.parse_json("j"), "salt")
     return ids.select("c_custkey", kept.alias("speaker_id"), reason.alias("dropped"))
@@ -125,7 +130,7 @@ def duration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.classify(ledger_rows(spark, sf_dir), listing_rows(spark, sf_dir), rejections(spark, sf_dir), CORPUS)
+    return ledger.classify(ledger_rows(spark, sf_dir), listing_rows(spark, sf_dir), rejections(spark, sf_dir).select("recording_id", "audio_path"), CORPUS)
 
 
 @query(f"WITH {SQL_SYNC} SELECT recording_id, action, reason FROM classified")
@@ -159,7 +164,7 @@ def mass_removal_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ledger o FULL JOIN c ON c.recording_id = o.recording_id LEFT JOIN gone g ON g.recording_id = o.recording_id"""
 )
 def ledger_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after, _, _ = ledger.sync(ledger_rows(spark, sf_dir), rejections(spark, sf_dir), listing_rows(spark, sf_dir), CORPUS, NOW)
+    after, _, _ = ledger.sync(stored(ledger_rows(spark, sf_dir), "ledger"), rejections(spark, sf_dir), stored(listing_rows(spark, sf_dir), "listing"), CORPUS, NOW)
     return after.select("recording_id", "status", "audio_path", "duration", "last_seen", "first_seen")
 
 
@@ -181,7 +186,7 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_SYNC} SELECT DISTINCT text_hash AS audio_sha256 FROM ledger o WHERE status = 'active' AND audio_path = 'src3' AND NOT EXISTS (SELECT 1 FROM ledger x WHERE x.status = 'active' AND x.audio_path <> 'src3' AND x.text_hash = o.text_hash)")
 def erasable_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger_rows(spark, sf_dir)
+    rows = stored(ledger_rows(spark, sf_dir).select("recording_id", "status", "audio_path", "audio_sha256"), "ledger")
     return ledger.erasable_hashes(rows, rows.where("status = 'active' and audio_path = 'src3'").select("recording_id"))
 
 
@@ -246,17 +251,21 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def purge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifests = recordings(spark, sf_dir).select("speaker_id", F.concat(F.lit("v"), (F.col("recording_id") % 3).cast("string")).alias("dataset_version"), F.lit("train").alias("split"))
     models = spark.sql("SELECT * FROM VALUES ('m1', 'v0'), ('m2', 'v1'), ('m3', 'old') AS x(path, dataset_version)")
-    return lineage.purge_plan(ledger_rows(spark, sf_dir), manifests, spark.sql("SELECT 'old' AS dataset_version"), models, "spk5")
+    rows = stored(ledger_rows(spark, sf_dir).select("recording_id", "status", "speaker_id", "audio_sha256"), "ledger")
+    return lineage.purge_plan(rows, manifests, spark.sql("SELECT 'old' AS dataset_version"), models, "spk5")
 
 
 # --- metrics -----------------------------------------------------------------------------------------
 
-_TURNS = r"""t AS (SELECT conv_id, turn, role, regexp_replace(text, '[^\x00-\x7f]', '', 'g') AS reference,
-    lead(regexp_replace(text, '[^\x00-\x7f]', '', 'g')) OVER (PARTITION BY conv_id ORDER BY turn, role, regexp_replace(text, '[^\x00-\x7f]', '', 'g')) AS hypothesis FROM conversations),
-n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(coalesce(reference, '')), '[!-/:-@\[-`{-~]', ' ', 'g'), '\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(coalesce(hypothesis, '')), '[!-/:-@\[-`{-~]', ' ', 'g'), '\s+', ' ', 'g')) AS b FROM t)"""
+_TURNS = r"""t AS (SELECT conv_id, turn, role, text AS reference, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS hypothesis FROM conversations),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(nfc_normalize(coalesce(reference, ''))), '[\p{P}\p{S}]', ' ', 'g'), '\s+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(nfc_normalize(coalesce(hypothesis, ''))), '[\p{P}\p{S}]', ' ', 'g'), '\s+', ' ', 'g')) AS b FROM t)"""
+
+
+#: DuckDB's edit distance counts bytes, so letters of two bytes become capitals, which the texts no longer have.
+_ONE_BYTE = "translate({}, 'äöüßéèêëàâçîïôùûñáíóú', 'ABCDEFGHIJKLMNOPQRSTU')"
 
 
-@query(f"WITH {_TURNS} SELECT role AS speaker_id, count(*) AS n, round(sum(levenshtein(a, b))::DOUBLE / nullif(sum(length(a)), 0), 6) AS cer FROM n GROUP BY role")
+@query(f"WITH {_TURNS} SELECT role AS speaker_id, count(*) AS n, round(sum(levenshtein({_ONE_BYTE.format('a')}, {_ONE_BYTE.format('b')}))::DOUBLE / nullif(sum(length(a)), 0), 6) AS cer FROM n GROUP BY role")
 def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metrics(turns(spark, sf_dir), ["speaker_id"]).select("speaker_id", "n", "cer")
 
@@ -295,12 +304,12 @@ def timestamp_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _SANITY
-    + """, x AS (SELECT a.user_id, a.bad > b.bad AS more, a.longs / a.n > 2 * (b.longs / b.n) AND a.longs / a.n - b.longs / b.n >= 0.05 AS longer FROM g a JOIN g b ON b.user_id = a.user_id + 1)
-    SELECT user_id, concat_ws(',', CASE WHEN more THEN 'order_violations' END, CASE WHEN longer THEN 'long_segments' END) AS reasons FROM x"""
+    + """, f AS (SELECT user_id, bad, round(longs / n, 6) AS l, round(z / d, 4) AS c, round(bad / n, 6) AS w FROM g), x AS (SELECT a.user_id, round(a.w - b.w, 6) > 0.02 AS worse, a.bad > b.bad AS more, a.l > 2 * b.l AND a.l - b.l >= 0.05 AS longer, b.c - a.c > 0.1 AS short FROM f a JOIN f b ON b.user_id = a.user_id + 1)
+    SELECT user_id, concat_ws(',', CASE WHEN worse THEN 'wer' END, CASE WHEN more THEN 'order_violations' END, CASE WHEN longer THEN 'long_segments' END, CASE WHEN short THEN 'coverage' END) AS reasons FROM x"""
 )
 def longform_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.timestamp_sanity(_segments(spark, sf_dir), ["user_id"], ["start", "event_id"], F.max("end"))
-    pack = F.struct(F.lit(0.1).alias("wer"), "order_violations", "long_segment_fraction", F.lit(1.0).alias("coverage"))
+    pack = F.struct(F.round(F.col("order_violations") / F.col("n_segments"), 6).alias("wer"), "order_violations", "long_segment_fraction", "coverage")
     a, b = rows.select("user_id", pack.alias("candidate")), rows.select((F.col("user_id") - 1).alias("user_id"), pack.alias("baseline"))
     return a.join(b, "user_id").select("user_id", F.array_join(metrics.regressions(), ",").alias("reasons"))
 
@@ -360,18 +369,18 @@ def resume_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey),
-    q AS (SELECT o.*, o_orderkey % 13 = 0 AS u FROM orders o WHERE o_orderstatus = 'O'),
+    """WITH o AS (SELECT * REPLACE (floor(o_totalprice) AS o_totalprice) FROM orders), r AS (SELECT o_custkey, sum(o_totalprice) AS s FROM o WHERE o_orderstatus = 'P' GROUP BY o_custkey),
+    q AS (SELECT o.*, o_orderkey % 13 = 0 AS u FROM o WHERE o_orderstatus = 'O'),
     w AS (SELECT q.o_custkey, o_orderkey, u, o_totalprice, row_number() OVER x AS position, coalesce(r.s, 0) + coalesce(sum(CASE WHEN u THEN 0 ELSE o_totalprice END) OVER y, 0) AS ahead, coalesce(sum(u::INT) OVER y, 0) AS unknown
         FROM q LEFT JOIN r USING (o_custkey) WINDOW x AS (PARTITION BY q.o_custkey ORDER BY o_orderdate, o_orderkey), y AS (PARTITION BY q.o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT o_custkey, o_orderkey AS id, position, unknown::BIGINT AS unknown_ahead, (unknown = 0) AS has_start, (unknown = 0 AND NOT u) AS has_finish, round(round(ahead, 1)) AS seconds_ahead FROM w"""
+    SELECT o_custkey, o_orderkey AS id, position, unknown::BIGINT AS unknown_ahead, CASE WHEN unknown = 0 THEN ahead / 2 END AS estimated_start_seconds, CASE WHEN unknown = 0 AND NOT u THEN (ahead + o_totalprice) / 2 END AS estimated_finish_seconds, ahead AS seconds_ahead FROM w"""
 )
 def queue_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     rows = o.select("o_custkey", F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("completed").alias("status"), F.col("o_orderdate").alias("created_at"),
-        F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 13 == 0), None).otherwise(F.col("o_totalprice")).alias("duration"), F.lit(0.0).alias("current"))
+        F.when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 13 == 0), None).otherwise(F.floor("o_totalprice").cast("double")).alias("duration"), F.lit(0.0).alias("current"))
     q = jobs.queue_overview(rows, 2.0, ["o_custkey"])
-    return q.select("o_custkey", "id", "position", F.col("unknown_ahead").cast("long").alias("unknown_ahead"), F.col("estimated_start_seconds").isNotNull().alias("has_start"), F.col("estimated_finish_seconds").isNotNull().alias("has_finish"), F.round("seconds_ahead").alias("seconds_ahead"))
+    return q.select("o_custkey", "id", "position", F.col("unknown_ahead").cast("long").alias("unknown_ahead"), "estimated_start_seconds", "estimated_finish_seconds", "seconds_ahead")
 
 
 @query(
@@ -456,22 +465,28 @@ def captions_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.to_vtt(cues(spark, sf_dir), "conv_id")
 
 
-@query("SELECT conv_id, 'WEBVTT\n\n' || string_agg(format('00:{:02d}:{:02d}.000 --> 00:{:02d}:{:02d}.500', turn // 60, turn % 60, turn // 60, turn % 60) || '\n' || replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '\n\n', '' ORDER BY turn, role) AS content FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+_CUES = "c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE text IS NOT NULL)"
+
+
+def _turn_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with a text as a cue of half a second."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    return c.select("conv_id", F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).alias("end"), "text")
+
+
+@query(f"WITH {_CUES} SELECT conv_id, 'WEBVTT\n\n' || string_agg(format('00:{{:02d}}:{{:02d}}.000 --> 00:{{:02d}}:{{:02d}}.500', turn // 60, turn % 60, turn // 60, turn % 60) || '\n' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '\n\n', '' ORDER BY n) AS content FROM c GROUP BY conv_id")
 def turns_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).alias("end"), F.col("role").alias("text"))
-    return captions.to_vtt(c, "conv_id")
+    return captions.to_vtt(_turn_cues(spark, sf_dir), "conv_id")
 
 
-@query("SELECT conv_id, string_agg(n::VARCHAR || '\n' || format('00:{:02d}:{:02d},000 --> 00:{:02d}:{:02d},500', turn // 60, turn % 60, turn // 60, turn % 60) || '\n' || role || '\n\n', '' ORDER BY n) AS content FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role <> 'system') GROUP BY conv_id")
+@query(f"WITH {_CUES} SELECT conv_id, string_agg(n::VARCHAR || '\n' || format('00:{{:02d}}:{{:02d}},000 --> 00:{{:02d}}:{{:02d}},500', turn // 60, turn % 60, turn // 60, turn % 60) || '\n' || text || '\n\n', '' ORDER BY n) AS content FROM c GROUP BY conv_id")
 def turns_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).alias("end"), F.col("role").alias("text"))
-    return captions.to_srt(c, "conv_id")
+    return captions.to_srt(_turn_cues(spark, sf_dir), "conv_id")
 
 
-@query("SELECT conv_id, string_agg(strftime(TIMESTAMP '2024-01-01 23:59:58' + to_seconds(turn), '%Y-%m-%dT%H:%M:%S.%g') || ' region:reg1#cue1\n' || role, '\n' ORDER BY turn) || '\n' AS content FROM conversations GROUP BY conv_id")
+@query(rf"WITH {_CUES}, l AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM c) SELECT conv_id, string_agg(strftime(TIMESTAMP '2024-01-01 23:59:58' + to_seconds(turn), '%Y-%m-%dT%H:%M:%S.%g') || ' region:reg1#cue1' || chr(10) || line, chr(10) ORDER BY n) || chr(10) AS content FROM l WHERE line <> '' GROUP BY conv_id")
 def turns_youtube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("double").alias("start"), (F.col("turn") + 0.5).alias("end"), F.col("role").alias("text"))
-    return captions.to_youtube(c, "conv_id", F.lit("2024-01-01 23:59:58").cast("timestamp"), region="reg1")
+    return captions.to_youtube(_turn_cues(spark, sf_dir), "conv_id", F.lit("2024-01-01 23:59:58").cast("timestamp"), region="reg1")
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS content FROM documents")
@@ -537,10 +552,3 @@ def push_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resumed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("id"))
     return live.resumed(e, 1000, history=50)
-
-
-@query("SELECT 'candidate' AS model, item_id AS id, length(text) AS n FROM benchmark UNION ALL SELECT 'baseline', doc_id, length(text) FROM documents")
-def union_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "benchmark").select(F.lit("candidate").alias("model"), F.col("item_id").alias("id"), F.length("text").cast("long").alias("n"))
-    b = table(spark, sf_dir, "documents").select(F.lit("baseline").alias("model"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))
-    return a.unionByName(b)

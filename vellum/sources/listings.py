@@ -28,16 +28,24 @@ def empty_listing(status: Column, body: Column) -> Column:
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Rows of landed export payloads; none for an empty listing, ValueError for another error or a corpus that is not text."""
     payload = spark.read.schema(EXPORT).json(path, multiLine=True)
-    bad = payload.where(F.col("error").isNotNull() & ~F.lower("error").contains("no recordings found")).first()
-    if bad is not None:
-        raise ValueError(f"export failed: {bad.error}")
+    _refuse_errors(payload, "export")
     if payload.where(F.col("corpus.type").isNotNull() & (F.col("corpus.type") != "text")).limit(1).count():
         raise ValueError("only text corpora can be read")
     return payload.select("corpus.id", F.explode("recordings").alias("r")).select(F.col("id").alias("corpus_id"), "r.*")
 
 
+def _refuse_errors(payload: DataFrame, what: str) -> None:
+    """ValueError for a body with an error, unless it says that there are no recordings."""
+    bad = payload.where(F.col("error").isNotNull() & ~F.lower("error").contains("no recordings found")).first()
+    if bad is not None:
+        raise ValueError(f"{what} failed: {bad.error}")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(path, multiLine=True).select(F.explode("files").alias("f")).select("f.*")
+    """Rows of landed manifests; none for an empty listing, ValueError for another error."""
+    payload = spark.read.schema(MANIFEST).json(path, multiLine=True)
+    _refuse_errors(payload, "manifest")
+    return payload.select(F.explode("files").alias("f")).select("f.*")
 
 
 def clean_path(path: Column) -> Column:

@@ -138,14 +138,26 @@ def anchors(reads: DataFrame, rate: int, limit: float = 1.0) -> DataFrame:
     The first read anchors; a reader without backlog anchors anew when the
     stream's time and the wall differ by more than the limit.
     """
-    fold = f"""aggregate(array_sort(collect_list(struct(seq, received, wall, caught_up))), cast(array() as array<struct<seq:bigint,anchor_sample:bigint,anchor_wall:double,drift:double>>),
-        (a, r) -> array_append(a, CASE
-            WHEN size(a) = 0 THEN named_struct('seq', r.seq, 'anchor_sample', r.received, 'anchor_wall', r.wall, 'drift', cast(null as double))
-            WHEN r.caught_up AND abs(r.wall - (element_at(a, -1).anchor_wall + (r.received - element_at(a, -1).anchor_sample) / {rate}D)) > {limit}D
-            THEN named_struct('seq', r.seq, 'anchor_sample', r.received, 'anchor_wall', r.wall, 'drift', r.wall - (element_at(a, -1).anchor_wall + (r.received - element_at(a, -1).anchor_sample) / {rate}D))
-            ELSE named_struct('seq', r.seq, 'anchor_sample', element_at(a, -1).anchor_sample, 'anchor_wall', element_at(a, -1).anchor_wall, 'drift', cast(null as double)) END))"""
+    kind = dict(reads.dtypes)["session"]
     typed = reads.select("session", F.col("seq").cast("long").alias("seq"), F.col("received").cast("long").alias("received"), F.col("wall").cast("double").alias("wall"), "caught_up")
-    return typed.groupBy("session").agg(F.expr(fold).alias("r")).select("session", F.explode("r").alias("r")).select("session", "r.*")
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, sample, at = object(), 0, 0.0
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                drift = None
+                if r.session != session:
+                    session, sample, at = r.session, r.received, r.wall
+                else:
+                    off = r.wall - (at + (r.received - sample) / rate)
+                    if r.caught_up and abs(off) > limit:
+                        sample, at, drift = r.received, r.wall, off
+                out.append((session, r.seq, sample, at, drift))
+            yield pd.DataFrame(out, columns=["session", "seq", "anchor_sample", "anchor_wall", "drift"])
+
+    ordered = typed.repartition("session").sortWithinPartitions("session", "seq")
+    return ordered.mapInPandas(follow, f"session {kind}, seq long, anchor_sample long, anchor_wall double, drift double")
 
 
 # --- delivery ------------------------------------------------------------------------
@@ -290,20 +302,31 @@ def outcome(status: int | None) -> str:
     return "retry" if status is None or status >= 500 or status in (401, 403, 429) else "drop"
 
 
-def push(events: DataFrame, send: Callable[[str, list[dict]], int | None], checkpoint: str, size: int = BATCH, linger: str = "1 second", tries: int = 5, wait: Callable[[float], None] = time.sleep):
+class DeliveryFailed(RuntimeError):
+    """A receiver did not take a batch after all tries; the stream stops and replays it when it starts again."""
+
+
+def push(events: DataFrame, send: Callable[[str, list[dict]], int | None], checkpoint: str, size: int = BATCH, linger: str = "1 second", tries: int = 5, wait: Callable[[float], None] = time.sleep, dropped=None):
     """Deliver streamed events in ordered batches; a failing batch is tried again with growing waits, up to 5 s.
 
-    One partition sends one session's batches in order.
+    One partition sends one session's batches in order.  A batch that the receiver refuses for good is dropped
+    (`dropped`, an accumulator of whole numbers, counts its events); one that still fails after all tries raises DeliveryFailed,
+    so nothing behind it is sent and the batch is replayed from the checkpoint.
     """
 
     def deliver(rows) -> None:
         for row in rows:
-            pause = 0.5
+            pause, items = 0.5, [x.asDict() for x in row["items"]]
             for _ in range(tries):
-                if outcome(send(row["session"], [x.asDict() for x in row["items"]])) != "retry":
+                result = outcome(send(row["session"], items))
+                if result != "retry":
                     break
                 wait(pause)
                 pause = min(5.0, pause * 2)
+            else:
+                raise DeliveryFailed(f"a batch of {len(items)} events of session {row['session']} was not taken after {tries} tries")
+            if result == "drop" and dropped is not None:
+                dropped.add(len(items))
 
     def each(batch: DataFrame, _: int) -> None:
         push_batches(batch, size).repartition("session").sortWithinPartitions("session", "batch").foreachPartition(deliver)
