@@ -36,9 +36,9 @@ def resolve_speaker(value: Column, salt: str | None) -> tuple[Column, Column]:
     return kept, reason
 
 
-def split_salt(seed: int) -> str:
-    """Fixed value: splits that were made before depend on this text."""
-    return f"auditor-stt-split-v1:{seed}"
+def split_salt(seed: int, prefix: str = "speaker-split-v1") -> str:
+    """The text that splits depend on; give the prefix that earlier splits were made with to go on with them."""
+    return f"{prefix}:{seed}"
 
 
 def speaker_bucket(speaker: Column, salt: str) -> Column:
@@ -54,10 +54,10 @@ def validated_ratios(ratios: dict[str, float]) -> dict[str, float]:
     return ratios
 
 
-def speaker_split(speaker: Column, ratios: dict[str, float], seed: int = 42) -> Column:
+def speaker_split(speaker: Column, ratios: dict[str, float], seed: int = 42, prefix: str = "speaker-split-v1") -> Column:
     """The split of a speaker's rows; rows without a speaker are for training."""
     ratios = validated_ratios(ratios)
     dev = round(ratios["dev"] * BUCKETS)
     test = dev + round(ratios["test"] * BUCKETS)
-    b = speaker_bucket(speaker, split_salt(seed))
+    b = speaker_bucket(speaker, split_salt(seed, prefix))
     return F.when(F.nullif(speaker.cast("string"), F.lit("")).isNull(), "train").when(b < dev, "dev").when(b < test, "test").otherwise("train")

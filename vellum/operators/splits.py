@@ -61,12 +61,15 @@ def check_build(stats: DataFrame, sizes: DataFrame, most_dropped: float | None =
         raise ValueError(f"splits without rows: {', '.join(empty)}")
 
 
-def dataset_version(rows: DataFrame, ratios: dict[str, float], seed: int = 42) -> str:
+def dataset_version(rows: DataFrame, ratios: dict[str, float], seed: int = 42, most: int = 20_000_000) -> str:
     """First 16 hex digits of the SHA-256 of the canonical JSON of all rows in order and the split settings.
 
-    The digest runs over rows that stream to the driver in order, a partition at
-    a time; the JSON is never built as a whole.
+    One digest over all bytes cannot be merged from parts, so the rows (identifiers and hashes, no
+    transcripts) stream to the driver in order, a partition at a time.  It is therefore for manifests of up to
+    `most` rows and raises ValueError beyond; the JSON is never built as a whole.
     """
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a version by one digest is for at most {most} rows")
     digest = hashlib.sha256(b'{"rows":[')
     ordered = rows.select("recording_id", "text_hash", "audio_sha256", "speaker_id").orderBy("recording_id")
     for k, row in enumerate(ordered.toLocalIterator()):
