@@ -25,6 +25,7 @@ writes a new file, and only files named in the manifest count.
 
 from __future__ import annotations
 
+import functools
 import math
 import struct
 import uuid
@@ -181,6 +182,7 @@ def open_table(path: str) -> TableReader:
 _codes: dict[str, WordCodes] = {}
 
 
+@functools.cache
 def _tokenizer(path: str):
     import os
 
@@ -197,6 +199,7 @@ def splits_at_space(tokenizer) -> bool:
     return all(ids(before + space.join(words) + before) == [i for w in words for i in ids(w)] for space in (" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c") for before in ("", " "))
 
 
+@functools.cache
 def text_encoder(tokenizer_path: str):
     """A function from texts to their ids, one after the other, and where those of each begin.
 
