@@ -77,20 +77,17 @@ def dense(t: W.Texts) -> np.ndarray:
     n_words = W.counted(r.doc, n)
     some = np.maximum(n_words, 1)
     out = [W.per_text(row[t.data], t.offsets) / np.maximum(size, 1) for row in _CLASS]
-    key, at = np.unique(W.salted(r.hash, r.doc), return_index=True)
-    distinct = W.counted(r.doc[at], n)
+    doc, times = W.distinct(r.hash, r.doc, n)
+    distinct = W.counted(doc, n)
     top = np.zeros(n)
-    if len(key):
-        counts = np.unique(W.salted(r.hash, r.doc), return_counts=True)[1]
-        np.maximum.at(top, r.doc[at], counts)
+    np.maximum.at(top, doc, times)
     pair = np.zeros(n)
     if len(r.hash) > 1:
         same = (r.hash[1:] == r.hash[:-1]) & (r.doc[1:] == r.doc[:-1])
         pair = W.counted(r.doc[1:][same], n)
     g, first = W.grams(r.hash, r.doc, 3)
-    kept = np.unique(W.salted(g, r.doc[first]), return_index=True)[1] if len(g) else np.zeros(0, int)
     windows = W.counted(r.doc[first], n)
-    repeats = windows - W.counted(r.doc[first[kept]], n)
+    repeats = windows - W.counted(W.distinct(g, r.doc[first], n)[0], n)
     length = np.bincount(r.doc, weights=r.end - r.start, minlength=n) / some
     out += [np.log1p(n_words), np.minimum(length, 50) / 10, distinct / np.sqrt(some), top / some, pair / some, repeats / np.maximum(windows, 1), n_words == 0]
     return np.stack(out, 1).astype(np.float64)

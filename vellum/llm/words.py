@@ -174,6 +174,18 @@ def grams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return mix(h[at]), at
 
 
+def distinct(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct hash of each of n texts, in order of the texts: the text, and how often it has the hash.
+
+    A text's number and the upper bits of a hash are one number, so that plain numbers are sorted.
+    """
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    own = np.uint64(64) - bits
+    key = np.sort(doc.astype(np.uint64) << own | hashes >> bits)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    return (key[first] >> own).astype(np.int64), np.diff(np.append(first, len(key)))
+
+
 def salted(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Hashes that are equal only within one text."""
     return mix(hashes ^ mix(doc.astype(np.uint64) + np.uint64(1)))
