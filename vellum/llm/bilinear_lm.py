@@ -191,13 +191,23 @@ def start(counts: DataFrame, head: pa.Table, most_words: int = WORDS, least: int
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct row numbers and the sums of the rows for each."""
-    order = np.argsort(at, kind="stable")
+    """Distinct row numbers (below 65,536: two bytes are sorted by radix) and the sums of the rows for each."""
+    order = np.argsort(at.astype(np.uint16) if at.max() < 1 << 16 else at, kind="stable")
     sorted_at = at[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
     return sorted_at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
+def _logistic(x: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The logistic function of x + more, in the memory of x."""
+    x += more
+    np.clip(x, -20, 20, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
     """Stochastic gradients (Adagrad) of the noise-contrastive loss from a model's parameters."""
 
@@ -224,7 +234,7 @@ class Trainer:
             shift = np.float32(np.log(NOISE))
             true, false = m.target[w], m.target[noise]
             g_true = -1 / (1 + np.exp(np.clip((h * true).sum(1) + m.bias[w] - m.noise[w] - shift, -20, 20)))
-            g_false = 1 / (1 + np.exp(-np.clip(h @ false.T + (m.bias[noise] - m.noise[noise] - shift), -20, 20)))
+            g_false = _logistic(h @ false.T, m.bias[noise] - m.noise[noise] - shift)
             d_h = g_true[:, None] * true + g_false @ false
             n = np.float32(len(pick))
             rows, grads = _scatter(np.concatenate([w, noise]), np.concatenate([np.column_stack([g_true[:, None] * h, g_true]), np.column_stack([g_false.T @ h, g_false.sum(0)])]))
@@ -253,7 +263,7 @@ class Trainer:
                 draws = np.minimum(np.searchsorted(cumulative, self.rng.random(NOISE) * cumulative[-1]), last - first - 1) + first
                 shift = np.float32(np.log(NOISE))
                 g_true = -1 / (1 + np.exp(np.clip((h * m.inner[w]).sum(1) + m.inner_bias[w] - m.inner_noise[w] - shift, -20, 20)))
-                g_false = 1 / (1 + np.exp(-np.clip(h @ m.inner[draws].T + (m.inner_bias[draws] - m.inner_noise[draws] - shift), -20, 20)))
+                g_false = _logistic(h @ m.inner[draws].T, m.inner_bias[draws] - m.inner_noise[draws] - shift)
                 rows, grads = _scatter(np.concatenate([w, draws]), np.concatenate([np.column_stack([g_true[:, None] * h, g_true]), np.column_stack([g_false.T @ h, g_false.sum(0)])]))
                 self._step("inner", rows, grads[:, :-1] / np.float32(len(pick)) * 64)
                 self._step("inner_bias", rows, grads[:, -1] / np.float32(len(pick)) * 64)
@@ -309,10 +319,12 @@ def train(texts: DataFrame, model: Model, part: Column) -> Model:
 def _normal(h: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Logs of the sums of exponentials of all scores, for each context."""
     total = np.empty(len(h), np.float32)
-    for at in range(0, len(h), 2048):
-        s = h[at : at + 2048] @ vectors.T + bias
+    for at in range(0, len(h), 512):
+        s = h[at : at + 512] @ vectors.T
+        s += bias
         top = s.max(1, keepdims=True)
-        total[at : at + 2048] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
+        s -= top
+        total[at : at + 512] = np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
     return total
 
 
