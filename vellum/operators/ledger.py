@@ -214,3 +214,14 @@ def build_rows(ledger: DataFrame, files: DataFrame, corpus_id: int | None = None
         raise ValueError(f"{missing.count()} recordings have no audio file, such as {first}")
     text = normalize_text(F.col("text"))
     return rows.select("recording_id", F.nullif("speaker_id", F.lit("")).alias("speaker_id"), text.alias("text"), text_hash(text).alias("text_hash"), "audio_sha256", "duration", "quality_score").orderBy("recording_id")
+
+
+def with_positions(rows: DataFrame, order: str) -> DataFrame:
+    """Positions 0, 1, ... in order of a column, without one task for all: ranges are sorted by themselves and counted before."""
+    from pyspark.sql import Window
+
+    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    before = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    first = before.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row a partition
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
+    return ranged.withColumn("_at", inside).join(F.broadcast(first), "_part").withColumn(order, F.col("_first") + F.col("_at")).drop("_part", "_first", "_at")

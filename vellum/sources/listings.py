@@ -152,3 +152,29 @@ def require_splits(spark: SparkSession, path: str) -> None:
 
 def folder_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def read_audio(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """The rows of `wanted` (audio_path, relative to `root`) with the bytes of each landed file as `content`; null when it is missing.
+
+    Bytes are read in the scan of the files that are wanted by name, so `wanted` should be the rows of one sync.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    inside = F.regexp_extract("path", "^[a-z]+:/*(/.*)$", 1)
+    top = root.partition("://")[2].rstrip("/") if "://" in root else root.rstrip("/")
+    return wanted.join(files.select(F.substring(inside, F.lit(len(top) + 2), F.length(inside)).alias("audio_path"), "content"), "audio_path", "left")
+
+
+def snapshot_source(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: corpus and content hash of a snapshot, both null when it does not say."""
+    files = spark.read.schema("corpus_id long, content_hash string").option("recursiveFileLookup", True).option("pathGlobFilter", "snapshot*.json").json(folder, multiLine=True)
+    return files.agg(F.max("corpus_id").alias("corpus_id"), F.max("content_hash").alias("content_hash"))
+
+
+def build_source(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: version and hash of the manifest of a build's folder, each null when its file is missing or cannot be read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+    version = F.try_variant_get(F.try_parse_json(F.col("content").cast("string")), "$.dataset_version", "string")
+    return files.where(F.col("name").isin("build_metadata.json", "manifest.json")).agg(
+        F.max(F.when(F.col("name") == "build_metadata.json", version)).alias("dataset_version"), F.max(F.when(F.col("name") == "manifest.json", F.sha2("content", 256))).alias("manifest_sha256")
+    )

@@ -77,3 +77,37 @@ def write_lines(rows: DataFrame, path: str) -> None:
 def checked_fields(fields: set[str], allowed: set[str]) -> None:
     if unknown := fields - allowed:
         raise ValueError(f"unknown fields: {', '.join(sorted(unknown))}")
+
+
+def store_contents(files: DataFrame, root: str) -> None:
+    """Append the contents (sha256, content) that the store lacks, in folders by the hash's first two digits."""
+    spark = files.sparkSession
+    if _exists(spark, root):
+        files = new_contents(files, spark.read.schema("sha256 string, content binary, part string").parquet(root))
+    rows = files.dropDuplicates(["sha256"]).select("sha256", "content", F.left("sha256", F.lit(2)).alias("part"))
+    rows.write.mode("append").partitionBy("part").parquet(root)
+
+
+def write_chunk_results(results: DataFrame, folder: str) -> None:
+    """Append results of chunks (job, index and what the model gave), by job; of a chunk written twice readers take either."""
+    results.withColumn("_job", F.col("job")).write.mode("append").partitionBy("_job").json(folder)
+
+
+def write_snapshot(rows: DataFrame, metadata: dict, folder: str) -> dict:
+    """Write the rows within the duration gate (file, position, content and SNAPSHOT's columns), then what is said of them, which is returned.
+
+    The content hash is the tree of `listings.ordered_hash` over the kept rows in order of `position`.
+    """
+    from vellum.operators.ledger import within_gate
+    from vellum.operators.ledger import with_positions
+    from vellum.sources.listings import ordered_hash
+
+    if _exists(rows.sparkSession, folder):
+        raise ValueError(f"{folder} is there already")
+    with_positions(rows.where(within_gate(F.col("duration"))), "position").write.parquet(f"{folder}/rows")
+    kept = rows.sparkSession.read.parquet(f"{folder}/rows")
+    n = kept.agg(F.count(F.lit(1)).alias("recording_count"), F.coalesce(F.sum("duration"), F.lit(0.0)).alias("total_duration_seconds"), F.coalesce(F.bool_or(F.coalesce(F.length("speaker_id") > 0, F.lit(False))), F.lit(False)).alias("has_speaker_id")).first()
+    digest = ordered_hash(kept, "position", "content").first()
+    said = metadata | n.asDict() | {"content_hash": digest.content_hash if digest else None}
+    rows.sparkSession.range(1).select(F.lit(json.dumps(said, sort_keys=True)).alias("value")).coalesce(1).write.text(f"{folder}/{MARK}")
+    return said
