@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear_lm, decontamination, jaccard_join, language_mixture, oracles, page_text, quality_classifier, quality_rules, sentence_pieces, sharding, token_tables
+from . import bilinear_lm, decontamination, jaccard_join, language_mixture, oracles, page_text, quality_classifier, quality_rules, sentence_pieces, sharding, substring_dedup, token_tables
 from .frames import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,9 +90,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs.withColumn("held_out", apart), model).drop("text")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.keep_once(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (quality_base, sharding_law, op1_decontamination, op2_sentence_pieces, op3_jaccard_join, op4_sharding, op5_page_text, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier)}
+    return {f.__name__: f for f in (quality_base, sharding_law, op1_decontamination, op2_sentence_pieces, op3_jaccard_join, op4_sharding, op5_page_text, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier, op11_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": oracles.DECONTAMINATION, "op3_jaccard_join": oracles.JACCARD_JOIN, "quality_base": oracles.QUALITY_BASE, "sharding_law": oracles.SHARDING_LAW}
+    return {"op1_decontamination": oracles.DECONTAMINATION, "op3_jaccard_join": oracles.JACCARD_JOIN, "quality_base": oracles.QUALITY_BASE, "sharding_law": oracles.SHARDING_LAW, "op11_substring_dedup": oracles.SUBSTRING_DEDUP}

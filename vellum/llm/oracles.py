@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import substring_dedup
 from .decontamination import SHARE, SHORTEST, WINDOW
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,3 +49,16 @@ _BYTES = "octet_length(encode(coalesce(text, '')))"
 
 #: What any placement keeps of the table, and what the law asks.
 SHARDING_LAW = f"SELECT count(*) AS n_rows, sum({_BYTES} + 8)::BIGINT AS n_bytes, 24 AS shards, true AS gapless, true AS near_equal FROM documents"
+
+_RUN = substring_dedup.WINDOW
+
+#: All windows as text, those that begin twice or more, and the words within reach of their first words; no anchors.
+SUBSTRING_DEDUP = rf"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT i, p, array_to_string(w[p : p + {_RUN - 1}], ' ') AS g FROM (SELECT i, w, unnest(range(1, len(w) - {_RUN - 2})) AS p FROM d)),
+again AS (SELECT i, p FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1),
+word AS (SELECT i, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM d),
+marked AS (SELECT word.i, word.p, word, max(again.p) OVER (PARTITION BY word.i ORDER BY word.p ROWS BETWEEN {_RUN - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM word LEFT JOIN again ON again.i = word.i AND again.p = word.p),
+kept AS (SELECT i, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM marked GROUP BY i)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (i)
+"""
