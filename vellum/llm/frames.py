@@ -68,10 +68,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back, which cuts the lineage."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """The rows written to the shared folder (with these options) and read back, which cuts the lineage."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

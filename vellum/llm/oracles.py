@@ -62,3 +62,17 @@ marked AS (SELECT word.i, word.p, word, max(again.p) OVER (PARTITION BY word.i O
 kept AS (SELECT i, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM marked GROUP BY i)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (i)
 """
+
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Every document scored for every item; no shards, blocks or bounds.
+RANKED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS total, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT i, t, count(*) AS tf FROM (SELECT i, unnest(w) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * any_value(total) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY t),
+m AS (SELECT i, doc_id, 25 + (75 * len(w) * total) // terms AS m FROM d, s WHERE len(w) > 0),
+q AS (SELECT item_id, text, unnest({_TERMS}) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+x AS (SELECT item_id, text, doc_id, i, sum(df.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN df USING (t) JOIN tf USING (t) JOIN m USING (i) GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score FROM x QUALIFY rank <= 10
+"""
