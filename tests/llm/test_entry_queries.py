@@ -52,6 +52,7 @@ CONTRACT = {
     "op8_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op9_language_mixture": "doc_id held_out lang_pred score",
     "op10_quality_classifier": "doc_id held_out score predicted",
+    "op11_substring_dedup": "doc_id n_words n_removed kept_sha256",
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bilinear_lm, decontamination, jaccard_join, language_mixture, oracles, page_text, quality_classifier, quality_rules, ranked_search, sentence_pieces, sharding, substring_dedup, token_tables
+from . import bilinear_lm, conversation_repair, decontamination, jaccard_join, language_mixture, oracles, page_text, quality_classifier, quality_rules, ranked_search, sentence_pieces, sharding, substring_dedup, token_tables
 from .frames import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,13 +95,20 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    rows = conversation_repair.damaged(original)
+    audits = conversation_repair.audits(rows)
+    return conversation_repair.report(original, audits, conversation_repair.digests(conversation_repair.replay(rows, audits)))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (quality_base, sharding_law, op1_decontamination, op2_sentence_pieces, op3_jaccard_join, op4_sharding, op5_page_text, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier, op11_substring_dedup, op13_ranked_search)}
+    return {f.__name__: f for f in (quality_base, sharding_law, op1_decontamination, op2_sentence_pieces, op3_jaccard_join, op4_sharding, op5_page_text, op6_token_tables, op7_bilinear_lm, op8_quality_rules, op9_language_mixture, op10_quality_classifier, op11_substring_dedup, op12_conversation_repair, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": oracles.DECONTAMINATION, "op3_jaccard_join": oracles.JACCARD_JOIN, "quality_base": oracles.QUALITY_BASE, "sharding_law": oracles.SHARDING_LAW, "op11_substring_dedup": oracles.SUBSTRING_DEDUP, "op13_ranked_search": oracles.RANKED_SEARCH}
+    return {"op1_decontamination": oracles.DECONTAMINATION, "op3_jaccard_join": oracles.JACCARD_JOIN, "quality_base": oracles.QUALITY_BASE, "sharding_law": oracles.SHARDING_LAW, "op11_substring_dedup": oracles.SUBSTRING_DEDUP, "op12_conversation_repair": oracles.CONVERSATION_REPAIR, "op13_ranked_search": oracles.RANKED_SEARCH}

@@ -76,3 +76,31 @@ q AS (SELECT item_id, text, unnest({_TERMS}) AS t FROM (SELECT DISTINCT item_id,
 x AS (SELECT item_id, text, doc_id, i, sum(df.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN df USING (t) JOIN tf USING (t) JOIN m USING (i) GROUP BY ALL HAVING score > 0)
 SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score FROM x QUALIFY rank <= 10
 """
+
+#: CRC-32 bit by bit, then the cheapest edits row by row: of each conversation, row and state the least cost, and the least audit among equals.  No signatures.
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS h FROM conversations),
+r AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, row_number() OVER () AS o FROM c, range(2) z(k) WHERE h <> 0 AND (k = 0 OR h = 3)),
+s AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, o) > 1 AS again, left(role, 1) AS c, lag(left(role, 1)) OVER w AS before,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS empty, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, o)),
+f AS (SELECT *, empty AS blank, again AND NOT empty AS duplicate, open AND NOT again AND NOT empty AS truncated FROM s),
+ins(state, j, after) AS (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)),
+edits(state, edit, own, after, cost) AS (VALUES (0, 'D', NULL, 0, 4), (1, 'D', NULL, 1, 4), (2, 'D', NULL, 2, 4), (3, 'D', NULL, 3, 4), (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 2, 3),
+    (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (3, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0)),
+t(conv_id, i, state, best) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': ''} FROM f UNION ALL
+    SELECT conv_id, i, state, min(best) FROM (SELECT t.conv_id, f.i, e.after AS state, {'cost': t.best.cost + 3 * ins.j + e.cost + CASE WHEN f.truncated AND e.edit <> 'D' THEN 3 ELSE 0 END, 'audit': t.best.audit || repeat('I', ins.j) || e.edit} AS best
+        FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.i = t.i + 1 JOIN ins ON ins.state = t.state JOIN edits e ON e.state = ins.after AND (e.edit = 'D' OR NOT (f.blank OR f.duplicate)) AND (e.own IS NULL OR e.own = f.c)) GROUP BY ALL),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+ends(state, cost, audit) AS (VALUES (0, 0, ''), (1, 6, 'II'), (2, 3, 'I'), (3, 0, '')),
+a AS (SELECT t.conv_id, min({'cost': best.cost + ends.cost, 'audit': best.audit || ends.audit}) AS best FROM t JOIN n ON n.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = n.n JOIN ends USING (state) GROUP BY t.conv_id),
+p AS (SELECT conv_id, unnest(range(1, len(best.audit) + 1)) AS p, best.audit AS audit FROM a),
+q AS (SELECT conv_id, p, audit[p] AS edit, count(*) FILTER (audit[p] <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM p),
+o AS (SELECT q.conv_id, q.p, q.edit, row_number() OVER w - 1 AS k, first_value(CASE WHEN q.edit = 'K' AND f.c = 's' THEN 1 ELSE 0 END) OVER w AS led, f.role, f.text
+    FROM q LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i AND q.edit <> 'I' WHERE q.edit <> 'D' WINDOW w AS (PARTITION BY q.conv_id ORDER BY q.p)),
+l AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS lines FROM o GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(a.best.cost, 0) AS cost, coalesce(a.best.audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
