@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import splits
 from vellum.sources import listings, sinks, wav
-from vellum.streaming import live
+from vellum.streaming import delay, hearing, live
 
 
 def put(path, content):
@@ -125,7 +125,7 @@ def test_wav_columns(spark):
     assert spark.createDataFrame([([3.0, 4.0, 1.0, 1.0, 9.0],)], "x array<float>").select(wav.frame_levels(F.col("x"), 2)).first()[0] == [np.sqrt(12.5), 1.0]
 
 
-RULES = live.SegmentRules(sample_rate=1000)
+RULES = hearing.SegmentRules(sample_rate=1000)
 
 
 def tone(seconds, loud):
@@ -134,12 +134,8 @@ def tone(seconds, loud):
 
 
 def fed(parts, step=400):
-    samples, buffer, start, out = np.concatenate(parts), np.zeros(0, np.float32), 0, []
-    for at in range(0, len(samples), step):
-        buffer = np.concatenate([buffer, samples[at : at + step]])
-        found, buffer, start = live.cut_segments(buffer, start, RULES)
-        out += found
-    return out + live.cut_segments(buffer, start, RULES, end_of_stream=True)[0]
+    samples, ear = np.concatenate(parts), hearing.Ear(RULES)
+    return [x for at in range(0, len(samples), step) for x in ear.hear(samples[at : at + step])] + ear.finish()
 
 
 def test_segments_end_at_pauses_and_at_the_longest():
@@ -170,7 +166,7 @@ def test_streamed_segments_equal_the_batch_ones(spark, tmp_path):
     samples = np.concatenate([tone(1, False), tone(2, True), tone(1, False), tone(3, True), tone(1, False)])
     rows = [("s", k, samples[at : at + 400].tolist(), at + 400 >= len(samples)) for k, at in enumerate(range(0, len(samples), 400))]
     frames = stream(spark, tmp_path, rows, "session string, seq long, samples array<float>, last boolean", "seg")
-    got = sorted((r.start_sample, r.end_sample) for r in run(live.segments(frames, RULES), spark, tmp_path, "seg"))
+    got = sorted((r.start_sample, r.end_sample) for r in run(hearing.segments(frames, RULES), spark, tmp_path, "seg"))
     assert got == fed([samples])
 
 
@@ -178,19 +174,19 @@ def test_streamed_delays_equal_the_batch_ones(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(f"s{k % 2}", k, float(rng.normal(0, 600)), 250.0) for k in range(120)]
     schema = "session string, seq long, mismatch_ms double, tolerance_ms double"
-    batch = sorted(map(tuple, live.delays(spark.createDataFrame(rows, schema)).collect()))
-    assert sorted(map(tuple, run(live.delays(stream(spark, tmp_path, rows, schema, "del")), spark, tmp_path, "del"))) == batch
+    batch = sorted(map(tuple, delay.delays(spark.createDataFrame(rows, schema)).collect()))
+    assert sorted(map(tuple, run(delay.delays(stream(spark, tmp_path, rows, schema, "del")), spark, tmp_path, "del"))) == batch
 
 
 def test_delay_policy():
-    d = live.Delay().report(100)
+    d = delay.Delay().report(100)
     assert (d.target, d.stable, d.reason) == (0.0, 1, "within_tolerance")
-    d = live.Delay().report(3000)
-    assert d.target == 0.5 and d.report(3000).target == 1.5 and d.report(-3000) == live.Delay(target=0.5, reason="caption_early")
+    d = delay.Delay().report(3000)
+    assert d.target == 0.5 and d.report(3000).target == 1.5 and d.report(-3000) == delay.Delay(target=0.5, reason="caption_early")
     for _ in range(20):
         d = d.report(0)
     assert (d.target, d.reason, d.stable) == (0.25, "stable_step_down", 0)
-    assert d.request(7).target == 7 and live.Delay(target=120).report(9e9).target == 120
+    assert d.request(7).target == 7 and delay.Delay(target=120).report(9e9).target == 120
     with pytest.raises(ValueError):
         d.request(121)
     with pytest.raises(ValueError):

@@ -11,7 +11,7 @@ from vellum.functions import speakers, timing
 from vellum.functions import text as T
 from vellum.operators import captions, jobs, ledger, lineage, metrics, splits
 from vellum.sources import listings
-from vellum.streaming import live
+from vellum.streaming import delay, live
 
 from .bindings import CORPUS, NOW, RATIOS, SQL_RECORDINGS, SQL_SYNC, events, recordings, rejections, stored, table, turns
 from .bindings import ledger as ledger_rows
@@ -520,7 +520,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adaptive_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     reports = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.row_number().over(w).cast("long").alias("seq"), (F.col("value") * 20 - 600).alias("mismatch_ms"), F.lit(250.0).alias("tolerance_ms"))
-    return live.delays(reports).select("session", "seq", F.round("target", 3).alias("target"), "stable")
+    return delay.delays(reports).select("session", "seq", F.round("target", 3).alias("target"), "stable")
 
 
 @query("SELECT event_id, value > 30 AS dropped FROM events")

@@ -1,10 +1,9 @@
-"""Live sessions on Structured Streaming: segments, clock, late and delayed delivery, adaptive delay, batches."""
+"""Live sessions on Structured Streaming: clock, late and delayed delivery, batches."""
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,112 +14,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 MAX_LAG, HISTORY, BATCH = 30.0, 500, 20
 
 
-# --- segments of speech -------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class SegmentRules:
-    """When a segment of speech ends, in seconds."""
-
-    sample_rate: int = 16_000
-    shortest: float = 1.0
-    longest: float = 10.0
-    pause: float = 0.6
-    long_pause: float = 2.0
-    pad: float = 0.15
-
-    def samples(self, seconds: float) -> int:
-        return int(seconds * self.sample_rate)
-
-
-def loud_ranges(samples: np.ndarray, rate: int) -> list[tuple[int, int]]:
-    """Ranges louder than the background: 30 ms frames, dips of up to five frames bridged, at least 0.1 s."""
-    frame = int(0.03 * rate)
-    n = len(samples) // frame
-    if not n:
-        return []
-    level = np.sqrt(np.mean(samples[: n * frame].astype(np.float64).reshape(n, frame) ** 2, axis=1))
-    loud = np.flatnonzero(level > max(0.008, 3 * min(float(np.percentile(level, 10)), 0.01)))
-    if not len(loud):
-        return []
-    cut = np.flatnonzero(np.diff(loud) > 6)
-    first, last = loud[np.concatenate([[0], cut + 1])], loud[np.concatenate([cut, [len(loud) - 1]])]
-    return [(int(a) * frame, int(b + 1) * frame) for a, b in zip(first, last, strict=True) if (b + 1 - a) * frame >= 0.1 * rate]
-
-
-def next_cut(n: int, ranges: list[tuple[int, int]], rules: SegmentRules) -> tuple[int, int | None]:
-    """Of a buffer of n samples with these ranges of speech: samples to drop first, and where the segment then ends (None: wait).
-
-    It ends after a pause (any length after a long one), or when full in the
-    longest gap, which must leave at least half a second.
-    """
-    longest, pad = rules.samples(rules.longest), rules.samples(rules.pad)
-    if not ranges:
-        return max(0, n - 2 * pad), None
-    drop = max(0, ranges[0][0] - pad)
-    n, ranges = n - drop, [(a - drop, b - drop) for a, b in ranges]
-    end = ranges[-1][1]
-    quiet, cut = n - end, min(n, end + pad)
-    paused = quiet >= rules.samples(rules.pause) and cut >= rules.samples(rules.shortest) or quiet >= rules.samples(rules.long_pause)
-    if cut <= longest and paused:
-        return drop, cut
-    if n < longest:
-        return drop, None
-    gaps = [(b - a, (a + b) // 2) for (_, a), (b, _) in zip(ranges, ranges[1:], strict=False) if a < longest]
-    if gaps:
-        widest = max(g for g, _ in gaps)
-        middle = min(next(m for g, m in gaps if g == widest), longest)
-        if widest > 0 and middle >= rules.sample_rate // 2:
-            return drop, middle
-    return drop, longest
-
-
-def cut_segments(buffer: np.ndarray, start: int, rules: SegmentRules, find: Callable = loud_ranges, end_of_stream: bool = False) -> tuple[list[tuple[int, int]], np.ndarray, int]:
-    """Segments (absolute first and last sample), what is left of the buffer, and where that begins."""
-    out: list[tuple[int, int]] = []
-    while len(buffer):
-        drop, cut = next_cut(len(buffer), find(buffer, rules.sample_rate), rules)
-        buffer, start = buffer[drop:], start + drop
-        if cut is None:
-            break
-        out.append((start, start + cut))
-        buffer, start = buffer[cut:], start + cut
-    if end_of_stream:
-        if ranges := find(buffer, rules.sample_rate) if len(buffer) else []:
-            pad = rules.samples(rules.pad)
-            out.append((start + max(0, ranges[0][0] - pad), start + min(len(buffer), ranges[-1][1] + pad)))
-        buffer, start = buffer[:0], start + len(buffer)
-    return out, buffer, start
-
-
-SEGMENTS = "session string, start_sample long, end_sample long"
-
-
-def segments(frames: DataFrame, rules: SegmentRules | None = None, find: Callable = loud_ranges) -> DataFrame:
-    """Speech segments of streamed PCM frames (session, seq, samples array<float>, last boolean).
-
-    The state of a session is its buffer (bounded by the longest segment and one
-    look) and where it begins; a frame marked last flushes it.
-    """
-    rules = rules or SegmentRules()
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        raw, start = state.get if state.exists else (b"", 0)
-        buffer, out, last = np.frombuffer(raw, np.float32), [], False
-        for frame in pd.concat(list(batches)).sort_values("seq").itertuples():
-            buffer = np.concatenate([buffer, np.asarray(frame.samples, np.float32)])
-            last = last or bool(frame.last)
-            found, buffer, start = cut_segments(buffer, start, rules, find)
-            out += found
-        if last:
-            found, buffer, start = cut_segments(buffer, start, rules, find, True)
-            out += found
-        state.update((buffer.astype(np.float32).tobytes(), int(start)))
-        yield pd.DataFrame({"session": [key[0]] * len(out), "start_sample": [a for a, _ in out], "end_sample": [b for _, b in out]})
-
-    return frames.groupBy("session").applyInPandasWithState(step, SEGMENTS, "buffer binary, start long", "append", GroupStateTimeout.NoTimeout)
-
-
 def gap_sessions(events: DataFrame, by: str, at: Column, gap: float) -> DataFrame:
     """Batch sessions: a row begins one when it is more than `gap` seconds after the one before."""
     w = Window.partitionBy(by).orderBy("_at")
@@ -133,28 +26,37 @@ def gap_sessions(events: DataFrame, by: str, at: Column, gap: float) -> DataFram
 
 
 def anchors(reads: DataFrame, rate: int, limit: float = 1.0) -> DataFrame:
-    """Anchor in force after each read (session, seq, received, wall, caught_up): a fold in order of seq.
+    """Anchor in force after each read (session, seq, received, wall, caught_up), in order of seq.
 
     The first read anchors; a reader without backlog anchors anew when the
-    stream's time and the wall differ by more than the limit.
+    stream's time and the wall differ by more than the limit.  Between two anchors all reads of a batch are compared at once.
     """
     kind = dict(reads.dtypes)["session"]
     typed = reads.select("session", F.col("seq").cast("long").alias("seq"), F.col("received").cast("long").alias("received"), F.col("wall").cast("double").alias("wall"), "caught_up")
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session, sample, at = object(), 0, 0.0
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                drift = None
-                if r.session != session:
-                    session, sample, at = r.session, r.received, r.wall
-                else:
-                    off = r.wall - (at + (r.received - sample) / rate)
-                    if r.caught_up and abs(off) > limit:
-                        sample, at, drift = r.received, r.wall, off
-                out.append((session, r.seq, sample, at, drift))
-            yield pd.DataFrame(out, columns=["session", "seq", "anchor_sample", "anchor_wall", "drift"])
+        for batch in (b for b in batches if len(b)):
+            name, received, wall, free = batch["session"], batch["received"].to_numpy(), batch["wall"].to_numpy(), batch["caught_up"].to_numpy(bool)
+            samples, walls, drifts = np.empty(len(batch), np.int64), np.empty(len(batch)), np.full(len(batch), np.nan)
+            cuts = np.flatnonzero((name != name.shift())[1:]) + 1
+            for first, end in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if name.iloc[first] != session:
+                    session, sample, at = name.iloc[first], int(received[first]), float(wall[first])
+                width = 64
+                while first < end:
+                    some = slice(first, min(end, first + width))
+                    off = wall[some] - (at + (received[some] - sample) / rate)
+                    far = np.flatnonzero(free[some] & (np.abs(off) > limit))
+                    to = first + int(far[0]) if len(far) else some.stop
+                    samples[first:to], walls[first:to] = sample, at
+                    width *= 2
+                    if len(far):
+                        sample, at, width = int(received[to]), float(wall[to]), 64
+                        samples[to], walls[to], drifts[to] = sample, at, off[to - first]
+                        to += 1
+                    first = to
+            yield pd.DataFrame({"session": name, "seq": batch["seq"], "anchor_sample": samples, "anchor_wall": walls, "drift": pd.Series(drifts).astype("Float64")})
 
     ordered = typed.repartition("session").sortWithinPartitions("session", "seq")
     return ordered.mapInPandas(follow, f"session {kind}, seq long, anchor_sample long, anchor_wall double, drift double")
@@ -212,79 +114,6 @@ def resumed(events: DataFrame, last_id: int | None, history: int = HISTORY) -> D
     return kept if last_id is None else kept.where(F.col("id") > last_id)
 
 
-# --- adaptive delay --------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class Delay:
-    """Settings and state of the delay of one session."""
-
-    target: float = 0.0
-    stable: int = 0
-    reason: str = "initial"
-    lowest: float = 0.0
-    highest: float = 120.0
-    step: float = 0.5
-    stable_reports: int = 20
-    step_down: float = 0.25
-
-    def report(self, mismatch_ms: float, tolerance_ms: float = 250.0) -> Delay:
-        """After a measured skew; positive means that captions are late."""
-        if tolerance_ms < 0:
-            raise ValueError("tolerance must not be negative")
-        if abs(mismatch_ms) <= tolerance_ms:
-            if self.stable + 1 < self.stable_reports:
-                return replace(self, stable=self.stable + 1, reason="within_tolerance")
-            return replace(self, stable=0, target=max(self.lowest, round(self.target - self.step_down, 3)), reason="stable_step_down")
-        if mismatch_ms < 0:
-            return replace(self, stable=0, reason="caption_early")
-        most = max(self.step, self.target - self.lowest + self.step)
-        rise = max(self.step, min(mismatch_ms / 1000, most))
-        return replace(self, stable=0, target=min(self.highest, round(self.target + rise, 3)), reason="caption_late")
-
-    def request(self, seconds: float) -> Delay:
-        if not self.lowest <= seconds <= self.highest:
-            raise ValueError(f"delay must be between {self.lowest:g} and {self.highest:g} seconds")
-        return replace(self, stable=0, target=round(float(seconds), 3), reason="explicit_request")
-
-
-DELAYS = "session string, seq long, target double, stable int, reason string"
-_STATE = "target double, stable int, reason string"
-
-
-def _follow(session: str, rows: pd.DataFrame, now: Delay) -> tuple[list[tuple], Delay]:
-    out = []
-    for r in rows.sort_values("seq").itertuples():
-        asked = getattr(r, "request_seconds", None)
-        now = now.report(r.mismatch_ms, r.tolerance_ms) if asked is None or asked != asked else now.request(asked)
-        out.append((session, r.seq, now.target, now.stable, now.reason))
-    return out, now
-
-
-def delays(reports: DataFrame, start: Delay | None = None) -> DataFrame:
-    """The delay after each report (session, seq, mismatch_ms, tolerance_ms[, request_seconds]); batch or streaming input.
-
-    Each state follows from all reports before, so a session's reports are folded in
-    order; in a stream the state is carried from batch to batch.
-    """
-    start = start or Delay()
-    names = [x.split()[0] for x in DELAYS.split(", ")]
-    if reports.isStreaming:
-
-        def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            now = replace(start, **dict(zip(("target", "stable", "reason"), state.get, strict=True))) if state.exists else start
-            out, now = _follow(key[0], pd.concat(list(batches)), now)
-            state.update((now.target, now.stable, now.reason))
-            yield pd.DataFrame(out, columns=names)
-
-        return reports.groupBy("session").applyInPandasWithState(step, DELAYS, _STATE, "append", GroupStateTimeout.NoTimeout)
-    return reports.groupBy("session").applyInPandas(lambda key, rows: pd.DataFrame(_follow(key[0], rows, start)[0], columns=names), DELAYS)
-
-
-def snapshot(d: Delay) -> dict:
-    return asdict(d)
-
-
 # --- push delivery -----------------------------------------------------------------------
 
 
