@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: Seconds that an ended session is kept, and statuses of jobs that are over with their hours.
 KEEP_SESSION = {"ended": 300.0}
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-KEPT = "id string, status string, at timestamp, kind string"
+_KEPT = "id string, status string, ms long, kind string"
 
 
 def keep_jobs(hours: dict[str, float]) -> dict[str, float]:
@@ -28,38 +27,44 @@ class Ending(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "status string, at timestamp")
+        self.now = handle.getValueState("now", "status string, ms long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         held = self.now.get()
-        status, at = (held[0], held[1]) if held else (None, None)
-        for row in sorted(rows, key=lambda r: r.at):
-            if at is None or row.at >= at:  # late news of an older status changes nothing
+        status, ms = (held[0], held[1]) if held else (None, None)
+        for row in sorted(rows, key=lambda r: r.ms):
+            if status in self.keep and row.ms >= self._due(status, ms):  # it was over before these news, whether or not its timer has run
+                yield Row(id=key[0], status=status, ms=self._due(status, ms), kind="forgotten")
+                status = ms = None
+            if ms is None or row.ms >= ms:  # late news of an older status changes nothing
                 if row.status != status:
-                    yield Row(id=key[0], status=row.status, at=row.at, kind="status")
-                status, at = row.status, row.at
+                    yield Row(id=key[0], status=row.status, ms=row.ms, kind="status")
+                status, ms = row.status, row.ms
         for due in list(self.handle.listTimers()):
             self.handle.deleteTimer(due)
-        self.now.update((status, at))
+        self.now.update((status, ms))
         if status in self.keep:
-            self.handle.registerTimer(int((at.timestamp() + self.keep[status]) * 1000))
+            self.handle.registerTimer(self._due(status, ms))
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[Row]:
-        status, at = self.now.get()[:2]
+    def _due(self, status: str, ms: int) -> int:
+        return ms + int(1000 * self.keep[status])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        status = self.now.get()[0]
         self.now.clear()
-        yield Row(id=key[0], status=status, at=datetime.fromtimestamp(expired.getExpiryTimeInMs() / 1000), kind="forgotten")
-        del at
+        yield Row(id=key[0], status=status, ms=expiredTimerInfo.getExpiryTimeInMs(), kind="forgotten")
 
     def close(self) -> None:
         pass
 
 
 def kept(news: DataFrame, keep: dict[str, float] | None = None, lateness: str = "10 seconds") -> DataFrame:
-    """KEPT rows of streamed news (id, status, at timestamp): a `status` when it changes, `forgotten` when the state of an id goes.
+    """Rows (id, status, at, kind) of streamed news (id, status, at timestamp): kind `status` when it changes, `forgotten` when the state of an id goes.
 
     The clock is the stream's watermark, `lateness` behind the latest news of any id; an id is forgotten when that passes the time of
     its ending and what `keep` (seconds by status) allows, so a quiet stream forgets at its next news.  News
-    after that are of a new id.  The session must use the RocksDB state store (`ROCKS`).
+    of a later time than that are of a new id, in whatever batches they come.  The session must use the RocksDB state store (`ROCKS`).
     """
-    rows = news.select(F.col("id").cast("string").alias("id"), "status", "at").withWatermark("at", lateness)
-    return rows.groupBy("id").transformWithState(Ending(KEEP_SESSION if keep is None else keep), KEPT, "Append", "EventTime")
+    rows = news.select(F.col("id").cast("string").alias("id"), "status", "at", F.unix_millis("at").alias("ms")).withWatermark("at", lateness)
+    found = rows.groupBy("id").transformWithState(Ending(KEEP_SESSION if keep is None else keep), _KEPT, "Append", "EventTime")
+    return found.select("id", "status", F.timestamp_millis("ms").alias("at"), "kind")
