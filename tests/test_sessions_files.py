@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import carry_prompt
 from vellum.operators import captions, files, ledger
-from vellum.sources import listings, sinks
+from vellum.sources import byname, listings, sinks
 from vellum.streaming import live, session
 
 
@@ -123,14 +124,102 @@ def test_positions_follow_the_order(spark):
 def test_stores_and_chunk_results(spark, tmp_path):
     one = spark.createDataFrame([("aa1", b"1"), ("aa1", b"1"), ("bb2", b"2")], "sha256 string, content binary")
     sinks.store_contents(one, f"{tmp_path}/store")
+    was = (tmp_path / "store" / "aa" / "aa1.wav").stat().st_mtime_ns
     sinks.store_contents(one.union(spark.createDataFrame([("cc3", b"3")], one.schema)), f"{tmp_path}/store")
-    assert sorted(r.sha256 for r in spark.read.parquet(f"{tmp_path}/store").collect()) == ["aa1", "bb2", "cc3"]
-    sinks.write_chunk_results(spark.createDataFrame([("j", 0, "x"), ("k", 1, "y")], "job string, index int, text string"), f"{tmp_path}/chunks")
-    assert sorted((r.job, r["index"], r.text) for r in spark.read.json(f"{tmp_path}/chunks").collect()) == [("j", 0, "x"), ("k", 1, "y")]
+    assert sorted((r.sha256, bytes(r.content)) for r in sinks.stored_contents(spark, f"{tmp_path}/store").collect()) == [("aa1", b"1"), ("bb2", b"2"), ("cc3", b"3")]
+    assert (tmp_path / "store" / "aa" / "aa1.wav").stat().st_mtime_ns == was
+    schema = "job string, index int, text string, language string, at int"
+    write = lambda rows: sinks.write_chunk_results(spark.createDataFrame(rows, schema), f"{tmp_path}/jobs", "at")
+    write([("j", 0, "old", "fi", 1), ("j", 0, "x", "fi", 2), ("k", 1, "y", None, 1)])
+    assert sorted((r.job, r["index"], r.text, r.language) for r in listings.read_chunks(spark, f"{tmp_path}/jobs").collect()) == [("j", 0, "x", "fi"), ("k", 1, "y", None)]
+    write([("j", 0, "newer", "sv", 3)])
+    assert sorted((r.job, r["index"], r.text) for r in listings.read_chunks(spark, f"{tmp_path}/jobs").collect()) == [("j", 0, "newer"), ("k", 1, "y")]
+
+
+def test_small_files_are_replaced_whole(spark, tmp_path):
+    for k in range(7):
+        sinks.append_rate(spark, f"file://{tmp_path}/rate.json", 10 * k + 0.12349, 1.0)
+    assert [x["audio_seconds"] for x in json.loads((tmp_path / "rate.json").read_text())] == [20.123, 30.123, 40.123, 50.123, 60.123]
+    sinks.write_record(spark, f"file://{tmp_path}/gate.json", {"verdict": "pass", "wer": {"a": 0.5}, "note": "ä"})
+    assert json.loads((tmp_path / "gate.json").read_text()) == {"verdict": "pass", "wer": {"a": 0.5}, "note": "ä"} and sorted(os.listdir(tmp_path)) == ["gate.json", "rate.json"]
+
+
+def logged_opener(log):
+    """Opens local files and writes down their names and the bytes read."""
+
+    def open_file(path):
+        from vellum.sources.byname import open_path
+
+        inner = open_path(path)
+
+        class Logged:
+            def read(self, n=None):
+                data = inner.read() if n is None else inner.read(n)
+                with open(log, "a") as f:
+                    f.write(f"{path.rsplit('/', 1)[1]} {len(data)}\n")
+                return data
+
+            def seek(self, at):
+                return inner.seek(at)
+
+            def size(self):
+                return inner.size()
+
+            def close(self):
+                inner.close()
+
+        return Logged()
+
+    return open_file
+
+
+def test_only_wanted_files_are_opened(spark, tmp_path):
     (tmp_path / "audio" / "p").mkdir(parents=True)
-    (tmp_path / "audio" / "p" / "1.wav").write_bytes(b"w")
-    got = listings.read_audio(spark, f"{tmp_path}/audio", spark.createDataFrame([("p/1.wav",), ("p/2.wav",)], "audio_path string")).collect()
-    assert {r.audio_path: r.content and bytes(r.content) for r in got} == {"p/1.wav": b"w", "p/2.wav": None}
+    for k in range(40):
+        (tmp_path / "audio" / "p" / f"{k}.wav").write_bytes(b"w%d" % k)
+    wanted = spark.createDataFrame([("p/1.wav", "a"), ("p/99.wav", "b"), ("/p/7.wav", "c"), (None, "d"), ("p/1.wav", "e")], "audio_path string, note string")
+    log = tmp_path / "log"
+    got = byname.read_files(wanted, f"file://{tmp_path}/audio", open_file=logged_opener(str(log)))
+    assert {r.note: r.content and bytes(r.content) for r in got.collect()} == {"a": b"w1", "b": None, "c": b"w7", "d": None, "e": b"w1"}
+    assert set(log.read_text().split()[::2]) == {"1.wav", "7.wav"}
+    assert {r.audio_path: r.content and bytes(r.content) for r in listings.read_audio(spark, f"{tmp_path}/audio", wanted.select("audio_path").distinct()).collect()} == {"p/1.wav": b"w1", "p/99.wav": None, "/p/7.wav": b"w7", None: None}
+    with pytest.raises(Exception, match="below its root"):
+        byname.read_files(spark.createDataFrame([("../x",)], "audio_path string"), str(tmp_path)).collect()
+
+
+def test_bytes_read_grow_with_the_wanted_ranges(spark, tmp_path):
+    data = bytes(range(256)) * 4000
+    (tmp_path / "big").write_bytes(data)
+    log = tmp_path / "log"
+    rows = [("big", k * 1000, 10, k) for k in range(20)] + [("big", len(data) - 4, 10, 20), ("big", -5, 10, 21), ("big", len(data) + 9, 3, 22), ("none", 0, 1, 23)]
+    got = byname.read_ranges(spark.createDataFrame(rows, "path string, start long, length long, k int"), str(tmp_path), open_file=logged_opener(str(log))).collect()
+    want = {k: None if p == "none" else data[max(0, a) : max(0, a + n)] for p, a, n, k in rows}
+    assert {r.k: r.content if r.content is None else bytes(r.content) for r in got} == want
+    assert sum(int(x) for x in log.read_text().split()[1::2]) == sum(len(x) for x in want.values() if x)
+
+
+def test_samples_are_read_by_range(spark, tmp_path):
+    x = (np.arange(30_000) % 2000 - 1000).astype("<i2")
+    head = b"RIFF" + (36 + 60_000 + 9008).to_bytes(4, "little") + b"WAVELIST" + (9000).to_bytes(4, "little") + b"\0" * 9000 + b"fmt " + bytes.fromhex("10000000010001000004000000080000020010 00".replace(" ", ""))
+    (tmp_path / "a.wav").write_bytes(head + b"data" + (60_000).to_bytes(4, "little") + x.tobytes())
+    log = tmp_path / "log"
+    rows = [("a.wav", 100, 110, 0), ("a.wav", 29_990, 40_000, 1), ("a.wav", -3, 2, 2), ("a.wav", 9, 3, 3), ("b.wav", 0, 1, 4)]
+    got = {r.k: r.samples for r in byname.read_samples(spark.createDataFrame(rows, "path string, start_sample long, end_sample long, k int"), f"file://{tmp_path}", open_file=logged_opener(str(log))).collect()}
+    of = lambda a, b: (x[a:b].astype(np.float32) / 32768).tolist()
+    assert got == {0: of(100, 110), 1: of(29_990, 30_000), 2: of(0, 2), 3: [], 4: None}
+    assert max(int(n) for n in log.read_text().split()[1::2]) <= 16 * byname.HEAD
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    good = spark.createDataFrame([("a/1", b"x"), ("b", b"y")], "path string, content binary")
+    byname.write_files(good, f"file://{tmp_path}/out")
+    bad = good.union(spark.createDataFrame([("../evil", b"z")], good.schema))
+    with pytest.raises(Exception, match="below its root"):
+        byname.write_files(bad, f"file://{tmp_path}/out2")
+    assert sorted(os.listdir(tmp_path / "out")) == ["a", "b"] and (tmp_path / "out" / "a" / "1").read_bytes() == b"x"
+    assert not (tmp_path / "evil").exists() and not any(n.startswith("_") for n in os.listdir(tmp_path / "out2"))
+    byname.write_files(good.selectExpr("path", "cast('new' as binary) as content"), f"file://{tmp_path}/out")
+    assert (tmp_path / "out" / "b").read_bytes() == b"new"
 
 
 def test_appended_records_escape_quotes(spark, tmp_path):

@@ -70,7 +70,12 @@ def _read(rows: DataFrame, root: str, path: str, result: str, each: Callable, ar
 
 def read_files(wanted: DataFrame, root: str, path: str = "audio_path", result: str = "content", open_file: OpenFile = open_path) -> DataFrame:
     """The rows of `wanted` with the bytes of their files below `root`; null when a file is missing."""
-    return _read(wanted, root, path, result, lambda f: f.read(), [], pa.binary(), open_file)
+
+    def each(f: BinaryIO) -> bytes:
+        f.seek(0)
+        return f.read()
+
+    return _read(wanted, root, path, result, each, [], pa.binary(), open_file)
 
 
 def read_ranges(wanted: DataFrame, root: str, path: str = "path", start: str = "start", length: str = "length", result: str = "content", open_file: OpenFile = open_path) -> DataFrame:

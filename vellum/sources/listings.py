@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import collapsed, normalize_text
 
+from .byname import read_files
+
 EXPORT = (
     "corpus struct<id:bigint,name:string,language:string,type:string>, total_recordings bigint, error string, recordings array<struct<recording_id:bigint,file:string,"
     "original_path:string,audio_url:string,text:string,duration:double,quality_score:double,validation_count:bigint,speaker_id:variant>>"
@@ -157,12 +159,9 @@ def folder_bytes(spark: SparkSession, folder: str) -> DataFrame:
 def read_audio(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     """The rows of `wanted` (audio_path, relative to `root`) with the bytes of each landed file as `content`; null when it is missing.
 
-    Bytes are read in the scan of the files that are wanted by name, so `wanted` should be the rows of one sync.
+    Tasks open the files of their rows by name, so other files below the root cost nothing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    inside = F.regexp_extract("path", "^[a-z]+:/*(/.*)$", 1)
-    top = root.partition("://")[2].rstrip("/") if "://" in root else root.rstrip("/")
-    return wanted.join(files.select(F.substring(inside, F.lit(len(top) + 2), F.length(inside)).alias("audio_path"), "content"), "audio_path", "left")
+    return read_files(wanted, root)
 
 
 def snapshot_source(spark: SparkSession, folder: str) -> DataFrame:

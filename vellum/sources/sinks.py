@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byname import write_files, write_text
+
 MARK = "build_metadata"
 
 
@@ -80,17 +82,40 @@ def checked_fields(fields: set[str], allowed: set[str]) -> None:
 
 
 def store_contents(files: DataFrame, root: str) -> None:
-    """Append the contents (sha256, content) that the store lacks, in folders by the hash's first two digits."""
-    spark = files.sparkSession
-    if _exists(spark, root):
-        files = new_contents(files, spark.read.schema("sha256 string, content binary, part string").parquet(root))
-    rows = files.dropDuplicates(["sha256"]).select("sha256", "content", F.left("sha256", F.lit(2)).alias("part"))
-    rows.write.mode("append").partitionBy("part").parquet(root)
+    """Store the contents (sha256, content) that are not there yet, a file `<first two digits>/<hash>.wav` each; what is there stays as it is."""
+    name = F.concat(F.left("sha256", F.lit(2)), F.lit("/"), "sha256", F.lit(".wav"))
+    write_files(files.select(name.alias("path"), "content"), root, absent=True)
+
+
+def stored_contents(spark: SparkSession, root: str) -> DataFrame:
+    """Hashes and bytes of a store."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root)
+    return raw.select(F.regexp_extract("path", "([^/]+)\\.wav$", 1).alias("sha256"), "content")
+
+
+def write_chunk_results(results: DataFrame, folder: str, order: str | None = None) -> None:
+    """Write results of chunks (job, index and what the model gave), a file `<job>/chunks/<index>.json` each, which `listings.read_chunks` reads.
+
+    A chunk that is written again replaces what was there, whole or not at all; of rows of one chunk the last by `order` counts.
+    """
+    kept = [c for c in results.columns if c not in ("job", "index", order)]
+    name = F.format_string("%s/chunks/%05d.json", "job", "index")
+    rows = results.select(name.alias("path"), F.to_json(F.struct(*kept)).cast("binary").alias("content"), *([order] if order else []))
+    write_files(rows, folder, order)
+
+
+def append_rate(spark: SparkSession, path: str, audio_seconds: float, wall_seconds: float, keep: int = 5) -> None:
+    """Add a sample of transcription speed to a small file that keeps the last few; samples without a length do not count."""
+    if audio_seconds <= 0 or wall_seconds <= 0:
+        return
+    before = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<audio_seconds:double,wall_seconds:double>>").alias("s")).first().s if _exists(spark, path) else None
+    rows = [x.asDict() for x in before or []] + [{"audio_seconds": round(audio_seconds, 3), "wall_seconds": round(wall_seconds, 3)}]
+    write_text(spark, path, json.dumps(rows[-keep:]))
 
 
-def write_chunk_results(results: DataFrame, folder: str) -> None:
-    """Append results of chunks (job, index and what the model gave), by job; of a chunk written twice readers take either."""
-    results.withColumn("_job", F.col("job")).write.mode("append").partitionBy("_job").json(folder)
+def write_record(spark: SparkSession, path: str, record: dict) -> None:
+    """One JSON document, indented and with its keys as given; the file is there whole or as it was before."""
+    write_text(spark, path, json.dumps(record, indent=2, ensure_ascii=False) + "\n")
 
 
 def write_snapshot(rows: DataFrame, metadata: dict, folder: str) -> dict:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 HEADER = "rate int, offset long, num_samples long"
 
 
-def parse_header(data: bytes) -> tuple[int, int, int]:
+def parse_header(data: bytes, total: int | None = None) -> tuple[int, int, int]:
     """Sample rate, place of the first sample, number of samples; ValueError when not PCM16 mono.
 
-    A data size of zero, all ones or beyond the end means up to the end of the file.
+    A data size of zero, all ones or beyond the end means up to the end of the file, which has `total` bytes if `data` is only its beginning.
     """
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
@@ -30,7 +30,7 @@ def parse_header(data: bytes) -> tuple[int, int, int]:
         elif name == b"data":
             if rate is None:
                 raise ValueError("data before format")
-            left = len(data) - at
+            left = (len(data) if total is None else total) - at
             size = left if size in (0, 0xFFFFFFFF) or size > left else size
             return rate, at, size // 2
         at += size + size % 2
