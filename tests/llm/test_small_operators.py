@@ -271,3 +271,43 @@ def test_token_table_blocks_are_searched(tmp_path):
         assert [x.tolist() for x in t.get(k)] == [list(range(abs(k) % 60))]
     assert t.get(1) == [] and t.get(9999) == []
     assert [token_tables.identifier_of(key) for key, _, _ in t.scan()] == list(range(-3000, 3000, 3))
+
+
+def test_prior_does_not_depend_on_the_order_of_rows():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(300)]
+    good = np.arange(400) % 4 != 0
+    texts = [t if g else t.upper().replace(" ", "!! ") if k % 8 else " | ".join(t.split()) for k, (g, t) in enumerate(zip(good, [prose(rng, 80, words) for _ in range(400)], strict=True))]
+    t = W.texts_of(pa.array(texts))
+    d = Q.dense(t)
+    x, training = Q.features(t, d.mean(0), d.std(0) + 1e-3), np.arange(400) % 3 != 1
+    for seed in range(6):
+        order = np.random.default_rng(seed).permutation(400)
+        prior = Q.estimated_prior(x[order][(good & training)[order]], x[order])
+        assert 0.72 <= prior <= 0.77
+        fit = Q.Fit(x[order][(good & training)[order]], prior).run(x[order], Q.EPOCHS)
+        assert ((Q.forward(fit.weights, x)[1] > 0) == good)[~training].mean() > 0.98
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_prior_of_known_mixtures(share):
+    rng = np.random.default_rng(11)
+    of = lambda n, at: np.concatenate([rng.normal(at, 1, (n, 3)), np.zeros((n, Q.N_FEATURES - 3))], 1).astype(np.float32)
+    n = 3000
+    mixed = np.concatenate([of(int(n * share), 2.0), of(n - int(n * share), -2.0)])
+    assert abs(Q.estimated_prior(of(1500, 2.0), mixed[rng.permutation(n)]) - share) < 0.03
+
+
+def test_steps_go_down_the_nonnegative_risk():
+    rng = np.random.default_rng(12)
+    p, u = (rng.normal(m, 1, (64, Q.N_FEATURES)).astype(np.float32) for m in (0.3, 0.0))
+
+    def risk(weights, prior):
+        a, b = Q.forward([w.astype(np.float64) for w in weights], p)[1], Q.forward([w.astype(np.float64) for w in weights], u)[1]
+        loss = lambda s, y: np.log1p(np.exp(-y * s)).mean()
+        return prior * loss(a, 1) + max(0.0, loss(b, -1) - prior * loss(a, -1))
+
+    fit = Q.Fit(p, 0.4)
+    before = risk(fit.weights, 0.4)
+    fit.run(u, 30)
+    assert risk(fit.weights, 0.4) < 0.8 * before

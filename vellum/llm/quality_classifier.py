@@ -42,6 +42,8 @@ MOST_POSITIVES, MOST_START = 6000, 12_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 512, 0.01, 1e-4
 #: Least steps of the classifier that the prior is estimated with.
 RANKING_STEPS = 60
+#: Texts that are ranked for it if few are there, and most halvings of them.
+RANKED, MOST_HALVINGS = 8000, 8
 #: Hashed words, and what their features are multiplied by.
 BUCKETS, WORD_SCALE = 512, 3.0
 _CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>", ".,;:?", "!", "\n", "()[]{}\"'-_/=+@~^`\\")
@@ -152,22 +154,26 @@ class Fit:
 
 
 def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.4) -> float:
-    """The smallest quotient of the unlabelled's share over the positives' above a threshold that at least `least` of the positives pass.
+    """The smallest quotient of the unlabelled's share over the positives' above a threshold that at least `least` of the positives pass, less its standard error.
 
-    Each half is ranked by a classifier of positives against unlabelled that was fitted on the other.
+    Each half is ranked by a classifier of positives against unlabelled that was fitted on the other; small samples are halved
+    anew until about `RANKED` texts were ranked, and the quotients of a threshold's rank are averaged.
     """
-    rng, p, u = np.random.default_rng(3), [], []
-    positive, unlabelled = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
-    for k in (0, 1):
-        half = unlabelled[k::2]
-        fit = Fit(positive[k::2], None).run(half, max(EPOCHS // 8, RANKING_STEPS // -(-len(half) // BATCH)))
-        p.append(forward(fit.weights, positive[1 - k :: 2])[1])
-        u.append(forward(fit.weights, unlabelled[1 - k :: 2])[1])
-    quotients = []
-    for a, b in zip(p, u, strict=True):
-        cut = np.quantile(a, 1 - np.linspace(least, 1, 25))
-        quotients.append([(b >= c).mean() / (a >= c).mean() for c in cut])
-    return float(np.clip(np.mean(quotients, 0).min(), 0.01, 0.99))
+    rng, quotients, share = np.random.default_rng(3), [], 1 - np.linspace(least, 1, 25)
+    passed = []
+    for _ in range(max(1, min(MOST_HALVINGS, RANKED // len(unlabelled)))):
+        p, u = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
+        for k in (0, 1):
+            half = u[k::2]
+            fit = Fit(p[k::2], None).run(half, max(EPOCHS // 8, RANKING_STEPS // -(-len(half) // BATCH)))
+            a, b = (forward(fit.weights, x[1 - k :: 2])[1] for x in (p, u))
+            cut = np.quantile(a, share)
+            passed.append([((b >= c).mean(), (a >= c).mean()) for c in cut])
+            quotients.append([x / y for x, y in passed[-1]])
+    q = np.mean(quotients, 0)
+    above, own = np.clip(np.mean(passed, 0).T, 1e-6, 1)
+    error = q * np.sqrt((1 - above) / (above * len(unlabelled)) + (1 - own) / (own * len(positive)))
+    return float(np.clip((q - error).min(), 0.01, 0.99))
 
 
 def scores(model: Model, t: W.Texts) -> np.ndarray:
@@ -197,14 +203,15 @@ def learn(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.slices(batches, "text"):
             x = features(W.texts_of(batch.column("text")), mean, scale)
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], names=["x"])
+            yield pa.RecordBatch.from_arrays([batch.column("record"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], names=["record", "x"])
 
     def sample(of: DataFrame, most: int, salt: str, size: int) -> np.ndarray:
-        """Features of about `most` rows, by a hash of the record; never more than twice that."""
+        """Features of about `most` rows, by a hash of the record and in its order; never more than twice that."""
         parts = 1 << 20
         part = of if size <= most else of.where(F.pmod(F.xxhash64(F.lit(salt), "record"), F.lit(parts)) < int(parts * most / size))
-        found = batched(part.select("text"), measure, "x array<float>").limit(2 * most).toArrow().column("x")
-        return np.array(found.combine_chunks().flatten(), np.float32).reshape(-1, N_FEATURES)
+        found = batched(part.select("record", "text"), measure, "record long, x array<float>").limit(2 * most).toArrow()
+        x = np.array(found.column("x").combine_chunks().flatten(), np.float32).reshape(-1, N_FEATURES)
+        return x[np.argsort(found.column("record").to_numpy(), kind="stable")]
 
     known = labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(key).agg(F.min(quality).alias("_quality")).where(training)
     good = known.where(F.col("_quality") == 1).select(key)
