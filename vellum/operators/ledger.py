@@ -78,9 +78,15 @@ def classify(ledger: DataFrame, listing: DataFrame, rejected: DataFrame, corpus_
     duration, failure (null when it went well).  Ids of another corpus and
     tombstones match by id too.  A full outer join, then a ladder of conditions.
     """
-    old = ledger.select("recording_id", *[F.col(c).alias(f"old_{c}") for c in ledger.columns if c != "recording_id"])
+    return _compared(ledger, listing, rejected, corpus_id).where("action is not null").drop("_listed", "_held", "_no_text")
+
+
+def _compared(ledger: DataFrame, listing: DataFrame, rejected: DataFrame, corpus_id: int) -> DataFrame:
+    """As `classify`, with a null action for the other rows of the ledger; whether a row is listed (_listed) or in the ledger (_held)."""
+    old = ledger.select("recording_id", F.lit(True).alias("_held"), *[F.col(c).alias(f"old_{c}") for c in ledger.columns if c != "recording_id"])
     bad = rejected.select("recording_id", F.col("audio_path").alias("rejected_path"))
-    rows = listing.withColumn("_listed", F.lit(True)).join(old, "recording_id", "full_outer").join(bad, "recording_id", "left")
+    told = listing.withColumns({"_listed": F.lit(True), "_no_text": F.nullif("text", F.lit("")).isNull()})  # before the join, which then moves texts only where they are asked for
+    rows = told.join(old, "recording_id", "full_outer").join(bad, "recording_id", "left")
     listed, is_active = F.coalesce(F.col("_listed"), F.lit(False)), F.coalesce(F.col("old_status") == "active", F.lit(False))
     current = is_active & F.col("old_audio_sha256").isNotNull() & F.col("old_audio_path").eqNullSafe(F.col("audio_path"))
     same = (F.col("old_corpus_id") == corpus_id) & F.col("old_text_hash").eqNullSafe(F.col("text_hash")) & F.col("old_quality_score").eqNullSafe(F.col("quality_score")) & F.col("old_speaker_id").eqNullSafe(F.col("speaker_id"))
@@ -88,15 +94,15 @@ def classify(ledger: DataFrame, listing: DataFrame, rejected: DataFrame, corpus_
     seen_bad = F.col("rejected_path").isNotNull() & (F.col("rejected_path") == F.col("audio_path"))
     reason = (
         F.when(~listed, None)
-        .when(F.nullif("text", F.lit("")).isNull(), "empty_text")
+        .when(F.col("_no_text"), "empty_text")
         .when(current, None)
         .when(no_path, "missing_audio_path")
         .when(seen_bad, "previously_rejected")
         .when(F.col("failure").isNotNull(), F.col("failure"))
         .when(~within_gate(F.col("duration")), "duration_out_of_range")
     )
-    rows = rows.withColumn("reason", reason).where(listed | is_active & (F.col("old_corpus_id") == corpus_id))
-    action = F.when(~listed, "removed").when(F.col("reason").isNotNull(), "skipped").when(current & same, "unchanged").when(is_active, "updated").otherwise("added")
+    rows = rows.withColumn("reason", reason)
+    action = F.when(~listed, F.when(is_active & (F.col("old_corpus_id") == corpus_id), "removed")).when(F.col("reason").isNotNull(), "skipped").when(current & same, "unchanged").when(is_active, "updated").otherwise("added")
     return rows.withColumn("action", action)
 
 
@@ -175,18 +181,38 @@ def sync(ledger: DataFrame, rejected: DataFrame, listing: DataFrame, corpus_id:
     """The new ledger, the new rejections and the classified rows of one sync; removals come first."""
     if not allow_mass_removal:
         refuse_mass_removal(ledger, listing, corpus_id)
-    marked = classify(ledger, listing, rejected, corpus_id)
-    after = seen(removed(ledger, vanished(ledger, listing, corpus_id), now), listing, now)
-    changed = marked.where(F.col("action").isin("added", "updated"))
-    keep_audio = F.col("old_audio_path").eqNullSafe(F.col("audio_path")) & (F.col("old_status") == "active") & F.col("old_audio_sha256").isNotNull()
-    delta = changed.select(
-        "recording_id", F.lit(corpus_id).cast("long").alias("corpus_id"), "speaker_id", "text", "text_hash", F.when(keep_audio, F.col("old_audio_sha256")).otherwise(F.col("audio_sha256")).alias("audio_sha256"),
-        "audio_path", F.when(keep_audio, F.col("old_duration")).otherwise(F.col("duration")).alias("duration"), "quality_score",
-    )
-    after = upserted(after, delta, now)
-    kept = without(without(rejected, stale_rejections(rejected, listing, corpus_id)), delta)
-    bad = marked.where(F.col("reason").isin("audio_undecodable", "duration_out_of_range")).select("recording_id", F.lit(corpus_id).cast("long").alias("corpus_id"), "reason", "audio_path")
-    return after, with_rejections(kept, bad, now), marked
+    rows = _compared(ledger, listing, rejected, corpus_id)
+    marked = rows.where("action is not null").drop("_listed", "_held", "_no_text")
+    return _merged(rows, ledger, corpus_id, now), _rejections(rows, rejected, corpus_id, now), marked
+
+
+def _merged(rows: DataFrame, ledger: DataFrame, corpus_id: int, now: str) -> DataFrame:
+    """The new ledger from compared rows, without a further join: as `removed`, `seen` and `upserted` one after the other."""
+    changed, gone = F.coalesce(F.col("action").isin("added", "updated"), F.lit(False)), F.coalesce(F.col("action") == "removed", F.lit(False))
+    was_active = F.coalesce(F.col("old_status") == "active", F.lit(False))
+    keep_audio = was_active & F.col("old_audio_path").eqNullSafe(F.col("audio_path")) & F.col("old_audio_sha256").isNotNull()
+    fresh = {c: F.col(c) for c in CONTENT[:-1]} | {"corpus_id": F.lit(corpus_id).cast("long"), "status": F.lit("active"), "last_seen": F.lit(now), "first_seen": F.coalesce("old_first_seen", F.lit(now))}
+    fresh |= {c: F.when(keep_audio, F.col(f"old_{c}")).otherwise(F.col(c)) for c in ("audio_sha256", "duration")}
+    over = {"status": F.lit("removed"), "removed_at": F.lit(now)} | {c: F.lit(None) for c in CONTENT}
+    listed = {"last_seen": F.when(F.col("_listed") & was_active, F.lit(now)).otherwise(F.col("old_last_seen"))}
+    kinds = dict(ledger.dtypes)
+
+    def value(c: str) -> Column:
+        as_it_was = listed.get(c, F.col(f"old_{c}"))
+        return F.when(changed, fresh.get(c, F.lit(None))).when(gone, over.get(c, F.col(f"old_{c}"))).otherwise(as_it_was).cast(kinds[c]).alias(c)
+
+    return rows.where(F.col("_held") | changed).select("recording_id", *[value(c) for c in ledger.columns if c != "recording_id"])
+
+
+def _rejections(rows: DataFrame, rejected: DataFrame, corpus_id: int, now: str) -> DataFrame:
+    """The new rejections from compared rows by one join: stale and mended ones go, as by `stale_rejections` and `without`, new ones come, as by `with_rejections`."""
+    bad = F.coalesce(F.col("reason").isin("audio_undecodable", "duration_out_of_range"), F.lit(False))
+    told = rows.where("_listed").select("recording_id", F.lit(True).alias("_told"), bad.alias("_bad"), F.col("action").isin("added", "updated").alias("_mended"), F.col("reason").alias("_reason"), F.col("audio_path").alias("_path"))
+    both = rejected.join(told, "recording_id", "full_outer")
+    is_bad, stale = F.coalesce("_bad", F.lit(False)), F.col("_told").isNull() & (F.col("corpus_id") == corpus_id)
+    stays = F.col("reason").isNotNull() & ~F.coalesce(stale, F.lit(False)) & ~F.coalesce("_mended", F.lit(False))
+    put = lambda c, x: F.when(is_bad, x).otherwise(F.col(c)).alias(c)
+    return both.where(is_bad | stays).select("recording_id", put("corpus_id", F.lit(corpus_id).cast("long")), put("reason", F.col("_reason")), put("audio_path", F.col("_path")), F.coalesce("first_seen", F.lit(now)).alias("first_seen"))
 
 
 VERSION = 2
