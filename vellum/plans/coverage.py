@@ -17,6 +17,8 @@ from .queries import _SPLIT_SQL, query
 
 
 AT = "1996-01-01 00:00:00"
+#: A landed payload holds the recordings of one language among a thousand identifiers.
+_PART = "concat_ws('-', lang, floor(doc_id / 1000)) AS part"
 
 # --- landed listings ---------------------------------------------------------------------
 
@@ -39,7 +41,7 @@ def export_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("recording_id"), F.concat("doc_id", F.lit(".wav")).alias("file"), path.alias("original_path"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("/audio/"), "doc_id")).otherwise("").alias("audio_url"), "text",
         (F.col("n_chars") / 100).alias("duration"), (F.col("n_chars") / 1000).alias("quality_score"), F.col("doc_id").alias("speaker_id"),
     )
-    payload = d.groupBy(F.col("lang").alias("part")).agg(F.collect_list(one).alias("recordings")).select("part", F.struct(F.lit(1).alias("id"), F.lit("text").alias("type")).alias("corpus"), "recordings")
+    payload = d.groupBy(F.expr(_PART)).agg(F.collect_list(one).alias("recordings")).select("part", F.struct(F.lit(1).alias("id"), F.lit("text").alias("type")).alias("corpus"), "recordings")
     none = spark.sql("SELECT 'none' AS part, 'No recordings found for this corpus' AS error")
     export = listings.read_export(spark, _landed(payload.unionByName(none, allowMissingColumns=True), landing(spark, "export")))
     return listings.entries(export).select("recording_id", "audio_path", F.length("text").cast("long").alias("n_text"), "quality_score")
@@ -50,7 +52,7 @@ def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An export without identifiers, joined by name with a landed manifest that has them."""
     d = table(spark, sf_dir, "documents")
     name = F.format_string("%08d.wav", "doc_id")
-    files = d.groupBy(F.col("lang").alias("part")).agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.concat(F.lit("/"), "source").alias("source_path"), name.alias("export_name"))).alias("files"))
+    files = d.groupBy(F.expr(_PART)).agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.concat(F.lit("/"), "source").alias("source_path"), name.alias("export_name"))).alias("files"))
     manifest = listings.read_manifest(spark, _landed(files, landing(spark, "manifest")))
     export = d.select(F.lit(None).cast("long").alias("recording_id"), name.alias("file"), "text", (F.col("n_chars") / 1000).alias("quality_score"), F.lit(None).cast("variant").alias("speaker_id"))
     return listings.entries_from_manifest(export, manifest).select("recording_id", "audio_path", "quality_score")
@@ -392,11 +394,16 @@ def gate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.rendered(rows).select("user_id", "text", line.alias("line"))
 
 
-@query("SELECT 0.25::DOUBLE AS candidate, 0.5::DOUBLE AS baseline, 0.5::DOUBLE AS better, true AS passed, 2 AS checks")
+@query(
+    """WITH r AS (SELECT round(count(*) FILTER (n_chars % 10 = 0)::DOUBLE / count(*), 6) AS c, round(count(*) FILTER (n_chars % 10 < 2)::DOUBLE / count(*), 6) AS b FROM documents)
+    SELECT c AS candidate, b AS baseline, CASE WHEN b <> 0 THEN round((b - c) / b, 6) END AS better, coalesce(c < round(b * 0.9, 6), false) AS passed, 2 AS checks FROM r"""
+)
 def gate_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The gate of two models' rates."""
-    scores = evaluation.tagged(spark.sql("SELECT 0.25D AS wer"), spark.sql("SELECT 0.5D AS wer"))
-    g = evaluation.gate(scores, 0.1, spark.sql("SELECT cast(array() AS array<string>) AS regressions"))
+    """The gate of two models' rates: the share of documents that each gets wrong."""
+    d = table(spark, sf_dir, "documents")
+    rate = lambda wrong: d.agg(T.rate(F.count_if(wrong), F.count(F.lit(1))).alias("wer"))
+    scores = evaluation.tagged(rate(F.col("n_chars") % 10 == 0), rate(F.col("n_chars") % 10 < 2))
+    g = evaluation.gate(scores, 0.1, d.agg(F.filter(F.array(F.when(F.count_if(F.col("n_chars") < 0) > 0, "order_violations")), lambda r: r.isNotNull()).alias("regressions")))
     return g.select("candidate", "baseline", F.col("relative_wer_improvement").alias("better"), "passed", F.size("checks").alias("checks"))
 
 
