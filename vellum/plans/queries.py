@@ -270,13 +270,33 @@ def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metrics(turns(spark, sf_dir), ["speaker_id"]).select("speaker_id", "n", "cer")
 
 
-@query()
+_BYTES = "translate({}, 'äöüßéèêëàâçîïôùûñáíóúÄÖÜÉÈÊÇÑÍÓÀ', '!#$%&()*+-/:;<=>?@[]^_`{{|}}~0123456789')"
+
+#: Word distances (w) and letter distances of the texts as compared (kind n) and as they are (kind r): a row of the table of distances for each word of the hypothesis, all pairs at once.
+_EDITS = rf"""{_TURNS},
+x AS (SELECT *, trim(regexp_replace(coalesce(reference, ''), '\s+', ' ', 'g')) AS ra, trim(regexp_replace(coalesce(hypothesis, ''), '\s+', ' ', 'g')) AS rb FROM n),
+w AS (SELECT row_number() OVER () AS p, *, list_filter(string_split(s, ' '), lambda v: v <> '') AS wa, list_filter(string_split(u, ' '), lambda v: v <> '') AS wb
+    FROM (SELECT 'n' AS kind, conv_id, role, reference, a AS s, b AS u FROM x UNION ALL SELECT 'r', conv_id, role, reference, ra, rb FROM x)),
+r(p, j, cells) AS (SELECT p, 0::BIGINT, range(0, len(wa) + 1) FROM w
+    UNION ALL SELECT p, j + 1, list(v ORDER BY i) FROM (SELECT p, j, i, i + min(t - i) OVER (PARTITION BY p ORDER BY i) AS v FROM (
+        SELECT p, j, i, CASE WHEN i = 0 THEN j + 1 ELSE least(cells[i + 1] + 1, cells[i] + CASE WHEN wa[i] = wb[j + 1] THEN 0 ELSE 1 END) END AS t
+        FROM (SELECT r.p, r.j, r.cells, w.wa, w.wb, unnest(range(0, len(r.cells))) AS i FROM r JOIN w ON w.p = r.p AND r.j < len(w.wb)))) GROUP BY p, j),
+d AS (SELECT kind, conv_id, role, reference, len(wa) AS words, cells[len(wa) + 1] AS edits, length(s) AS letters, levenshtein({_BYTES.format('s')}, {_BYTES.format('u')}) AS letter_edits FROM w JOIN r ON r.p = w.p AND r.j = len(wb))"""
+_RATE = "round(sum({0}) FILTER (kind = '{2}')::DOUBLE / nullif(sum({1}) FILTER (kind = '{2}'), 0), 6)"
+
+
+@query(
+    f"WITH RECURSIVE {_EDITS} SELECT role AS speaker_id, count(*) FILTER (kind = 'n') AS n, coalesce(sum(words) FILTER (kind = 'n'), 0)::BIGINT AS reference_words, {_RATE.format('edits', 'words', 'n')} AS wer, "
+    f"{_RATE.format('letter_edits', 'letters', 'n')} AS cer, {_RATE.format('edits', 'words', 'r')} AS wer_raw, {_RATE.format('letter_edits', 'letters', 'r')} AS cer_raw FROM d GROUP BY role"
+)
 def wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: DuckDB has no edit distance over words; tested against plain dynamic programming."""
     return metrics.metrics(turns(spark, sf_dir), ["speaker_id"])
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_EDITS} SELECT concat_ws('-', role, conv_id % 20) AS speaker_id, {_RATE.format('edits', 'words', 'n')} AS wer, count(*) AS utterances, sum(words)::BIGINT AS reference_words, round(coalesce(sum(length(reference) / 10), 0), 3) AS audio_seconds, "
+    "coalesce(sum(length(reference) / 10), 0) < 30 AS low_audio FROM d WHERE kind = 'n' GROUP BY 1"
+)
 def per_speaker_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = turns(spark, sf_dir).withColumn("speaker_id", F.concat_ws("-", "speaker_id", (F.col("conv_id") % 20).cast("string")))
     return metrics.per_speaker(rows)
