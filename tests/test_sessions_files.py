@@ -24,8 +24,9 @@ def test_pushed_pieces_are_a_stream_of_frames(spark, tmp_path):
     folder = f"file://{tmp_path}/in"
     for seq, (values, last) in enumerate((([0, 16384], False), ([-32768], False), ([], True))):
         session.put_audio(spark, folder, "s1", seq, np.array(values, "<i2").tobytes(), last)
-    with pytest.raises(OSError):
-        session.put_audio(spark, folder, "s1", 0, b"")
+    for seq, last in ((0, False), (2, False), (2, True), (3, False), (1, True)):  # there already, or behind the end
+        with pytest.raises(OSError):
+            session.put_audio(spark, folder, "s1", seq, b"ab", last)
     got = sorted(run(session.pushed_frames(spark, folder, 1), spark, tmp_path, "pushed"), key=lambda r: r.seq)
     assert [(r.session, r.seq, r.samples, r["last"]) for r in got] == [("s1", 0, [0.0, 0.5], False), ("s1", 1, [-1.0], False), ("s1", 2, [], True)]
 

@@ -156,8 +156,8 @@ def stream(spark, tmp_path, rows, schema, name):
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def run(df, spark, tmp_path, name):
-    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}-cp").trigger(availableNow=True).start()
+def run(df, spark, tmp_path, name, **trigger):
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}-cp").trigger(**trigger or {"availableNow": True}).start()
     q.awaitTermination(120)
     return spark.sql(f"select * from {name}").collect()
 
@@ -209,7 +209,7 @@ def test_delivery_order_and_release(spark):
 def test_hold_back_releases_in_order(spark, tmp_path):
     rows = [("s", 2, 11.0, "b"), ("s", 1, 12.0, "a"), ("s", 3, 99.0, "c")]
     df = stream(spark, tmp_path, rows, "session string, sequence long, wall_end double, text string", "hold")
-    got = run(live.hold_back(df, 5.0, clock=lambda: 20.0), spark, tmp_path, "hold")
+    got = run(live.hold_back(df, 5.0, clock=lambda: 20.0), spark, tmp_path, "hold", once=True)
     assert [r.sequence for r in got] == [1, 2]
 
 

@@ -474,13 +474,31 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.posexplode(tokens).alias("seq", "text")).select("conv_id", "seq", (F.col("seq") * 0.5).alias("start"), (F.col("seq") * 0.5 + 0.4).alias("end"), "text", F.lit(False).alias("whole"))
 
 
-@query()
+_FITS = f"CASE WHEN contains('{timing.CLOSING}', left(w.token, 1)) OR contains('{timing.OPENING}', right(r.text, 1)) THEN r.text || w.token ELSE r.text || ' ' || w.token END"
+_STOPS = ", ".join(f"'{x}'" for x in captions.STOPS)
+
+#: Words one after the other: each goes on with the cue before it or begins the next; then lines as wide as they may be.
+_WORD_CUES = rf"""s AS (SELECT conv_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY turn, text), '\s+', ' ', 'g')) AS s FROM conversations WHERE text IS NOT NULL GROUP BY conv_id),
+w AS (SELECT conv_id, unnest(range(0, len(t))) AS seq, unnest(t) AS token FROM (SELECT conv_id, string_split(s, ' ') AS t FROM s WHERE s <> '')),
+r(conv_id, seq, cue, text, first) AS (SELECT conv_id, seq, 0, token, seq FROM w WHERE seq = 0
+    UNION ALL SELECT conv_id, seq, CASE WHEN new THEN cue + 1 ELSE cue END, CASE WHEN new THEN token ELSE longer END, CASE WHEN new THEN seq ELSE first END FROM (
+        SELECT w.conv_id, w.seq, r.cue, w.token, r.first, {_FITS} AS longer, (w.seq - r.first) * 0.5 + 0.4 > {captions.MAX_SECONDS} OR length(replace({_FITS}, ' ', '')) > {2 * captions.MAX_CHARS} OR right(r.text, 1) IN ({_STOPS}) AS new
+        FROM r JOIN w ON w.conv_id = r.conv_id AND w.seq = r.seq + 1)),
+g AS (SELECT conv_id, cue, any_value(first) AS first, max(seq) AS last, string_split(arg_max(text, seq), ' ') AS t FROM r GROUP BY conv_id, cue),
+l AS (SELECT *, greatest(1, len(list_filter(range(1, len(t) + 1), lambda i: length(array_to_string(t[1:i], ' ')) <= {captions.MAX_CHARS}))) AS n FROM g),
+cues AS (SELECT conv_id, first, last, array_to_string(t[1:n], ' ') || CASE WHEN n < len(t) THEN chr(10) || array_to_string(t[n + 1 : len(t)], ' ') ELSE '' END AS text FROM l)"""
+_AT = "format('{{:02d}}:{{:02d}}:{{:02d}}.{{:03d}}', ({0}) // 3600000, ({0}) // 60000 % 60, ({0}) // 1000 % 60, ({0}) % 1000)"
+
+
+@query(f"WITH RECURSIVE {_WORD_CUES} SELECT conv_id, first * 0.5::DOUBLE AS start, last * 0.5::DOUBLE + 0.4::DOUBLE AS \"end\", text FROM cues")
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: where a cue ends depends on the words gathered so far; tested against a plain loop."""
     return captions.make_cues(_words(spark, sf_dir), "conv_id")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_WORD_CUES} SELECT conv_id, 'WEBVTT' || repeat(chr(10), 2) || string_agg({_AT.format('first * 500')} || ' --> ' || {_AT.format('last * 500 + 400')} || chr(10) || "
+    "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || repeat(chr(10), 2), '' ORDER BY first) AS content FROM cues GROUP BY conv_id"
+)
 def captions_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.to_vtt(cues(spark, sf_dir), "conv_id")
 

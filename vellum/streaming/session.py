@@ -23,11 +23,20 @@ _RAW = "path string, modificationTime timestamp, length long, content binary"
 
 
 def put_audio(spark: SparkSession, folder: str, session: str, seq: int, pcm: bytes, last: bool = False) -> None:
-    """Land one piece of pushed 16-bit audio; a reader sees it whole or not at all.  An empty one is a byte, as readers pass over empty files."""
+    """Land one piece of pushed 16-bit audio; a reader sees it whole or not at all.  An empty one is a byte, as readers pass over empty files.
+
+    OSError for a piece that is there already, and for one behind the piece that ended the session.
+    """
     jvm = spark.sparkContext._jvm
     end = "-end" if last else ""
     path, part = jvm.org.apache.hadoop.fs.Path(f"{folder}/{session}/{seq:012d}{end}.pcm"), jvm.org.apache.hadoop.fs.Path(f"{folder}/{session}/_{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for there in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/{session}/{{{seq:012d},*-end}}*.pcm")) or ():
+        number, _, ended = there.getPath().getName().removesuffix(".pcm").partition("-")
+        if int(number) == seq:
+            raise OSError(f"piece {seq} of session {session} is there already")
+        if ended and seq > int(number):
+            raise OSError(f"session {session} ended with piece {int(number)}")
     out = fs.create(part)
     out.write(bytearray(pcm or b"\0"))
     out.close()
