@@ -64,7 +64,7 @@ def test_equals_scores_of_all_documents(spark, monkeypatch, parts, size):
 
 def test_seeds_blocks_of_queries_and_k_do_not_matter(spark, monkeypatch):
     docs, items = collection(9)
-    for seeds, cost, most, size in ((1, 0, 1, 1), (8, 10**9, 4, 60), (20, 200_000, 32, 1 << 20)):
+    for seeds, cost, most, size in ((1, 0, 1, 700), (8, 10**9, 4, 400), (20, 200_000, 32, 1 << 20)):
         monkeypatch.setattr(R, "SEEDS", seeds)
         monkeypatch.setattr(R.block_starts, "__defaults__", (most, cost))
         monkeypatch.setattr(R, "QUERY_BYTES", size)
