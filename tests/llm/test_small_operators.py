@@ -101,6 +101,73 @@ def test_bands_alone_reject_encoded_data_and_symbols(n):
     assert kept == [True] + [False] * (len(texts) - 1)
 
 
+def shared_prose():
+    """Help texts of the standard library, whole and in runs of paragraphs; even and odd topics apart."""
+    from pydoc_data.topics import topics
+
+    halves = ([], [])
+    for k, (_, text) in enumerate(sorted(topics.items())):
+        blocks = text.split("\n\n")
+        halves[k % 2].extend("\n\n".join(blocks[at : at + m]) for m in (4, 8, 16, 32) for at in range(0, len(blocks), m))
+    return [sorted(set(x)) for x in halves]
+
+
+def test_learnt_bands_keep_other_prose_of_the_kind(spark):
+    taught, held = shared_prose()
+    model = R.learn(rows(spark, taught), spark.createDataFrame([(k,) for k in [*range(len(taught)), 0, None, 10**9]], "doc_id long"))
+    got = [r for r in R.score(rows(spark, held), bands=model).collect() if not r.base_failed]
+    assert len(got) > 300 and np.mean([r.kept for r in got]) >= 0.95
+    rng = np.random.default_rng(5)
+    data = base64.b64encode(rng.bytes(6000)).decode()
+    noise = [" ".join(data[at : at + 5] for at in range(0, n, 5)) for n in (1000, 3000, 8000)]
+    stuck = [" ".join(f"{k} the very same line of words" for k in range(n)) for n in (200, 2000)]
+    rejected = [r for r in R.score(rows(spark, noise + stuck), bands=model).collect()]
+    assert not any(r.kept for r in rejected) and not any(r.base_failed for r in rejected[:3])
+
+
+def test_learnt_bands_equal_plain_quantiles(spark):
+    taught = shared_prose()[0]
+    wanted = list(range(0, len(taught), 2))
+    ids = spark.createDataFrame([(k,) for k in wanted], "doc_id long")
+    squeeze = zstandard.ZstdCompressor(level=R.LEVEL)
+    seen = {}
+    for k in wanted:
+        data = taught[k].encode()
+        n, _, _, _, repeat = plain_rules(taught[k])
+        if n < 50 or 100 * repeat > 50 * n:
+            continue
+        parts = [(int(np.floor(2 * np.log2(len(data)))), data)]
+        if len(data) >= 4096:
+            parts += [(0, data[at : at + 4096]) for at in [*range(0, len(data) - 4096, 4096), len(data) - 4096]]
+        for kind, x in parts:
+            seen.setdefault(kind, []).append(len(x) / len(squeeze.compress(x)))
+    model = R.learn(rows(spark, taught), ids)
+    for kind, ratio in seen.items():
+        if len(ratio) < R.LEAST:
+            continue
+        q = lambda p: np.quantile(ratio, p, method="inverted_cdf")  # noqa: B023, E731
+        want = min(2 * q(0.01) - q(0.5), 0.98 * q(0.0005)), max(2 * q(0.99) - q(0.5), 1.02 * q(0.9995))
+        have = model.chunk if not kind else next((a, b) for limit, a, b in model.whole if limit > 2 ** (kind / 2))
+        assert np.allclose(have, want, rtol=0.02), kind
+    broadcast, R.MOST_TRUSTED = R.MOST_TRUSTED, 10
+    try:
+        assert R.learn(rows(spark, taught), ids) == model  # joined after measuring
+    finally:
+        R.MOST_TRUSTED = broadcast
+
+
+def test_bands_of_few_or_no_trusted_texts(spark):
+    none = spark.createDataFrame([], "doc_id long")
+    assert R.learn(rows(spark), none) == R.DEFAULT == R.learn(rows(spark).limit(0), spark.createDataFrame([(1,)], "doc_id long"))
+    step, n = np.array([150, 160]), np.array([60, 60])
+    model = R.bands_of({20: (step, n), 24: (step + 40, n), 22: (step, n // 60)})
+    by_class = dict(zip(R.CLASSES, model.whole))
+    assert by_class[22][1:] == (by_class[20][1], by_class[24][2])
+    assert by_class[19][1] < by_class[20][1] and by_class[19][2] == by_class[20][2]
+    assert by_class[25][1] == by_class[24][1] and by_class[25][2] > by_class[24][2]
+    assert model.chunk == by_class[24][1:] and model.whole[-1][0] == float("inf")
+
+
 def test_clashing_columns_are_refused(spark):
     with pytest.raises(ValueError):
         R.score(rows(spark).withColumn("Kept", F.lit(1)))

@@ -52,14 +52,20 @@ def op6_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identifiers of documents labelled good."""
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.score(docs).drop("text")
+    return quality_rules.score(docs, bands=quality_rules.learn(docs, good(spark, sf_dir))).drop("text")
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op8_quality_rules that SQL can express."""
-    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.score(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
@@ -68,6 +69,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def exists(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    """Whether the folder holds this table; any other fault in reading it is raised."""
+    try:
+        table(spark, sf_dir, name)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """The rows written to the shared folder (with these options) and read back, which cuts the lineage."""
     path = shared_folder(df.sparkSession, name)
