@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontamination, jaccard_join, language_mixture, quality_rules, sentence_pieces
-from vellum.llm.entry import tokenizer_file
-from vellum.llm.frames import table, written
+from vellum.llm.entry import good, tokenizer_file
+from vellum.llm.frames import exists, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the compression bands."""
-    return quality_rules.keep(docs)
+    """Documents that pass the base rules and the compression bands, learnt from those labelled good where there are labels."""
+    if not exists(spark, sf_dir, "labels"):
+        return quality_rules.keep(docs)
+    return quality_rules.keep(docs, bands=quality_rules.learn(docs, good(spark, sf_dir)))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
