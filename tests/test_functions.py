@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import itertools
 import random
 import unicodedata
 
@@ -109,3 +110,11 @@ def test_names_and_hosts(spark):
     urls = [("https://a.example.com/x",), ("https://u:p@a.example.com",), ("ftp://a.example.com",), ("http://evil.com",), (None,), ("not a url",)]
     assert values(spark, text.host_allowed(F.col("x"), ["*.example.com"]), urls) == [True, False, False, False, False, False]
     assert values(spark, text.base_names(F.col("x")), [("no /srv/data/a.wav here",)]) == ["no a.wav here"]
+
+
+def test_normalised_text_is_composed(spark):
+    marks = ["a", "n", "N", " ", "\n", "\t", "\\n", "\u0303", "\u0308", "\u0304", "\u00e4", "\u2000", "\u3000", "\u1100\u1161", "\u0344", "\u212b"]
+    texts = ["".join(x) for n in (1, 2, 3) for x in itertools.product(marks, repeat=n)]
+    rows = spark.createDataFrame([(x,) for x in [*texts, None]], "text string").select(text.normalize_text(F.col("text")).alias("t"))
+    differ = ~text.text_hash(F.col("t")).eqNullSafe(text.text_hash(F.col("t"), composed=True))
+    assert rows.where(differ).count() == 0

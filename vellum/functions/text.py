@@ -19,7 +19,7 @@ def nfc(text: Column) -> Column:
     def compose(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-    return F.coalesce(compose(F.when(text.rlike("[^\\x00-\\x7f]"), text)), text)
+    return F.coalesce(compose(F.when(F.length(text) != F.octet_length(text), text)), text)
 
 
 def collapsed(text: Column) -> Column:
@@ -36,8 +36,9 @@ def normalize_for_wer(text: Column) -> Column:
     return collapsed(F.regexp_replace(F.lower(nfc(F.coalesce(text, F.lit("")))), "[\\p{P}\\p{S}]", " "))
 
 
-def text_hash(text: Column) -> Column:
-    return F.sha2(nfc(text), 256)
+def text_hash(text: Column, composed: bool = False) -> Column:
+    """SHA-256 of the composed text; `composed` says that it is so already, as what `normalize_text` returns is."""
+    return F.sha2(text if composed else nfc(text), 256)
 
 
 def words_of(text: Column) -> Column:

@@ -41,7 +41,7 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     speaker = F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("spk"), (F.col("doc_id") % 97).cast("string")))
     rows = d.select(F.col("doc_id").alias("recording_id"), speaker.alias("speaker_id"), T.normalize_text(F.col("text")).alias("text"), "source", "n_chars")
-    return rows.withColumn("text_hash", T.text_hash(F.col("text"))).withColumns({"audio_sha256": F.col("text_hash"), "duration": F.col("n_chars") / 100})
+    return rows.withColumn("text_hash", T.text_hash(F.col("text"), composed=True)).withColumns({"audio_sha256": F.col("text_hash"), "duration": F.col("n_chars") / 100})
 
 
 SQL_RECORDINGS = """recordings AS (
