@@ -85,6 +85,16 @@ def test_join_does_not_depend_on_the_order_of_hashes(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == components(rows)
 
 
+def test_join_without_broadcasts_and_with_hot_hashes(spark, monkeypatch):
+    from vellum.llm import frames
+
+    monkeypatch.setattr(J, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(frames, "HOT", 5)
+    rows = corpus(np.random.default_rng(4), 60)
+    got = J.join(frame(spark, rows).drop("record")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == components(rows)
+
+
 def test_keep_one_of_each_component(spark):
     rows = corpus(np.random.default_rng(3), 60)
     kept = J.keep_one(frame(spark, rows))

@@ -149,13 +149,20 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
 
+def _shared_rows(held: DataFrame, shared: DataFrame) -> DataFrame:
+    """The rows of `held` whose hash is shared; beyond a broadcast, those with a hot hash still meet a broadcast of the hot ones."""
+    if shared.limit(MOST_BROADCAST // ROW + 1).count() <= MOST_BROADCAST // ROW:
+        return held.join(F.broadcast(shared.select("h")), "h")
+    return hot_join(held, shared.select("h"), ["h"], hot_keys(shared, ["h"], "times"))
+
+
 def blocks(marks: DataFrame) -> DataFrame:
     """Columns block and vertex: each two sets that can link are together in some block of at most two parts."""
     short = F.col("r") <= F.col("n") - F.ceil(F.col("n") * 8 / 9)  # within the prefix of the smaller set of a pair
     held = marks.select("vertex", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("r", "h")).select("h", "vertex", "n", short.alias("short"))
-    shared = held.groupBy("h").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b"), F.max("short").alias("short")).where("a <> b and short").select("h")
-    shared = written(shared, "shared-hashes")
-    kept = held.join(_sized(shared), "h").distinct()
+    shared = held.groupBy("h").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b"), F.max("short").alias("short"), F.count(F.lit(1)).alias("n")).where("a <> b and short")
+    shared = written(shared.select("h", F.col("n").alias("times")), "shared-hashes")
+    kept = _shared_rows(held, shared).distinct()
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(CLASS_RATIO)) + 1e-9).cast("int")
     own, next_class = F.struct(size_class.alias("s"), F.lit(True).alias("own")), F.struct((size_class + 1).alias("s"), F.lit(False).alias("own"))
     classes = F.when(F.col("short"), F.array(own, next_class)).otherwise(F.array(own))

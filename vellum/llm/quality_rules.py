@@ -44,7 +44,7 @@ CLASSES = range(13, 41)
 STEPS = 256
 #: A class with fewer trusted texts takes its limits from its neighbours, so much wider for each class between.
 LEAST, RISE = 40, 1.06
-#: Trusted keys up to this many are broadcast (longs: 16 MB).
+#: Trusted keys up to this many are broadcast (about 64 bytes each there).
 MOST_TRUSTED = 1 << 20
 
 
