@@ -118,3 +118,24 @@ def test_normalised_text_is_composed(spark):
     rows = spark.createDataFrame([(x,) for x in [*texts, None]], "text string").select(text.normalize_text(F.col("text")).alias("t"))
     differ = ~text.text_hash(F.col("t")).eqNullSafe(text.text_hash(F.col("t"), composed=True))
     assert rows.where(differ).count() == 0
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    values = [0.51155, -0.51155, 0.5115500000000001, 2.5e-5, 1e300, float("inf"), None, *((k + 0.5) / 10_000 for k in range(2_000)), *(k * 1.005 for k in range(50))]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(text.rounded("v", 4).alias("r")).collect()
+    want = duckdb.execute("SELECT round(unnest($1::DOUBLE[]), 4)", [values]).fetchall()
+    assert [r.r for r in got] == [r for (r,) in want]
+    assert got[0].r == 0.5115
+
+
+def test_gate_texts_round_as_their_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(u, v) for u in range(200) for v in (u + 0.31, 2 * u + 0.3)], "user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, entry.queries()["gate_texts"](spark, str(tmp_path)).collect())) == sorted(con.execute(entry.oracle_sql()["gate_texts"]).fetchall())

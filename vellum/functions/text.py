@@ -78,13 +78,24 @@ def word_distance(reference: Column, hypothesis: Column) -> Column:
     return distances(reference, hypothesis)
 
 
+def rounded(number: Column | str, places: int) -> Column:
+    """Rounded as SQL engines round doubles: the double times a power of ten, to the nearest whole number, halves away from zero.
+
+    `F.round` takes the shortest decimal that reads back as the double, so it rounds 0.51155 up, though the double times 10,000 is below 5115.5.
+    """
+    x = (F.col(number) if isinstance(number, str) else number).cast("double")
+    scale = float(10**places)
+    near = F.round(x * scale) / scale
+    return F.when(F.abs(near) < float("inf"), near).otherwise(x)
+
+
 def rate(edits: Column, length: Column) -> Column:
     """Edits for each unit of the reference, to six places; null for an empty reference."""
-    return F.round(F.try_divide(edits.cast("double"), F.nullif(length, F.lit(0))), 6)
+    return rounded(F.try_divide(edits.cast("double"), F.nullif(length, F.lit(0))), 6)
 
 
 def relative_improvement(candidate: Column, baseline: Column) -> Column:
-    return F.when(candidate.isNotNull() & (baseline != 0), F.round((baseline - candidate) / baseline, 6))
+    return F.when(candidate.isNotNull() & (baseline != 0), rounded((baseline - candidate) / baseline, 6))
 
 
 def carry_prompt(prompt: Column, previous: Column, most: int) -> Column:

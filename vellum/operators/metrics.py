@@ -42,7 +42,7 @@ def per_speaker(records: DataFrame, least_seconds: float = MIN_SPEAKER_SECONDS)
     """WER, utterances, words and seconds of each speaker; little audio is marked."""
     rows = with_edits(records.where(F.nullif("speaker_id", F.lit("")).isNotNull()))
     seconds = F.coalesce(F.sum("audio_seconds"), F.lit(0.0))
-    return rows.groupBy("speaker_id").agg(error_rate("n_word_edits", "n_words").alias("wer"), F.count(F.lit(1)).alias("utterances"), F.sum("n_words").alias("reference_words"), F.round(seconds, 3).alias("audio_seconds"), (seconds < least_seconds).alias("low_audio"))
+    return rows.groupBy("speaker_id").agg(error_rate("n_word_edits", "n_words").alias("wer"), F.count(F.lit(1)).alias("utterances"), F.sum("n_words").alias("reference_words"), T.rounded(seconds, 3).alias("audio_seconds"), (seconds < least_seconds).alias("low_audio"))
 
 
 def spread(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -68,15 +68,15 @@ def timestamp_sanity(segments: DataFrame, by: list[str], order: list[str], durat
     g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_segments"), F.count_if("_bad").alias("order_violations"), F.count_if("_long").alias("_longs"), F.max_by("end", "_at").alias("_last"), duration.alias("_seconds"))
     some = F.col("_seconds") > 0
     return g.select(
-        *by, "n_segments", "order_violations", F.round(F.col("_longs") / F.col("n_segments"), 6).alias("long_segment_fraction"),
-        F.when(some, F.round(F.col("_last") / F.col("_seconds"), 4)).otherwise(0.0).alias("coverage"), F.when(some, F.round(F.col("n_segments") / (F.col("_seconds") / 60), 3)).otherwise(0.0).alias("segments_per_minute"),
+        *by, "n_segments", "order_violations", T.rounded(F.col("_longs") / F.col("n_segments"), 6).alias("long_segment_fraction"),
+        F.when(some, T.rounded(F.col("_last") / F.col("_seconds"), 4)).otherwise(0.0).alias("coverage"), F.when(some, T.rounded(F.col("n_segments") / (F.col("_seconds") / 60), 3)).otherwise(0.0).alias("segments_per_minute"),
     )
 
 
 def regressions(c: str = "candidate", b: str = "baseline", tolerance: float = 0.02) -> Column:
     """Reasons (array) why the candidate's structs of wer and sanity are worse than the baseline's."""
     f = lambda side, name: F.col(f"{side}.{name}")
-    delta = F.round(f(c, "wer") - f(b, "wer"), 6)
+    delta = T.rounded(f(c, "wer") - f(b, "wer"), 6)
     grown = f(c, "long_segment_fraction") - f(b, "long_segment_fraction")
     checks = F.array(
         F.when(delta > tolerance, "wer"),
@@ -89,7 +89,7 @@ def regressions(c: str = "candidate", b: str = "baseline", tolerance: float = 0.
 
 def beats_baseline(candidate: Column, baseline: Column, least: Column) -> Column:
     """Strictly below the baseline less the wanted improvement; undefined rates fail."""
-    return F.coalesce(candidate < F.round(baseline * (1 - least), 6), F.lit(False))
+    return F.coalesce(candidate < T.rounded(baseline * (1 - least), 6), F.lit(False))
 
 
 def longform_check(regression: Column, present: Column, required: Column) -> Column:

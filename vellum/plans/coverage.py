@@ -102,7 +102,7 @@ def frame_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 50).alias("n"))
     values = F.expr("transform(if(n > 0, sequence(0, cast(n - 1 as int)), cast(array() as array<int>)), k -> cast(k % 8 / 8 as float))")
     levels = d.select("doc_id", wav.frame_levels(values, 8).alias("l"))
-    return levels.select("doc_id", F.size("l").cast("long").alias("frames"), F.round(F.get("l", F.lit(0)), 6).alias("level"))
+    return levels.select("doc_id", F.size("l").cast("long").alias("frames"), T.rounded(F.get("l", F.lit(0)), 6).alias("level"))
 
 
 @query("SELECT o_custkey AS version, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'superseded' WHEN bool_or(o_orderstatus = 'F') AND bool_or(o_orderstatus = 'O') THEN 'built' ELSE 'partial' END AS state FROM orders GROUP BY o_custkey")
@@ -305,7 +305,7 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.when(s == "O", "queued").when(s == "P", "running").otherwise("completed").alias("status"), F.col("o_orderdate").alias("created_at"), F.concat(F.lit("c"), "o_custkey").alias("client_ref"),
-        F.when(F.col("o_orderkey") % 13 != 0, F.round("o_totalprice", 1)).alias("duration"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit(0.0).alias("current_seconds"), F.lit(None).cast("string").alias("phase"),
+        F.when(F.col("o_orderkey") % 13 != 0, T.rounded("o_totalprice", 1)).alias("duration"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit(0.0).alias("current_seconds"), F.lit(None).cast("string").alias("phase"),
     )
 
 
@@ -386,7 +386,7 @@ def quietest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN c < round(b * 0.9, 6) THEN 'PASS' ELSE 'FAIL' END || ' beats_baseline of ' || user_id AS line FROM r"""
 )
 def gate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg("value") / 100, 4).alias("candidate"), F.round(F.max("value") / 300, 4).alias("baseline"))
+    r = table(spark, sf_dir, "events").groupBy("user_id").agg(T.rounded(F.avg("value") / 100, 4).alias("candidate"), T.rounded(F.max("value") / 300, 4).alias("baseline"))
     beats = metrics.beats_baseline(F.col("candidate"), F.col("baseline"), F.lit(0.1))
     long = metrics.longform_check(F.lit(False), F.lit(False), F.lit(False))
     rows = r.select("user_id", "candidate", "baseline", F.array(F.struct(F.lit("beats_baseline").alias("name"), beats.alias("passed")), F.struct(F.lit("longform").alias("name"), long.alias("passed"))).alias("checks"), metrics.verdict(beats, long).alias("passed"))

@@ -319,7 +319,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SANITY + " SELECT user_id, n AS n_segments, bad AS order_violations, round(longs / n, 4) AS long_segment_fraction, round(z / d, 3) AS coverage FROM g")
 def timestamp_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.timestamp_sanity(_segments(spark, sf_dir), ["user_id"], ["start", "event_id"], F.max("end"))
-    return rows.select("user_id", "n_segments", "order_violations", F.round("long_segment_fraction", 4).alias("long_segment_fraction"), F.round("coverage", 3).alias("coverage"))
+    return rows.select("user_id", "n_segments", "order_violations", T.rounded("long_segment_fraction", 4).alias("long_segment_fraction"), T.rounded("coverage", 3).alias("coverage"))
 
 
 @query(
@@ -329,7 +329,7 @@ def timestamp_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def longform_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.timestamp_sanity(_segments(spark, sf_dir), ["user_id"], ["start", "event_id"], F.max("end"))
-    pack = F.struct(F.round(F.col("order_violations") / F.col("n_segments"), 6).alias("wer"), "order_violations", "long_segment_fraction", "coverage")
+    pack = F.struct(T.rounded(F.col("order_violations") / F.col("n_segments"), 6).alias("wer"), "order_violations", "long_segment_fraction", "coverage")
     a, b = rows.select("user_id", pack.alias("candidate")), rows.select((F.col("user_id") - 1).alias("user_id"), pack.alias("baseline"))
     return a.join(b, "user_id").select("user_id", F.array_join(metrics.regressions(), ",").alias("reasons"))
 
@@ -420,7 +420,7 @@ def job_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    j = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.round("value", 2))).alias("ends"))
+    j = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(T.rounded("value", 2))).alias("ends"))
     rows = j.select("user_id", "ends", F.floor(F.size("ends") / 2).cast("int").alias("done"), F.array_max("ends").alias("total_seconds"), at.alias("started"), (at + F.expr("interval 100 seconds")).alias("updated"), F.lit(0).alias("baseline"))
     out = jobs.progress(rows, at + F.expr("interval 110 seconds"))
     return out.select("user_id", "percent", "current_seconds", F.col("chunks_total").cast("long").alias("chunks_total"), "eta_seconds")
@@ -558,7 +558,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adaptive_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     reports = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.row_number().over(w).cast("long").alias("seq"), (F.col("value") * 20 - 600).alias("mismatch_ms"), F.lit(250.0).alias("tolerance_ms"))
-    return delay.delays(reports).select("session", "seq", F.round("target", 3).alias("target"), "stable")
+    return delay.delays(reports).select("session", "seq", T.rounded("target", 3).alias("target"), "stable")
 
 
 @query("SELECT event_id, value > 30 AS dropped FROM events")
@@ -575,7 +575,7 @@ def delayed_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("session").orderBy("ts", "event_id")
     e = events(spark, sf_dir).where("event_type <> 'view'").withColumnRenamed("user_id", "session").withColumns({"wall_end": F.col("at") + F.col("value")})
     rows = live.released(e.withColumn("sequence", F.row_number().over(w)), 5.0)
-    return rows.select("session", "event_id", F.col("sequence").cast("long").alias("sequence"), F.round("release_at", 3).alias("release_at"))
+    return rows.select("session", "event_id", F.col("sequence").cast("long").alias("sequence"), T.rounded("release_at", 3).alias("release_at"))
 
 
 @query("WITH b AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 20 AS batch FROM events) SELECT user_id AS session, batch, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM b GROUP BY user_id, batch")
