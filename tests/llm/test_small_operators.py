@@ -291,6 +291,13 @@ def test_sharding_is_near_equal_and_gapless(spark):
     assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
 
 
+def test_sharding_is_near_equal_however_many_rows(spark):
+    rows = spark.range(1_200_000).select(sharding.slot_of("id", "id").alias("virtual_slot"), (F.col("id") % 100 + 250).alias("size"))
+    shards = sharding.balanced(sharding.slot_sizes(rows), 24).groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()
+    assert len(shards) == 24 and sum(r.rows for r in shards) == 1_200_000
+    assert max(r.bytes for r in shards) - min(r.bytes for r in shards) <= 349  # the largest row
+
+
 def test_rebalancing_moves_few_slots(spark, tmp_path):
     sizes = spark.range(500).select(F.col("id").cast("int").alias("virtual_slot"), (F.col("id") % 17 + 1).alias("bytes"), F.lit(1).cast("long").alias("rows"))
     one = sharding.balanced(sizes, 5)
