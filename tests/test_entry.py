@@ -58,3 +58,8 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_build_rows_normalises_no_text_below_its_sort(spark):
+    plan = QUERIES["build_rows"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan.split("rangepartitioning")[1]  # a tree, its leaves last

@@ -239,7 +239,8 @@ def build_rows(ledger: DataFrame, files: DataFrame, corpus_id: int | None = None
     if first:
         raise ValueError(f"{missing.count()} recordings have no audio file, such as {first}")
     text = normalize_text(F.col("text"))
-    return rows.select("recording_id", F.nullif("speaker_id", F.lit("")).alias("speaker_id"), text.alias("text"), text_hash(text).alias("text_hash"), "audio_sha256", "duration", "quality_score").orderBy("recording_id")
+    # sorted first: what lies below a sort is computed twice, once to find the ranges
+    return rows.orderBy("recording_id").select("recording_id", F.nullif("speaker_id", F.lit("")).alias("speaker_id"), text.alias("text"), text_hash(text, composed=True).alias("text_hash"), "audio_sha256", "duration", "quality_score")
 
 
 def with_positions(rows: DataFrame, order: str) -> DataFrame:

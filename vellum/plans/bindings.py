@@ -13,6 +13,8 @@ from vellum.functions import text as T
 RATIOS = {"train": 0.6, "dev": 0.2, "test": 0.2}
 NOW = "2024-02-01T00:00:00Z"
 CORPUS = 1
+#: What a build takes from the ledger.
+BUILD = ["recording_id", "corpus_id", "speaker_id", "text", "audio_sha256", "duration", "quality_score", "status"]
 
 
 def landing(spark: SparkSession, name: str) -> str:

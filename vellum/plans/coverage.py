@@ -11,7 +11,7 @@ from vellum.operators import captions, evaluation, jobs, ledger, lineage, metric
 from vellum.sources import listings, sinks, wav
 from vellum.streaming import live
 
-from .bindings import CORPUS, RATIOS, SQL_RECORDINGS, SQL_SYNC, landing, recordings, rejections, table
+from .bindings import BUILD, CORPUS, RATIOS, SQL_RECORDINGS, SQL_SYNC, landing, recordings, rejections, stored, table
 from .bindings import ledger as ledger_rows
 from .queries import _SPLIT_SQL, query
 
@@ -83,7 +83,7 @@ def built_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_SYNC} SELECT recording_id, nullif(speaker_id, '') AS speaker_id, length(text) AS n_text, text_hash, duration FROM ledger WHERE status = 'active'")
 def build_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger_rows(spark, sf_dir)
+    rows = stored(ledger_rows(spark, sf_dir).select(*BUILD), "ledger")
     return ledger.build_rows(rows, rows.select("audio_sha256"), CORPUS).select("recording_id", "speaker_id", F.length("text").cast("long").alias("n_text"), "text_hash", "duration")
 
 

@@ -9,7 +9,7 @@ from vellum.operators import jobs, ledger, longfiles, splits
 from vellum.sources import byname, feeds, listings, sinks, wav
 from vellum.streaming import delivery
 
-from .bindings import CORPUS, RATIOS, landing, recordings, stored, table
+from .bindings import BUILD, CORPUS, RATIOS, landing, recordings, stored, table
 from .bindings import ledger as ledger_rows
 from .queries import _GUARD_SQL, SQL_SYNC, query
 
@@ -114,7 +114,7 @@ def build_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_SYNC}, m AS (SELECT recording_id FROM ledger WHERE status = 'active' AND corpus_id = {CORPUS} AND recording_id % 10 = 3) SELECT (SELECT count(*) FROM m) || ' recordings have no audio file, such as [' || (SELECT string_agg(recording_id, ', ' ORDER BY recording_id) FROM (SELECT * FROM m ORDER BY 1 LIMIT 10)) || ']' AS error")
 def missing_audio_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The error of a build whose audio lacks every tenth recording, with the first ten."""
-    rows = ledger_rows(spark, sf_dir).withColumn("audio_sha256", F.concat("audio_sha256", F.lit("-"), "recording_id"))
+    rows = stored(ledger_rows(spark, sf_dir).select(*BUILD), "ledger").withColumn("audio_sha256", F.concat("audio_sha256", F.lit("-"), "recording_id"))
     return _said(spark, lambda: ledger.build_rows(rows, rows.where("recording_id % 10 <> 3").select("audio_sha256"), CORPUS))
 
 
