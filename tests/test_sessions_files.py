@@ -228,3 +228,15 @@ def test_appended_records_escape_quotes(spark, tmp_path):
     captions.append_records(captions.quoted_records(cues), f"{tmp_path}/vtt")
     captions.append_records(captions.quoted_records(cues), f"{tmp_path}/vtt")
     assert [r.value for r in spark.read.text(f"{tmp_path}/vtt").collect()] == ["00:00:01.000 --> 00:00:02.000", "a &quot;b&quot; &amp; &#x27;c&#x27; &lt;d&gt;", ""] * 2
+
+
+def test_chunk_files_are_listed_and_read_in_tasks(spark, tmp_path):
+    for name, body in {"j/chunks/00000.json": '{"text": "a"}', "j/chunks/00001.json": '{"text": ', "j/chunks/x.json": '{"text": "no"}', "j/chunks/00002.json": "", "k/chunks/00007.json": '{"text": "b", "language": "fi"}\n', "k/job.json": "{}"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(body)
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        got = listings.read_chunks(spark, root)
+        assert sorted((r.job, r["index"], r.text, r.language) for r in got.collect()) == [("j", 0, "a", None), ("k", 7, "b", "fi")]
+        assert not got.inputFiles()  # no file is listed on the driver
+    with pytest.raises(Exception, match="FileNotFound"):
+        listings.read_chunks(spark, f"{tmp_path}/none").count()

@@ -23,10 +23,15 @@ HEAD, BATCH_BYTES = 4096, 8 << 20
 
 
 def open_path(path: str) -> BinaryIO:
-    where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    where, name = place(path)
     return where.open_input_file(name)
 
 
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def below(root: str, path: str) -> str:
     """A path below the root; one that leads out of it is refused."""
     if any(part == ".." for part in path.split("/")):
@@ -126,7 +131,7 @@ class _Writer(DataSourceArrowWriter):
         self.root, self.absent, self.job = root, absent, f"_writing-{uuid.uuid4().hex}"
 
     def _place(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
+        return place(self.root)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         where, root = self._place()
@@ -140,8 +145,9 @@ class _Writer(DataSourceArrowWriter):
                 with where.open_output_stream(part) as f:
                     f.write(content or b"")
                 ready.append((part, to))
+        for folder in {to.rpartition("/")[0] for _, to in ready}:
+            where.create_dir(folder, recursive=True)
         for part, to in ready:
-            where.create_dir(to.rpartition("/")[0], recursive=True)
             where.move(part, to)
         return _Written(len(ready))
 
