@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,11 +70,12 @@ def _distance(a: list, b: list) -> int:
 
 
 def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance between two arrays of words."""
+    """Edit distance between two arrays of words; of a batch only one pair at a time is made into Python's words."""
 
-    @F.pandas_udf("int")
-    def distances(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else _distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
+    @F.arrow_udf("int")
+    def distances(a: pa.Array, b: pa.Array) -> pa.Array:
+        pairs = ((x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True))
+        return pa.array((None if x is None or y is None else _distance(x, y) for x, y in pairs), pa.int32())
 
     return distances(reference, hypothesis)
 
